@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import sharding
+from vitrina.llm import piece_bpe, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded by the 32k piece model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_bpe.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near-equal bytes."""
     out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
@@ -21,6 +28,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_pieces": op6_pieces,
     "op9_sharding": op9_sharding,
 }
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import piece_bpe, sharding, token_files
+from vitrina.llm import piece_bpe, quality, sharding, token_files
 from vitrina.llm.common import shared_dir
 
 
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded by the 32k piece model."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,6 +43,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op6_pieces": op6_pieces,
     "op9_sharding": op9_sharding,
     "op10_token_files": op10_token_files,

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import piece_bpe, quality, sharding, token_files
+from vitrina.llm import piece_bpe, quality, sharding, token_files, url_filter
 from vitrina.llm.common import shared_dir
 
 
@@ -29,6 +29,15 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False)
 
 
+# The rules of the query.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the URL of every page."""
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near-equal bytes."""
     out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
@@ -45,6 +54,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op6_pieces": op6_pieces,
+    "op7_urls": op7_urls,
     "op9_sharding": op9_sharding,
     "op10_token_files": op10_token_files,
 }

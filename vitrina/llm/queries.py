@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import piece_bpe, quality, sharding, token_files, url_filter
+from vitrina.llm import decontamination, piece_bpe, quality, sharding, token_files, url_filter
 from vitrina.llm.common import shared_dir
 
 
@@ -38,6 +38,11 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    return decontamination.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near-equal bytes."""
     out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op6_pieces": op6_pieces,
     "op7_urls": op7_urls,
+    "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_token_files": op10_token_files,
 }

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import decontamination, piece_bpe, quality, sharding, token_files, url_filter
+from vitrina.llm import decontamination, near_vectors, piece_bpe, quality, sharding, token_files, url_filter
 from vitrina.llm.common import shared_dir
 
 
@@ -23,6 +23,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95).drop("embedding")
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded by the 32k piece model."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op4_vectors": op4_vectors,
     "op6_pieces": op6_pieces,
     "op7_urls": op7_urls,
     "op8_decontamination": op8_decontamination,
@@ -65,4 +71,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_vectors": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), u AS (
+            SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v
+            WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.95
+        ), reach(a, b) AS (
+            SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), component AS (
+            SELECT a, MIN(b) AS component_id FROM reach GROUP BY a
+        ), degree AS (
+            SELECT a, COUNT(*) AS n FROM links GROUP BY a
+        )
+        SELECT vec_id, COALESCE(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN component c ON c.a = vec_id LEFT JOIN degree d ON d.a = vec_id
+    """,
+}

@@ -34,7 +34,7 @@ MAGIC = b"RPG1"
 BLOCK_IDS = 2_000_000
 #: A pair is replaced while it occurs so often; one rule costs about as much as four symbols.
 LEAST_PAIRS = 6
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
 
 # The tokenizer's own splitting, for texts of these characters only (their composed form,
 # lower case and classes need no tables); other texts go through the library whole.
@@ -66,7 +66,7 @@ class WordEncoder:
             new = list({w for ws in split if ws for w in ws})
         for i in range(0, len(new), 512):
             some = new[i : i + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             data = ids.tobytes()
             known.update(zip(some, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import decontamination, near_vectors, piece_bpe, quality, sharding, token_files, url_filter
+from vitrina.llm import decontamination, licenses, near_vectors, piece_bpe, quality, sharding, token_files, url_filter
 from vitrina.llm.common import shared_dir
 
 
@@ -23,6 +23,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95).drop("embedding")
@@ -63,6 +68,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_licenses": op2_licenses,
     "op4_vectors": op4_vectors,
     "op6_pieces": op6_pieces,
     "op7_urls": op7_urls,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_licenses": licenses.oracle(),
     "op4_vectors": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

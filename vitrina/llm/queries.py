@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import decontamination, licenses, near_vectors, piece_bpe, quality, sharding, token_files, url_filter
+from vitrina.llm import decontamination, licenses, near_vectors, pii, piece_bpe, quality, sharding, token_files, url_filter
 from vitrina.llm.common import shared_dir
 
 
@@ -28,6 +28,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).drop("pii")
+
+
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95).drop("embedding")
@@ -69,6 +74,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_licenses": op2_licenses,
+    "op3_pii": op3_pii,
     "op4_vectors": op4_vectors,
     "op6_pieces": op6_pieces,
     "op7_urls": op7_urls,

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import decontamination, licenses, near_vectors, pii, piece_bpe, quality, sharding, token_files, url_filter
+from vitrina.llm import decontamination, licenses, near_vectors, pii, piece_bpe, quality, sharding, text_join, token_files, url_filter
 from vitrina.llm.common import shared_dir
 
 
@@ -38,6 +38,11 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95).drop("embedding")
 
 
+def op5_text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by 4-word shingles at a similarity of 0.85."""
+    return text_join.classify(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded by the 32k piece model."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op3_pii": op3_pii,
     "op4_vectors": op4_vectors,
+    "op5_text_join": op5_text_join,
     "op6_pieces": op6_pieces,
     "op7_urls": op7_urls,
     "op8_decontamination": op8_decontamination,
@@ -85,6 +91,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_licenses": licenses.oracle(),
+    "op5_text_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+            FROM documents
+        ), g AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(list_slice(ws, i, i + 3), ' ')) END) AS s FROM d
+        ), e AS (
+            SELECT doc_id, len(s) AS n, UNNEST(s) AS x FROM g
+        ), p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS i, ANY_VALUE(a.n) AS na, ANY_VALUE(b.n) AS nb
+            FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), l AS (
+            SELECT a, b FROM p WHERE 100 * i >= 85 * (na + nb - i)
+        ), reach(a, b) AS (
+            SELECT doc_id, doc_id FROM g UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
+        )
+        SELECT doc_id, len(s) AS n_shingles, (SELECT MIN(b) FROM reach r WHERE r.a = doc_id) AS component_id FROM g
+    """,
     "op4_vectors": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

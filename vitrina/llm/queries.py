@@ -40,7 +40,7 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by 4-word shingles at a similarity of 0.85."""
-    return text_join.classify(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+    return text_join.classify(table(spark, sf_dir, "documents"), n=4, num=85, den=100).drop("text_hash")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     start = np.cumsum(counts) - counts
     grams = np.zeros(max(len(flat) - n + 1, 0), np.uint64)
     for k in range(n):
-        grams = mix(grams + flat[k : len(flat) - n + 1 + k] * _MULTIPLY + np.uint64(k))
+        grams = mix(grams + flat[k : k + len(grams)] * _MULTIPLY + np.uint64(k))
     out = []
     for a, c in zip(start.tolist(), counts.tolist(), strict=True):
         if c >= n:
@@ -215,7 +215,7 @@ def search_meeting(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, sets:
 
 
 def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_shingles, component_id`` for every row of ``docs``.
+    """``key, n_shingles, component_id, text_hash`` (xxhash64) for every row of ``docs``.
 
     Rows link if ``den * intersection >= num * union`` of their sets of word n-grams (see
     :func:`shingle_sets`); ``component_id`` is the smallest key reachable by links.  Null and
@@ -225,7 +225,7 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
     columns are not read; an empty table gives an empty result.
     """
     spec = Blocks(num, den)
-    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
+    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,15 +233,15 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], n)
                 f, g = zip(*map(fingerprint, sets), strict=True)
-                cols = [batch.column("k").slice(a, b - a), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], f, g)), pa.array([spec.keys(s) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["k", "size", "f", "g", "keys"])
+                cols = [batch.column("k").slice(a, b - a), batch.column("h").slice(a, b - a), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], f, g)), pa.array([spec.keys(s) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["k", "h", "size", "f", "g", "keys"])
 
-    marked = cut(rows.mapInArrow(mark, "k bigint, size bigint, f bigint, g bigint, keys array<bigint>"), "text-keys")
+    marked = cut(rows.mapInArrow(mark, "k bigint, h bigint, size bigint, f bigint, g bigint, keys array<bigint>"), "text-keys")
     # Keys that more than one row has, by 32 of their bits: a superset in rows of half the width.
     own = marked.select(F.xxhash64("f", "g").alias("c"), F.explode("keys").alias("key")).withColumn("short", F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     often = cut(own.groupBy("short").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("short"), "text-often")
     members = cut(own.join(broadcast_if_small(often, often.count(), 64), "short", "left_semi").select("key", "c").distinct(), "text-members")
-    base = cut(marked.select("k", "size", "f", "g", F.xxhash64("f", "g").alias("c")), "text-rows")
+    base = cut(marked.select("k", "h", "size", "f", "g", F.xxhash64("f", "g").alias("c")), "text-rows")
     drop_cut(marked)
     # Equal sets are one class, named by its smallest key.
     classes = cut(base.where("size > 0").groupBy("c", "f", "g").agg(F.min("k").alias("rep"), F.min("size").alias("size")), "text-classes")
@@ -307,4 +307,21 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = cut(named.join(least, "component").select("c", "component_id"), "text-named")
     out = base.join(broadcast_if_small(named, named.count(), 64), "c", "left")
-    return out.select(F.col("k").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"))
+    component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("k"))
+    return out.select(F.col("k").alias(key), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("h").alias("text_hash"))
+
+
+def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of ``docs`` for each component, all columns: that of the smallest ``doc_id``.
+
+    Rows without words stay; of rows that agree in ``doc_id`` and text one stays (of those the
+    one with the smallest other columns); a component of null keys only keeps all its texts.
+    """
+    rows = classify(docs, n, num, den)
+    found = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    found = cut(found.select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_hk"), "copies"), "text-kept")
+    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_hk"))
+    single, many = found.where("copies = 1"), found.where("copies > 1")
+    out = hashed.join(broadcast_if_small(single, found.count(), 48), same, "left_semi").drop("_h")
+    return out.unionByName(hashed.join(many, same, "left_semi").groupBy("doc_id", "_h").agg(F.min(F.struct(*[c for c in docs.columns])).alias("row")).select("row.*"))

@@ -22,9 +22,9 @@ def brute(texts, index, threshold, question, answer):
 
 
 @pytest.mark.parametrize("threshold", [0.05, 0.3, 0.6])
-@pytest.mark.parametrize("block", [2, 64])
+@pytest.mark.parametrize("block", [1, 4, 64])
 def test_wand_finds_all_above_the_threshold(monkeypatch, threshold, block):
-    monkeypatch.setattr(dc, "POSTINGS_BLOCK", block)
+    monkeypatch.setattr(dc, "BLOCK_ITEMS", block)
     rng = random.Random(block)
     vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 25)))) for i in range(90)]

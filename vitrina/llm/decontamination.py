@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from vitrina.llm.common import slices
 
 K1, B = 1.2, 0.75
-POSTINGS_BLOCK = 64
+#: Items of a block.
+BLOCK_ITEMS = 4
 #: Items of one index; more of them are queried in several passes, so that the index each
 #: executor holds has a bound.
-INDEX_ITEMS = 20_000
+INDEX_ITEMS = 2_000
 _WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -75,34 +77,38 @@ class Index:
                 postings[self.vocabulary[w]].append((item, x / own))
         self.items = [[i for i, _ in p] for p in postings]
         self.shares = [[x for _, x in p] for p in postings]
-        self.most = np.array([max(x) for x in self.shares])
-        self.block_most = [[max(x[k : k + POSTINGS_BLOCK]) for k in range(0, len(x), POSTINGS_BLOCK)] for x in self.shares]
+        self.block_most = np.zeros((len(df), -(-n // BLOCK_ITEMS)), np.float32)
+        for t, own in enumerate(postings):
+            for i, x in own:
+                self.block_most[t, i // BLOCK_ITEMS] = max(self.block_most[t, i // BLOCK_ITEMS], np.nextafter(np.float32(x), np.float32(2)))
+        self.most = self.block_most.max(1) if n else np.zeros(0, np.float32)
         self.longest = max(map(len, self.words), default=1)
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose share by ``terms`` is at least ``threshold`` (block-max WAND)."""
-        cursors = [[self.items[t][0], t, 0] for t in terms]  # next item, term, place in its postings
-        found = []
+    def search(self, terms: list[int], threshold: float, first: int = 0, end: int | None = None) -> list[tuple[int, float]]:
+        """All items from ``first`` to ``end`` (exclusive) whose share by ``terms`` is at least
+        ``threshold``, by block-max WAND."""
+        end = len(self.ids) if end is None else end
+        cursors = []  # next item, term, place in its postings
 
         def forward(c: list, item: int) -> bool:
-            """Move to the first posting at or after ``item``, whole blocks at a time."""
-            own, k = self.items[c[1]], c[2]
-            while k < len(own) and own[min(len(own), (k // POSTINGS_BLOCK + 1) * POSTINGS_BLOCK) - 1] < item:
-                k = (k // POSTINGS_BLOCK + 1) * POSTINGS_BLOCK
-            while k < len(own) and own[k] < item:
-                k += 1
-            c[2] = k
-            if k < len(own):
-                c[0] = own[k]
+            own = self.items[c[1]]
+            c[2] = bisect_left(own, item, c[2])
+            if c[2] < len(own) and own[c[2]] < end:
+                c[0] = own[c[2]]
                 return True
             return False
 
+        for t in terms:
+            c = [0, t, 0]
+            if forward(c, first):
+                cursors.append(c)
+        found = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, None
             for k, c in enumerate(cursors):
                 bound += self.most[c[1]]
-                if bound >= threshold - 1e-9:
+                if bound >= threshold - 1e-6:
                     pivot = k
                     break
             if pivot is None:
@@ -110,18 +116,11 @@ class Index:
             item = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
-            upto, nearer = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else None
-            for c in cursors[: pivot + 1]:
-                own, k = self.items[c[1]], c[2]
-                while k < len(own) and own[min(len(own), (k // POSTINGS_BLOCK + 1) * POSTINGS_BLOCK) - 1] < item:
-                    k = (k // POSTINGS_BLOCK + 1) * POSTINGS_BLOCK
-                if k < len(own):
-                    upto += self.block_most[c[1]][k // POSTINGS_BLOCK]
-                    end = own[min(len(own), (k // POSTINGS_BLOCK + 1) * POSTINGS_BLOCK) - 1] + 1
-                    nearer = end if nearer is None else min(nearer, end)
-            if upto < threshold - 1e-9:  # no item before ``nearer`` can reach it
-                nearer = max(nearer if nearer is not None else item + 1, item + 1)
-                cursors = [c for k, c in enumerate(cursors) if k > pivot or forward(c, nearer)]
+            block = item // BLOCK_ITEMS
+            if sum(self.block_most[c[1], block] for c in cursors[: pivot + 1]) < threshold - 1e-6:
+                # No item before the next block or the next cursor can reach it.
+                then = min([(block + 1) * BLOCK_ITEMS, *(c[0] for c in cursors[pivot + 1 : pivot + 2])])
+                cursors = [c for k, c in enumerate(cursors) if k > pivot or forward(c, then)]
             elif cursors[0][0] == item:
                 score = sum(self.shares[c[1]][c[2]] for c in cursors[: pivot + 1])
                 if score >= threshold - 1e-9:
@@ -131,9 +130,11 @@ class Index:
                 cursors = [c for c in cursors if c[0] >= item or forward(c, item)]
         return found
 
-    def passages(self, split: list[list[str]], threshold: float) -> Iterator[tuple[int, int, list[int]]]:
-        """(document, first word, terms) of each passage whose terms' maxima reach the
-        threshold.  Passage k of a document has 2 x ``longest`` words from k x ``longest``."""
+    def passages(self, split: list[list[str]], threshold: float) -> Iterator[tuple[int, int, list[int], list[int]]]:
+        """(document, first word, terms, blocks) of each passage with blocks whose maxima
+        reach the threshold.  Passage k of a document has 2 x ``longest`` words from k x ``longest``."""
+        if not len(self.most):
+            return
         get, step = self.vocabulary.get, self.longest
         counts = np.array([len(ws) for ws in split], np.int64)
         terms = np.fromiter((get(w, -1) for ws in split for w in ws), np.int64, counts.sum())
@@ -146,22 +147,33 @@ class Index:
         at = np.r_[first[doc] + window, (first[doc] + window - 1)[later]]
         key = np.unique(at * len(self.most) + np.r_[terms, terms[later]])
         at, terms = key // len(self.most), key % len(self.most)
-        bound = np.bincount(at, self.most[terms], first[-1])
-        chosen = np.flatnonzero(bound >= threshold - 1e-9)
-        starts = np.searchsorted(at, chosen), np.searchsorted(at, chosen, "right")
-        docs = np.searchsorted(first, chosen, "right") - 1
-        for w, d, a, b in zip(chosen.tolist(), docs.tolist(), *(s.tolist() for s in starts), strict=True):
-            yield d, (w - int(first[d])) * step, terms[a:b].tolist()
+        enough = np.bincount(at, self.most[terms], first[-1]) >= threshold - 1e-6
+        keep = enough[at]
+        at, terms = at[keep], terms[keep]
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+        ends = np.r_[starts[1:], len(at)] if len(at) else at
+        rows = max(1, 4_000_000 // self.block_most.shape[1])  # of the table of maxima at once
+        a = 0
+        while a < len(starts):
+            b = max(a + 1, int(np.searchsorted(ends, starts[a] + rows, "right")))
+            bounds = np.add.reduceat(self.block_most[terms[starts[a] : ends[b - 1]]], starts[a:b] - starts[a], axis=0)
+            reach = bounds >= threshold - 1e-4
+            for k in np.flatnonzero(reach.any(1)).tolist():
+                w = int(at[starts[a + k]])
+                d = int(np.searchsorted(first, w, "right")) - 1
+                yield d, (w - int(first[d])) * step, terms[starts[a + k] : ends[a + k]].tolist(), np.flatnonzero(reach[k]).tolist()
+            a = b
 
     def matches(self, texts: list[str | None], threshold: float, question: float, answer: float) -> list[tuple]:
         """(text, item id, score, question overlap, answer overlap) of all verified matches,
         one for each text and item (the best passage)."""
         split, best = [words(t) for t in texts], {}
-        for d, start, terms in self.passages(split, threshold):
-            for item, score in self.search(terms, threshold):
-                q, a = overlap(split[d][start : start + 2 * self.longest], self.words[item])
-                if q >= question and a >= answer:
-                    best[d, item] = max(best.get((d, item), (0, 0, 0)), (q, a, score))
+        for d, start, terms, blocks in self.passages(split, threshold):
+            for block in blocks:
+                for item, score in self.search(terms, threshold, block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS):
+                    q, a = overlap(split[d][start : start + 2 * self.longest], self.words[item])
+                    if q >= question and a >= answer:
+                        best[d, item] = max(best.get((d, item), (0, 0, 0)), (q, a, score))
         return [(d, self.ids[item], score, q, a) for (d, item), (q, a, score) in sorted(best.items())]
 
 

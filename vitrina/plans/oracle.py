@@ -167,7 +167,7 @@ def oracle() -> dict[str, str]:
         "consolidated_pool": lab("SELECT * FROM pool"),
         "fallback_global": with_("SELECT * FROM fg", fallback_sql("aged")),
         "fallback_cohort": with_("SELECT * FROM fc", fallback_sql("aged")),
-        "weekly_agg": with_("SELECT CAST(CAST(DATE_TRUNC('week', t_dat) AS DATE) AS VARCHAR) AS week_date, COUNT(*) AS n_transactions, COUNT(DISTINCT article_id) AS n_unique_articles, COUNT(DISTINCT customer_idx) AS n_unique_customers, ROUND(SUM(price), 2) AS total_revenue, ROUND(AVG(price), 2) AS avg_price, CAST(MAX(t_dat) AS VARCHAR) AS max_t_dat, CAST(MIN(t_dat) AS VARCHAR) AS min_t_dat FROM tx GROUP BY 1"),
+        "weekly_agg": with_("SELECT CAST(CAST(DATE_TRUNC('week', t_dat) AS DATE) AS VARCHAR) AS week_date, COUNT(*) AS n_transactions, COUNT(DISTINCT article_id) AS n_unique_articles, COUNT(DISTINCT customer_idx) AS n_unique_customers, ROUND(SUM(price) + 3e-9::DOUBLE, 6) AS total_revenue, ROUND(AVG(price) + 3e-9::DOUBLE, 6) AS avg_price, CAST(MAX(t_dat) AS VARCHAR) AS max_t_dat, CAST(MIN(t_dat) AS VARCHAR) AS min_t_dat FROM tx GROUP BY 1"),
         "customer_mapping": with_("SELECT customer_id, ROW_NUMBER() OVER (ORDER BY customer_id) - 1 AS customer_idx FROM cust"),
         "customers_binned": with_("SELECT customer_idx, customer_id, b.age, COALESCE(club_member_status, 'NONE') AS club_member_status, fashion_news_frequency, b.age_bin FROM cust0 JOIN cut_bin b USING (customer_idx)"),
         "temporal_split_counts": with_(bounds({"train": (28, 392), "validation": (0, 28)})),

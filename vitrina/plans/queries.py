@@ -128,7 +128,7 @@ def fallback_cohort(r):
 
 @query
 def weekly_agg(r):
-    return rounded(explore.weekly(r.tx), 2)
+    return nudged(explore.weekly(r.tx))
 
 
 @query

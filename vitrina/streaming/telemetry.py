@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def windows(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Requests, users and value by tumbling window and type; late rows are dropped after ``late``."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"), F.max("value").alias("most")).select(F.col("w.start").alias("start"), "event_type", "events", "total", "most")
 
 

@@ -5,14 +5,16 @@ Of two linked texts of sizes n <= m at most ``D = (1 - t) / t * n`` n-grams are
 the sum of the smaller counts over the groups is no less than what they share.
 
 * **Blocks.**  The groups are dealt to more than D blocks, so the sub-points of linked texts
-  agree in some block, in one that isn't empty unless both have D non-empty blocks or fewer
-  (then empty ones count too).  Rows that agree in a block meet by a shuffle on block and
-  sub-point; no text is compared with all of its size.
+  agree in all but D blocks.  A text is entered with its D + 1 fullest blocks only (and those
+  as full as the last): blocks that agree are equally full, so the fullest of them is
+  entered by both.  Rows that agree in a block meet by a shuffle on block and sub-point; no
+  text is compared with all of its size, and shared passages rarely fill such blocks.
 * **First links.**  In each meeting every text is held against the smallest one only: the
   bound by summed minima, then the exact sets.  A group of copies thus costs its size.
 * **R-tree.**  Meetings that are not yet of one component get an R-tree of their points:
   a search descends where the summed minima with the upper corner of a box still allow a
-  link, and what survives in the leaves is verified; pairs connected already are not asked.
+  link.  Pairs that survive in the leaves and are not connected already are verified once,
+  in however many meetings they were found.
 
 Sets of n-grams are 64-bit hashes.  Nothing is dropped: all pairs that can link are verified
 or known to be connected.
@@ -32,7 +34,7 @@ from vitrina.llm.common import broadcast_if_small, components, cut, drop_cut, sl
 #: Size classes: a class ends at this multiple of its start.
 CLASS_RATIO = 1.6
 #: Dimensions of the points that bound overlaps, texts in an R-tree leaf, children of a node.
-DIMENSIONS, LEAF = 64, 16
+DIMENSIONS, LEAF = 256, 16
 #: Rows of one meeting that one task compares at once.
 MEETING_ROWS = 2048
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -116,10 +118,10 @@ class Blocks:
         return (self.den - self.num) * n // self.num
 
     def blocks(self, size_class: int) -> int:
-        """More blocks than linked sets can differ in, the smaller one of this class; a tenth
-        more, so that a set has that many that aren't empty."""
+        """More blocks than linked sets can differ in, the smaller one of this class; a quarter
+        more, so that the fullest are well filled."""
         d = self.differ(self.starts[size_class + 1] - 1)
-        return d + 1 + d // 10
+        return d + 1 + d // 4
 
     def classes(self, n: int) -> list[int]:
         """The classes a set of ``n`` meets in: its own, and those of smaller partners."""
@@ -139,12 +141,13 @@ class Blocks:
             block = (s % np.uint64(b)).astype(np.int64)
             group = mix((s // np.uint64(b)) & np.uint64(0xFFFF)) | np.uint64(1)
             order = np.argsort(block, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(block[order]) > 0])
-            sums = np.add.reduceat(mix(group[order]), first)
-            named = block[order][first]
-            if len(first) <= self.differ(n) and len(first) < b:  # empty blocks may be all that agree
-                empty = np.setdiff1d(np.arange(b), named)
-                named, sums = np.r_[named, empty], np.r_[sums, np.zeros(len(empty), np.uint64)]
+            size = np.bincount(block, minlength=b)
+            held = np.flatnonzero(size)
+            sums = np.zeros(b, np.uint64)
+            sums[held] = np.add.reduceat(mix(group[order]), (np.cumsum(size) - size)[held])
+            most = self.differ(n)  # blocks of more than that number of sizes: one of them agrees
+            named = np.flatnonzero(size >= np.partition(size, b - 1 - most)[b - 1 - most])
+            sums = sums[named]
             salt = np.uint64(c * 1_000_003 + 7)
             out.append(mix(sums + mix(named.astype(np.uint64) * _MULTIPLY + mix(np.full(1, salt, np.uint64)))))
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
@@ -152,7 +155,7 @@ class Blocks:
 
 def point(s: np.ndarray) -> np.ndarray:
     """Counts of the set's n-grams in ``DIMENSIONS`` groups."""
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=DIMENSIONS)[:DIMENSIONS].astype(np.int32)
+    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
 
 
 def may_link(a: np.ndarray, b: np.ndarray, na, nb, num: int, den: int):
@@ -190,28 +193,21 @@ class RTree:
         return self.order[at]
 
 
-def search_meeting(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect all of a meeting that links connect, given what is connected already
-    (equal ``groups``).  Pairs within one ``side`` of a split meeting are asked by another task
-    unless all rows are of one side."""
-    root = {g: g for g in groups.tolist()}
-
-    def top(g: int) -> int:
-        while root[g] != g:
-            root[g] = root[root[g]]
-            g = root[g]
-        return g
-
-    points = np.stack([point(s) for s in sets])
-    tree, out, one = RTree(points, sizes), [], bool((side == side[0]).all())
+def search_meeting(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, before: list[set], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a meeting that the R-tree leaves, but for those connected already (equal
+    ``groups``) and those that meet in an earlier meeting too (``before`` has the earlier ones of
+    each row), so that each pair is found once.  Pairs within one ``side`` of a split meeting are
+    found by another task unless all rows are of one side."""
+    tree, one = RTree(points, sizes), bool((side == side[0]).all())
+    out_a, out_b = [], []
     for i in range(len(ids)):
-        for j in sorted(tree.search(points[i], int(sizes[i]), num, den).tolist()):
-            if j < i and (one or side[i] != side[j]):
-                a, b = top(int(groups[i])), top(int(groups[j]))
-                if a != b and linked(sets[i], sets[j], num, den):
-                    root[max(a, b)] = min(a, b)
-                    out.append((int(ids[i]), int(ids[j])))
-    return out
+        j = tree.search(points[i], int(sizes[i]), num, den)
+        j = j[(j < i) & (groups[j] != groups[i])]
+        j = j if one else j[side[j] != side[i]]
+        j = j[[before[i].isdisjoint(before[k]) for k in j.tolist()]] if len(j) else j
+        out_a.append(np.minimum(ids[i], ids[j]))
+        out_b.append(np.maximum(ids[i], ids[j]))
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,11 +236,12 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
     # Keys that more than one row has, by 32 of their bits: a superset in rows of half the width.
     own = marked.select(F.xxhash64("f", "g").alias("c"), F.explode("keys").alias("key")).withColumn("short", F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     often = cut(own.groupBy("short").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("short"), "text-often")
-    members = cut(own.join(broadcast_if_small(often, often.count(), 64), "short", "left_semi").select("key", "c").distinct(), "text-members")
+    members = cut(own.join(often, "short", "left_semi").select("key", "c").distinct(), "text-members")
     base = cut(marked.select("k", "h", "size", "f", "g", F.xxhash64("f", "g").alias("c")), "text-rows")
     drop_cut(marked)
     # Equal sets are one class, named by its smallest key.
-    classes = cut(base.where("size > 0").groupBy("c", "f", "g").agg(F.min("k").alias("rep"), F.min("size").alias("size")), "text-classes")
+    classes = base.where("size > 0").groupBy("c", "f", "g").agg(F.min(F.struct(F.col("k").isNull().alias("z"), "k", "h")).alias("first"), F.min("size").alias("size"))
+    classes = cut(classes.select("c", "f", "g", F.col("first.k").alias("rep"), F.col("first.h").alias("rep_h"), "size"), "text-classes")
 
     meetings = cut(members.groupBy("key").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "text-meetings")
     members = cut(members.join(meetings, "key"), "text-members")
@@ -254,8 +251,9 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
 
     # The sets of the classes that meet any other, made again from one of their rows.
     wanted = cut(members.select("c").distinct().join(classes, "c"), "text-wanted")
-    reps = wanted.select(F.col("rep").alias("r")).distinct()
-    again = rows.join(broadcast_if_small(reps, wanted.count(), 40), F.col("k").eqNullSafe(F.col("r")), "left_semi").select("t")
+    reps = broadcast_if_small(wanted.select("rep", "rep_h"), wanted.count(), 48)
+    again = rows.join(reps, F.col("k").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h")), "left_semi")
+    again = again.groupBy("k", "h").agg(F.any_value("t").alias("t")).select("t")  # repeated rows once
 
     def remake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,10 +261,11 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], n)
                 f, g = zip(*map(fingerprint, sets), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["f", "g", "s"])
+                points = [point(s).astype("<u4").tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(points, pa.binary())], names=["f", "g", "s", "p"])
 
-    sets = again.mapInArrow(remake, "f bigint, g bigint, s array<bigint>").select(F.xxhash64("f", "g").alias("c"), "s")
-    sets = cut(sets.groupBy("c").agg(F.any_value("s").alias("s")), "text-sets")
+    sets = again.mapInArrow(remake, "f bigint, g bigint, s array<bigint>, p binary").select(F.xxhash64("f", "g").alias("c"), "s", "p", F.size("s").alias("size"))
+    sets = cut(sets, "text-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,11 +273,21 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 a, b = (np.asarray(v[i].values).view(np.uint64) for v in (x, y))
-                keep[i] = may_link(point(a), point(b), len(a), len(b), num, den) and linked(a, b, num, den)
+                keep[i] = linked(a, b, num, den)
             yield batch.select(["x", "a"]).filter(pa.array(keep))
 
-    paired = edges.join(sets.select(F.col("c").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
-    links = cut(paired.select("x", "a", "sx", "sa").mapInArrow(verify, "x bigint, a bigint"), "text-links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("c").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
+        return cut(both.select("x", "a", "sx", "sa").mapInArrow(verify, "x bigint, a bigint"), "text-links")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, DIMENSIONS).astype(np.int64) for c in ("px", "pa"))
+            yield batch.select(["x", "a"]).filter(pa.array(may_link(x, y, batch.column("nx").to_numpy(), batch.column("na").to_numpy(), num, den)))
+
+    points = edges.join(sets.select(F.col("c").alias("x"), F.col("p").alias("px"), F.col("size").cast("bigint").alias("nx")), "x")
+    points = points.join(sets.select(F.col("c").alias("a"), F.col("p").alias("pa"), F.col("size").cast("bigint").alias("na")), "a")
+    links = verified(points.select("x", "a", "px", "pa", "nx", "na").mapInArrow(bounded, "x bigint, a bigint"))
 
     # Meetings of three and more that the first links did not connect: one of those that have
     # the same rows, in parts of bounded size.
@@ -290,17 +299,22 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
     parts = F.ceil(F.col("n") / MEETING_ROWS).cast("int")
     part = F.pmod("c", parts).cast("int")
     meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("p"), F.greatest(k, F.col("part")).alias("q")))
-    asked = split.join(open_, "key").withColumn("part", part).select("key", "c", "component", "part", F.explode(meets).alias("m"))
-    asked = asked.select("key", "c", "component", "part", "m.p", "m.q").join(sets, "c")
+    asked = split.join(open_, "key")
+    own = asked.groupBy("c").agg(F.collect_set("key").alias("keys"))  # no more than a text's own blocks
+    asked = asked.join(own, "c").withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))
+    asked = asked.withColumn("part", part).select("key", "c", "component", "part", "keys", F.explode(meets).alias("m"))
+    asked = asked.select("key", "c", "component", "part", "keys", F.col("m.p").alias("part_p"), F.col("m.q").alias("part_q")).join(sets.select("c", "p", "size"), "c")
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
-        lists = table.column("s").combine_chunks()
-        own = [np.asarray(v.values).view(np.uint64) for v in lists]
-        size = np.array([len(v) for v in own], np.int64)
-        found = search_meeting(table.column("c").to_numpy(), table.column("component").to_numpy(), size, own, table.column("part").to_numpy(), num, den)
-        return pa.table({"x": pa.array([f[0] for f in found], pa.int64()), "a": pa.array([f[1] for f in found], pa.int64())})
-
-    more = cut(asked.groupBy("key", "p", "q").applyInArrow(search, "x bigint, a bigint"), "text-links")
+        col = lambda name: table.column(name).to_numpy()
+        points = np.frombuffer(b"".join(table.column("p").to_pylist()), "<u4").reshape(-1, DIMENSIONS).astype(np.int64)
+        before = [set(k) for k in table.column("keys").to_pylist()]
+        x, a = search_meeting(col("c"), col("component"), col("size").astype(np.int64), points, col("part"), before, num, den)
+        return pa.table({"x": x, "a": a})
+
+    found = asked.groupBy("key", "part_p", "part_q").applyInArrow(search, "x bigint, a bigint")
+    known = edges.select(F.least("x", "a").alias("x"), F.greatest("x", "a").alias("a"))
+    more = verified(cut(found.join(known, ["x", "a"], "left_anti"), "text-edges"))
     joined = components(links.unionByName(more), "x", "a").select(F.col("node").alias("c"), "component")
 
     named = classes.join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))

@@ -97,7 +97,18 @@ def test_tree_leaves_out_no_link():
     sets = base + [np.unique(np.r_[s[rng.integers(0, 3) :], rng.integers(0, 2**64, 1, np.uint64)]) for s in base for _ in range(4)]
     points, sizes = np.stack([tj.point(s) for s in sets]), np.array([len(s) for s in sets])
     tree = tj.RTree(points, sizes)
+    pairs = list(zip(*(x.tolist() for x in tree.search(85, 100, lambda i, j: np.ones(len(i), bool))), strict=True))
+    assert len(set(pairs)) == len(pairs)
     for i, s in enumerate(sets):
-        found = set(tree.search(points[i], int(sizes[i]), 85, 100).tolist())
+        found = {j for a, j in pairs if a == i}
         assert found == {j for j in range(len(sets)) if tj.may_link(points[i], points[j], sizes[i], sizes[j], 85, 100)}
         assert found >= {j for j, t in enumerate(sets) if tj.linked(s, t, 85, 100)}
+
+
+def test_sets_of_any_white_space():
+    texts = [None, "", " \t\n", "a", " A b\vc\x1cd  e\u00a0f\r\n", "x " * 9, "\u0130 \u00c4 b c d"]
+    for n in (1, 3, 4):
+        for text, s in zip(texts, tj.shingle_sets(texts, n), strict=True):
+            words = (text or "").encode().lower().split()
+            grams = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} - {()}
+            assert len(s) == len(grams) and (np.diff(s) > 0).all()

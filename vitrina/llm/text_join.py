@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ CLASS_RATIO = 1.6
 DIMENSIONS, LEAF = 256, 16
 #: Rows of one meeting that one task compares at once.
 MEETING_ROWS = 2048
+#: Rows of meetings that are searched in one task at a time, and pairs bounded at a time.
+BIN_ROWS, STEP = 4096, 4096
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,45 +50,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: A number for each group of n-grams.
+_GROUPS = mix(np.arange(1 << 16, dtype=np.uint64) + _MULTIPLY) | np.uint64(1)
+
+
 class WordHash:
-    """64-bit hashes of words; the words of one worker's texts are remembered."""
+    """64-bit hashes of words; those of one worker's texts are remembered."""
 
     MOST = 1_000_000
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
 
-    def of(self, split: list[list[bytes]]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
-        known = self.known
-        new = {w for ws in split for w in ws if w not in known}
-        if len(known) + len(new) > self.MOST:
-            known.clear()
-            new = {w for ws in split for w in ws}
-        digest = xxhash.xxh3_64_intdigest
-        known.update((w, digest(w)) for w in new)
-        get = known.__getitem__
-        return np.fromiter((h for ws in split for h in map(get, ws)), np.uint64, sum(map(len, split)))
+        if len(self.known) + len(words) > self.MOST:
+            self.known.clear()
+        known, digest = self.known, xxhash.xxh3_64_intdigest
+        known.update((w, digest(w)) for w in words if w not in known)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 _hash = WordHash()
+_SPACE = " \t\n\v\f\r"
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text: words are runs without ASCII white space,
     A-Z lower-cased; with fewer than n words the whole sequence is one; none without words."""
-    split = [(t or "").encode().lower().split() for t in texts]
-    flat = _hash.of(split)
-    counts = np.array([len(ws) for ws in split], np.int64)
-    start = np.cumsum(counts) - counts
+    split = pc.ascii_split_whitespace(pa.array([(t or "").encode().lower().strip() for t in texts], pa.binary()).cast(pa.string()))
+    words = split.flatten().dictionary_encode()
+    flat = _hash.of(words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
+    start = split.offsets.to_numpy()[:-1].astype(np.int64)
+    counts = np.diff(split.offsets.to_numpy()).astype(np.int64)
+    counts[[not (t and t.strip(_SPACE)) for t in texts]] = 0  # such a text is split to one empty word
     grams = np.zeros(max(len(flat) - n + 1, 0), np.uint64)
     for k in range(n):
         grams = mix(grams + flat[k : k + len(grams)] * _MULTIPLY + np.uint64(k))
     out = []
     for a, c in zip(start.tolist(), counts.tolist(), strict=True):
         if c >= n:
-            out.append(np.unique(grams[a : a + c - n + 1]))
+            h = np.sort(grams[a : a + c - n + 1])
+            out.append(h[np.append(True, h[1:] != h[:-1])])
         elif c:
             h = np.full(1, c, np.uint64)
             for w in flat[a : a + c]:
@@ -130,21 +137,19 @@ class Blocks:
         return [c for c in range(own + 1) if c == own or self.starts[c + 1] > least]
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """One number for each class, block and sub-point of the set.  A sub-point has the
-        counts of 2^16 groups of its block, given by the sum of the groups' mixed numbers."""
+        """One number for each class, block and sub-point of the sorted set.  Its upper bits
+        deal an n-gram to a block, so blocks are runs.  A sub-point has the counts of the 2^16
+        groups of its block, given by the sum of the groups' mixed numbers."""
         out = []
-        n = len(s)
+        n, upper, group = len(s), s >> np.uint64(32), _GROUPS[s & np.uint64(0xFFFF)]
         for c in self.classes(n):
             b = self.blocks(c)
             if b == 1:  # linked sets are equal here
                 continue
-            block = (s % np.uint64(b)).astype(np.int64)
-            group = mix((s // np.uint64(b)) & np.uint64(0xFFFF)) | np.uint64(1)
-            order = np.argsort(block, kind="stable")
-            size = np.bincount(block, minlength=b)
+            size = np.bincount(((upper * np.uint64(b)) >> np.uint64(32)).astype(np.int64), minlength=b)
             held = np.flatnonzero(size)
             sums = np.zeros(b, np.uint64)
-            sums[held] = np.add.reduceat(mix(group[order]), (np.cumsum(size) - size)[held])
+            sums[held] = np.add.reduceat(group, (np.cumsum(size) - size)[held])
             most = self.differ(n)  # blocks of more than that number of sizes: one of them agrees
             named = np.flatnonzero(size >= np.partition(size, b - 1 - most)[b - 1 - most])
             sums = sums[named]
@@ -161,7 +166,7 @@ def point(s: np.ndarray) -> np.ndarray:
 def may_link(a: np.ndarray, b: np.ndarray, na, nb, num: int, den: int):
     """Whether the summed minima of points leave room for a link (also for box corners ``b``,
     with the least size ``nb`` in the box)."""
-    return (num + den) * np.minimum(a, b).sum(-1) >= num * (na + nb)
+    return (num + den) * np.minimum(a, b).sum(-1, dtype=np.int64) >= num * (na + nb)
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -174,6 +179,7 @@ class RTree:
     their upper corners and least sizes, nodes of ``LEAF`` boxes."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        self.points, self.sizes = points, sizes
         self.order = np.lexsort((*points.T[:4], sizes))
         self.levels = [(points[self.order], sizes[self.order])]
         while len(self.levels[-1][1]) > 1:
@@ -181,16 +187,36 @@ class RTree:
             at = np.arange(0, len(n), LEAF)
             self.levels.append((np.maximum.reduceat(p, at), np.minimum.reduceat(n, at)))
 
-    def search(self, p: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
-        """Positions of the points that the bound leaves for ``p``."""
-        at = np.zeros(1, np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
+    def search(self, num: int, den: int, wanted) -> tuple[np.ndarray, np.ndarray]:
+        """Positions ``(i, j)`` of pairs of points that the bound leaves, of those for which
+        ``wanted(i, j)`` holds.  All points descend together, ``STEP`` at a time."""
+        points, sizes = self.points, self.sizes
+        todo = [(len(self.levels) - 1, np.arange(len(sizes)), np.zeros(len(sizes), np.int64))]
+        out_i, out_j = [], []
+        while todo:
+            depth, i, at = todo.pop()
+            if len(i) > STEP:
+                todo += [(depth, i[k : k + STEP], at[k : k + STEP]) for k in range(0, len(i), STEP)]
+                continue
             corners, least = self.levels[depth]
-            at = at[may_link(corners[at], p, least[at], n, num, den)]
-            if depth and len(at):
-                at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-                at = at[at < len(self.levels[depth - 1][1])]
-        return self.order[at]
+            keep = may_link(corners[at], points[i], least[at], sizes[i], num, den)
+            i, at = i[keep], at[keep]
+            if not len(i):
+                continue
+            if not depth:
+                out_i.append(i)
+                out_j.append(self.order[at])
+                continue
+            at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
+            i = np.repeat(i, LEAF)
+            keep = at < len(self.levels[depth - 1][1])
+            i, at = i[keep], at[keep]
+            if depth == 1:
+                keep = wanted(i, self.order[at])
+                i, at = i[keep], at[keep]
+            todo.append((depth - 1, i, at))
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(out_i or none), np.concatenate(out_j or none)
 
 
 def search_meeting(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, before: list[set], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,16 +224,16 @@ def search_meeting(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, point
     ``groups``) and those that meet in an earlier meeting too (``before`` has the earlier ones of
     each row), so that each pair is found once.  Pairs within one ``side`` of a split meeting are
     found by another task unless all rows are of one side."""
-    tree, one = RTree(points, sizes), bool((side == side[0]).all())
-    out_a, out_b = [], []
-    for i in range(len(ids)):
-        j = tree.search(points[i], int(sizes[i]), num, den)
-        j = j[(j < i) & (groups[j] != groups[i])]
-        j = j if one else j[side[j] != side[i]]
-        j = j[[before[i].isdisjoint(before[k]) for k in j.tolist()]] if len(j) else j
-        out_a.append(np.minimum(ids[i], ids[j]))
-        out_b.append(np.maximum(ids[i], ids[j]))
-    return np.concatenate(out_a), np.concatenate(out_b)
+    one = bool((side == side[0]).all())
+
+    def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        keep = (j < i) & (groups[j] != groups[i])
+        return keep if one else keep & (side[j] != side[i])
+
+    i, j = RTree(points, sizes).search(num, den, wanted)
+    first = np.array([before[a].isdisjoint(before[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+    a, b = ids[i[first]], ids[j[first]]
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,7 +287,7 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], n)
                 f, g = zip(*map(fingerprint, sets), strict=True)
-                points = [point(s).astype("<u4").tobytes() for s in sets]
+                points = [point(s).astype("<i4").tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(points, pa.binary())], names=["f", "g", "s", "p"])
 
     sets = again.mapInArrow(remake, "f bigint, g bigint, s array<bigint>, p binary").select(F.xxhash64("f", "g").alias("c"), "s", "p", F.size("s").alias("size"))
@@ -303,16 +329,24 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
     own = asked.groupBy("c").agg(F.collect_set("key").alias("keys"))  # no more than a text's own blocks
     asked = asked.join(own, "c").withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))
     asked = asked.withColumn("part", part).select("key", "c", "component", "part", "keys", F.explode(meets).alias("m"))
-    asked = asked.select("key", "c", "component", "part", "keys", F.col("m.p").alias("part_p"), F.col("m.q").alias("part_q")).join(sets.select("c", "p", "size"), "c")
-
-    def search(key: tuple, table: pa.Table) -> pa.Table:
+    asked = asked.select("key", "c", "component", "part", "keys", F.col("m.p").alias("part_p"), F.col("m.q").alias("part_q"))
+    # Small meetings are searched many to a task.
+    asked = cut(asked.select("key", "part_p", "part_q", "c", "component", "part", "keys"), "text-asked")
+    bins = F.pmod(F.xxhash64("key", "part_p", "part_q"), F.lit(asked.count() // BIN_ROWS + 1))
+    asked = asked.withColumn("bin", bins).join(sets.select("c", "p", "size"), "c")
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("part_p", "ascending"), ("part_q", "ascending")])
         col = lambda name: table.column(name).to_numpy()
-        points = np.frombuffer(b"".join(table.column("p").to_pylist()), "<u4").reshape(-1, DIMENSIONS).astype(np.int64)
+        points = np.frombuffer(b"".join(table.column("p").to_pylist()), "<i4").reshape(-1, DIMENSIONS)
         before = [set(k) for k in table.column("keys").to_pylist()]
-        x, a = search_meeting(col("c"), col("component"), col("size").astype(np.int64), points, col("part"), before, num, den)
-        return pa.table({"x": x, "a": a})
+        c, component, size, part = col("c"), col("component"), col("size").astype(np.int64), col("part")
+        names = np.stack([col("key"), col("part_p"), col("part_q")])
+        ends = [*(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), len(c)]
+        found = [search_meeting(c[a:b], component[a:b], size[a:b], points[a:b], part[a:b], before[a:b], num, den) for a, b in zip([0, *ends], ends)]
+        return pa.table({"x": np.concatenate([x for x, _ in found]), "a": np.concatenate([a for _, a in found])})
 
-    found = asked.groupBy("key", "part_p", "part_q").applyInArrow(search, "x bigint, a bigint")
+    found = asked.groupBy("bin").applyInArrow(search, "x bigint, a bigint")
     known = edges.select(F.least("x", "a").alias("x"), F.greatest("x", "a").alias("a"))
     more = verified(cut(found.join(known, ["x", "a"], "left_anti"), "text-edges"))
     joined = components(links.unionByName(more), "x", "a").select(F.col("node").alias("c"), "component")

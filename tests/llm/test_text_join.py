@@ -91,6 +91,29 @@ def test_linked_sets_share_a_key():
                 assert tj.may_link(tj.point(a), tj.point(b), len(a), len(b), num, den)
 
 
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100)])
+def test_every_size_shares_a_key_with_its_smallest_partner(num, den):
+    # A text and the same text with n-grams appended, as many as a link allows.
+    rng = np.random.default_rng(4)
+    spec = tj.Blocks(num, den)
+    for size in [*range(2, 700), *range(1150, 1165), *range(1850, 1856), *range(7590, 7596)]:
+        least = -(-num * size // den)
+        for part in {least, (least + size) // 2, size - 1} & set(range(least, size)):
+            for _ in range(3):
+                a = rng.integers(0, 2**64, size, np.uint64)
+                assert tj.linked(np.sort(a), np.sort(a[:part]), num, den)
+                assert np.intersect1d(spec.keys(np.sort(a)), spec.keys(np.sort(a[:part]))).size, (size, part)
+
+
+def test_appended_words_link(spark):
+    rows, rng = [], random.Random(6)
+    for size in (23, 24) * 30:
+        ws = [f"v{rng.randrange(10**9)}" for _ in range(size + 3)]
+        rows += [(len(rows), " ".join(ws)), (len(rows) + 1, " ".join(ws[: -(-85 * size // 100) + 3]))]
+    got = tj.classify(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 for k, _ in rows}
+
+
 def test_tree_leaves_out_no_link():
     rng = np.random.default_rng(2)
     base = [np.unique(rng.integers(0, 2**64, int(rng.integers(5, 60)), np.uint64)) for _ in range(60)]

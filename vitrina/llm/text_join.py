@@ -6,7 +6,8 @@ the sum of the smaller counts over the groups is no less than what they share.
 
 * **Blocks.**  The groups are dealt to more than D blocks, so the sub-points of linked texts
   agree in all but D blocks.  A text is entered with its D + 1 fullest blocks only (and those
-  as full as the last): blocks that agree are equally full, so the fullest of them is
+  as full as the last), D being that of its own size or of the largest smaller partner in the
+  class, whichever is less: blocks that agree are equally full, so the fullest of them is
   entered by both.  Rows that agree in a block meet by a shuffle on block and sub-point; no
   text is compared with all of its size, and shared passages rarely fill such blocks.
 * **First links.**  In each meeting every text is held against the smallest one only: the
@@ -150,7 +151,9 @@ class Blocks:
             held = np.flatnonzero(size)
             sums = np.zeros(b, np.uint64)
             sums[held] = np.add.reduceat(group, (np.cumsum(size) - size)[held])
-            most = self.differ(n)  # blocks of more than that number of sizes: one of them agrees
+            # Blocks that may disagree: the smaller set is of class c and no larger than this one,
+            # so fewer than b, also where this set is the larger one and alone could differ in more.
+            most = min(self.differ(n), self.differ(self.starts[c + 1] - 1))
             named = np.flatnonzero(size >= np.partition(size, b - 1 - most)[b - 1 - most])
             sums = sums[named]
             salt = np.uint64(c * 1_000_003 + 7)

@@ -76,3 +76,23 @@ def test_items_in_blocks(spark, data_dir, monkeypatch):
     whole = {(r.doc_id, r.item_id) for r in dc.find(docs, items).collect()}
     monkeypatch.setattr(dc, "INDEX_ITEMS", 15)
     assert {(r.doc_id, r.item_id) for r in dc.find(docs, items).collect()} == whole
+
+
+def test_results_do_not_depend_on_the_size_of_an_index(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"w{int(rng.paretovariate(0.6))}" for _ in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(4, 40)))) for i in range(60)] + [(60, ""), (61, None)]
+    texts = []
+    for i in range(240):
+        ws = items[i % 60][1].split()
+        kept = [w for w in ws if rng.random() < rng.choice([0.5, 0.6, 0.7, 0.8])]
+        texts.append((i, " ".join([*rng.choices(vocabulary, k=rng.randint(0, 60)), *kept, *rng.choices(vocabulary, k=rng.randint(0, 60))])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    options = {"threshold": 0.7, "question": 0.3, "answer": 0.5}
+    whole = sorted(tuple(r) for r in dc.find(docs, benchmark, **options).collect())
+    left = sorted(tuple(r) for r in dc.clean(docs, benchmark, **options).collect())
+    assert 40 < len(whole) and 0 < len(left) < 240
+    monkeypatch.setattr(dc, "INDEX_ITEMS", 5)
+    assert sorted(tuple(r) for r in dc.find(docs, benchmark, **options).collect()) == whole
+    assert sorted(tuple(r) for r in dc.clean(docs, benchmark, **options).collect()) == left

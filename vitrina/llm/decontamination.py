@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.llm.common import slices
+from vitrina.llm.common import cut, drop_cut, slices
 
 K1, B = 1.2, 0.75
 #: Items of a block.
 BLOCK_ITEMS = 4
 #: Items of one index; more of them are queried in several passes, so that the index each
-#: executor holds has a bound.
+#: executor holds has a bound.  The statistics are those of all items, so the results do not
+#: depend on it.
 INDEX_ITEMS = 2_000
 _WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -61,13 +62,18 @@ def overlap(passage: list[str], item: list[str]) -> tuple[float, float]:
 class Index:
     """BM25 postings of the items, with maxima by term and by block of postings."""
 
-    def __init__(self, items: list[tuple]):
-        """``items``: (id, text); those without words are left out."""
+    def __init__(self, items: list[tuple], whole: tuple[dict[str, int], int, float, int] | None = None):
+        """``items``: (id, text); those without words are left out.  ``whole``: if they are a part
+        of the benchmark, its document frequencies (of the part's words), its number of items, their
+        mean and greatest length."""
         split = sorted(((i, ws) for i, t in items if (ws := words(t))), key=lambda x: (x[0] is None, x[0]))
         self.ids, self.words = [i for i, _ in split], [ws for _, ws in split]
-        df = Counter(w for ws in self.words for w in set(ws))
-        n, mean = len(split), sum(map(len, self.words)) / max(1, len(split))
-        idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
+        if whole is None:
+            lengths = [len(ws) for ws in self.words]
+            whole = Counter(w for ws in self.words for w in set(ws)), len(split), sum(lengths) / max(1, len(split)), max(lengths, default=1)
+        df, number, mean, self.longest = whole
+        n = len(split)
+        idf = {w: math.log(1 + (number - k + 0.5) / (k + 0.5)) for w, k in df.items()}
         self.vocabulary = {w: k for k, w in enumerate(df)}
         postings: list[list[tuple[int, float]]] = [[] for _ in df]
         for item, ws in enumerate(self.words):
@@ -82,7 +88,6 @@ class Index:
             for i, x in own:
                 self.block_most[t, i // BLOCK_ITEMS] = max(self.block_most[t, i // BLOCK_ITEMS], np.nextafter(np.float32(x), np.float32(2)))
         self.most = self.block_most.max(1) if n else np.zeros(0, np.float32)
-        self.longest = max(map(len, self.words), default=1)
 
     def search(self, terms: list[int], threshold: float, first: int = 0, end: int | None = None) -> list[tuple[int, float]]:
         """All items from ``first`` to ``end`` (exclusive) whose share by ``terms`` is at least
@@ -122,7 +127,7 @@ class Index:
                 then = min([(block + 1) * BLOCK_ITEMS, *(c[0] for c in cursors[pivot + 1 : pivot + 2])])
                 cursors = [c for k, c in enumerate(cursors) if k > pivot or forward(c, then)]
             elif cursors[0][0] == item:
-                score = sum(self.shares[c[1]][c[2]] for c in cursors[: pivot + 1])
+                score = math.fsum(self.shares[c[1]][c[2]] for c in cursors[: pivot + 1])
                 if score >= threshold - 1e-9:
                     found.append((item, score))
                 cursors = [c for k, c in enumerate(cursors) if k > pivot or forward(c, item + 1)]
@@ -178,15 +183,34 @@ class Index:
 
 
 def indexes(benchmark: DataFrame) -> list:
-    """Broadcast indexes over all items, ``INDEX_ITEMS`` or fewer each."""
+    """Broadcast indexes over all items, about ``INDEX_ITEMS`` or fewer each, with the statistics
+    of the whole benchmark."""
     spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text")
     n = items.count()
     blocks = max(1, -(-n // INDEX_ITEMS))
     if blocks == 1:
         return [spark.sparkContext.broadcast(Index([tuple(r) for r in items.collect()]))]
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [spark.sparkContext.broadcast(Index([tuple(r) for r in items.where(block == b).collect()])) for b in range(blocks)]
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [words(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(map(len, split), pa.int64()), pa.array([list(set(ws)) for ws in split], pa.list_(pa.string()))], names=["block", "size", "words"])
+
+    counted = cut(items.select("block", "text").mapInArrow(count, "block bigint, size bigint, words array<string>").where("size > 0"), "items")
+    number, total, longest = counted.agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
+    own = counted.select("block", F.explode("words").alias("word")).groupBy("block", "word").agg(F.count(F.lit(1)).alias("n"))
+    frequencies = cut(own.select("block", "word").join(own.groupBy("word").agg(F.sum("n").alias("n")), "word"), "item-words")
+    out = []
+    for b in range(blocks):
+        df = {r.word: r.n for r in frequencies.where(F.col("block") == b).collect()}
+        whole = df, number, (total or 0) / max(1, number), longest or 1
+        part = items.where(F.col("block") == b).select("item_id", "text").collect()
+        out.append(spark.sparkContext.broadcast(Index([tuple(r) for r in part], whole)))
+    drop_cut(counted)
+    drop_cut(frequencies)
+    return out
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5) -> DataFrame:
@@ -195,6 +219,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question
 
     Null and empty texts and items match nothing; repeated rows match alike; items of equal
     text are all reported; clashing columns are replaced; empty tables give an empty result.
+    Each ``INDEX_ITEMS`` items read the documents once more; the result is the same for any number.
     """
     added = ["item_id", "score", "question_overlap", "answer_overlap"]
     docs = docs.drop(*added)

@@ -1,10 +1,14 @@
 import datetime as dt
+from itertools import combinations
+from math import factorial
 
 import numpy as np
 import pytest
 
-from vitrina.operators import audit, features, split
+from vitrina.operators import audit, features, ranking, split
 from vitrina.operators.ranking import LambdaRanker
+from vitrina.plans import queries
+from vitrina.sources.tables import Retail
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +37,57 @@ def test_ranker_learns_and_reloads(spark, rows, loss):
         assert r.base + sum(r.phi) == pytest.approx(scores[key(r)], abs=1e-6)
 
 
+def test_registered_rankers_have_the_production_size(spark, data_dir, monkeypatch):
+    seen = []
+
+    def fit(self, rows):
+        seen.append((self.rounds, self.depth, self.leaves, self.rate, self.least))
+        return self
+
+    monkeypatch.setattr(LambdaRanker, "fit", fit)
+    queries.trained(Retail(spark, data_dir))
+    queries.QUERIES["ablation_ranker"](spark, data_dir)
+    assert len(seen) > 3 and set(seen) == {(50, 7, 63, 0.05, 30)}
+
+
+def test_leaves_are_capped_by_gain(rows):
+    whole, capped = (LambdaRanker(["a", "b", "c"], rounds=1, depth=7, leaves=k).fit(rows).trees[0] for k in (None, 9))
+
+    def splits(t):
+        return [t["gain"] * t["cover"], *splits(t["left"]), *splits(t["right"])] if "left" in t else []
+
+    assert len(splits(whole)) > 8 and len(splits(capped)) == 8
+    assert set(splits(capped)) <= set(splits(whole)) and max(splits(whole)) in splits(capped)
+
+
+def test_shapley_values_equal_all_subsets():
+    rng = np.random.default_rng(5)
+
+    def grow(depth, cover):
+        if not depth:
+            return {"value": float(rng.normal()), "cover": cover}
+        part = cover * float(rng.uniform(0.1, 0.9))
+        return {"value": 0.0, "cover": cover, "feature": int(rng.integers(5)), "at": float(rng.random()), "left": grow(depth - 1, part), "right": grow(depth - 1, cover - part)}
+
+    tree, x = grow(4, 1e6), rng.random((6, 5))
+    phi = np.zeros((6, 5))
+    base = ranking._shap(tree, x, phi, 1.0)
+
+    def expected(t, row, known):
+        if "left" not in t:
+            return t["value"]
+        if t["feature"] in known:
+            return expected(t["left" if row[t["feature"]] <= t["at"] else "right"], row, known)
+        return sum(t[s]["cover"] / t["cover"] * expected(t[s], row, known) for s in ("left", "right"))
+
+    for row, own in zip(x, phi, strict=True):
+        assert base == pytest.approx(expected(tree, row, set()))
+        for i in range(5):
+            rest = [j for j in range(5) if j != i]
+            want = sum(factorial(len(c)) * factorial(4 - len(c)) / 120 * (expected(tree, row, {*c, i}) - expected(tree, row, set(c))) for m in range(5) for c in combinations(rest, m))
+            assert own[i] == pytest.approx(want, abs=1e-9)
+
+
 def tx_of(spark, rows):
     return spark.createDataFrame([(dt.date.fromisoformat(d), *r) for d, *r in rows], "t_dat date, customer_idx int, article_id int")
 

@@ -437,7 +437,7 @@ def archetypes(r):
 def trained(r: Retail) -> tuple[ranking.LambdaRanker, DataFrame]:
     made = split.label(features.matrix(pool(r), parts(r).train, r.customers, r.articles), parts(r).validation).persist()
     columns = [c for c in made.columns if c not in ("customer_idx", "article_id", "target")]
-    return ranking.LambdaRanker(columns, rounds=3, depth=4).fit(split.training_rows(made, 5)), made
+    return ranking.LambdaRanker(columns, **ranking.PRODUCTION).fit(split.training_rows(made, 5)), made
 
 
 @query
@@ -470,7 +470,7 @@ def ablation_leave_one_out(r):
 @query
 def ablation_ranker(r):
     variants = {"A3_no_flags": {"flags": False}, "A4_1_to_3": {"ratio": 3}, "A5_pointwise": {"loss": "pointwise"}}
-    return ablation.ranker_variants(r.tx, binned(r), r.articles, variants, HISTORY, VALIDATION, 1, min_support=SUPPORT)
+    return ablation.ranker_variants(r.tx, binned(r), r.articles, variants, HISTORY, VALIDATION, min_support=SUPPORT)
 
 
 @query

@@ -57,6 +57,16 @@ def test_held_out_labels_are_not_learned(spark):
     assert sum(len(r.text) for r in quality.training_rows(docs, labels, 1000, 300)) <= 300
 
 
+def test_a_text_over_the_budget_leaves_room_for_others(spark):
+    data = spark.createDataFrame([(i, f"good words here {i}" if i % 2 else "|| ## bad") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    order = {r.doc_id: k for k, r in enumerate(data.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").collect())}
+    first = min((i for i in range(1, 60, 2) if zlib.crc32(str(i).encode()) % 5), key=order.get)
+    docs = data.selectExpr("doc_id", f"IF(doc_id = {first}, repeat('x', 2000), text) AS text")
+    rows = quality.training_rows(docs, labels, 1000, 3000)
+    assert {r.doc_id for r in rows} == {i for i in range(60) if zlib.crc32(str(i).encode()) % 5} - {first}
+
+
 def test_nulls_ties_empty_and_clashes(spark):
     docs = spark.createDataFrame([(None, None, 1.0), (1, "", 1.0), (1, "", 1.0), (2, "good", 1.0), (3, "| |", 1.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(None, 1), (2, None), (2, 1), (3, 0), (3, 1), (3, 7)], "doc_id long, quality int")

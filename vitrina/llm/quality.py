@@ -188,7 +188,7 @@ def held_out(key: str = "doc_id"):
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, most_bytes: int) -> list:
     """A bounded sample of labelled rows: of each label the ``per_label`` rows of smallest
-    hash, as far as their texts fit ``most_bytes``.  Rows with null keys or labels or both
+    hash, without those whose texts don't fit in what is left of ``most_bytes``.  Rows with null keys or labels or both
     labels at once (the lower counts) and held-out rows follow these rules, not chance."""
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -198,8 +198,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, most_bytes
     found = cut(found, "quality-sample")
     fits, used = [], {0: 0, 1: 0}
     for r in found.select("doc_id", "quality", F.octet_length("text").alias("size")).orderBy(*order).collect():
-        used[r.quality] += r.size
-        if used[r.quality] <= most_bytes // 2:
+        if used[r.quality] + r.size <= most_bytes // 2:  # a row that doesn't fit leaves its room to later ones
+            used[r.quality] += r.size
             fits.append(r.doc_id)
     return found.where(F.col("doc_id").isin(fits)).orderBy("doc_id").collect()
 

@@ -53,9 +53,9 @@ def corpus(seed, docs=160):
     return [" ".join(w.upper() if rng.random() < 0.1 else w for w in ws) for ws in out]
 
 
-@pytest.mark.parametrize(("n", "num", "den", "rows"), [(4, 85, 100, 2048), (5, 80, 100, 7)])
-def test_equals_brute_force(spark, monkeypatch, n, num, den, rows):
-    monkeypatch.setattr(tj, "MEETING_ROWS", rows)
+@pytest.mark.parametrize(("n", "num", "den", "part"), [(4, 85, 100, tj.PART_BYTES), (5, 80, 100, 5 * tj.POINT_BYTES)])
+def test_equals_brute_force(spark, monkeypatch, n, num, den, part):
+    monkeypatch.setattr(tj, "PART_BYTES", part)
     texts = [*corpus(n), "", None, " \n\t", "a\xa0b c", "a\xa0b c", "é É", "A b\x0bC\x0cd", "a b c d"]
     data = [(i * 3, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, "null key"), (None, ""), (6, texts[2]), (6, texts[5])]
     df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 AS component_id", "'x' AS c")
@@ -120,7 +120,7 @@ def test_tree_leaves_out_no_link():
     sets = base + [np.unique(np.r_[s[rng.integers(0, 3) :], rng.integers(0, 2**64, 1, np.uint64)]) for s in base for _ in range(4)]
     points, sizes = np.stack([tj.point(s) for s in sets]), np.array([len(s) for s in sets])
     tree = tj.RTree(points, sizes)
-    pairs = list(zip(*(x.tolist() for x in tree.search(85, 100, lambda i, j: np.ones(len(i), bool))), strict=True))
+    pairs = [p for i, j in tree.search(85, 100, lambda i, j: np.ones(len(i), bool)) for p in zip(i.tolist(), j.tolist(), strict=True)]
     assert len(set(pairs)) == len(pairs)
     for i, s in enumerate(sets):
         found = {j for a, j in pairs if a == i}
@@ -128,6 +128,22 @@ def test_tree_leaves_out_no_link():
         assert found >= {j for j, t in enumerate(sets) if tj.linked(s, t, 85, 100)}
 
 
+def test_a_meeting_gives_a_forest_not_its_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 300, np.uint64)
+    sets = [np.unique(np.r_[base[2:], rng.integers(0, 2**64, 2, np.uint64)]) for _ in range(700)]
+    alone, groups, side = np.unique(rng.integers(0, 2**64, 300, np.uint64)), np.arange(701), np.zeros(701, np.int32)
+    kept = tj.linking(groups, [*sets, alone], side, 85, 100)
+    assert len(kept) == 699 and all(700 not in p for p in kept)
+    points, sizes = np.stack([tj.point(s) for s in [*sets, alone]]), np.array([len(s) for s in [*sets, alone]])
+    marked = tj.partnered(groups, sizes, points, side, [set()] * 701, 85, 100)
+    assert marked[:700].all() and not marked[700]
+    assert tj.linking(np.zeros(701, np.int64), [*sets, alone], side, 85, 100) == []
+    # Of a split meeting a task links across its two sides only.
+    side[::2] = 1
+    assert all(side[a] != side[b] for a, b in tj.linking(groups, [*sets, alone], side, 85, 100))
+
+
 def test_sets_of_any_white_space():
     texts = [None, "", " \t\n", "a", " A b\vc\x1cd  e\u00a0f\r\n", "x " * 9, "\u0130 \u00c4 b c d"]
     for n in (1, 3, 4):

@@ -89,4 +89,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if seen == before:
             break
     roots = now.groupBy("u").agg(F.min("v").alias("component"))
-    return roots.select(F.col("u").alias("node"), "component").unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
+    out = roots.select(F.col("u").alias("node"), "component").unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
+    out = cut(out, "components")
+    drop_cut(now)
+    return out

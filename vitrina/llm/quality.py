@@ -22,7 +22,8 @@ from vitrina.llm.common import cut, slices
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4)
-KNOWN_WORDS = 1_000_000
+#: Words, and their characters, whose features one task remembers (some 150 bytes a word more).
+KNOWN_WORDS, KNOWN_CHARS = 200_000, 8_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _AGAIN = BUCKETS  # the bucket of a repeated word
 
@@ -46,6 +47,7 @@ class Words:
 
     def clear(self):
         self.number: dict[str, int] = {}
+        self.chars = 0
         self.hash = np.zeros(0, np.uint64)
 
     def split(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -53,9 +55,10 @@ class Words:
         split = [(t or "").split() for t in texts]
         number = self.number
         new = list(dict.fromkeys(w for ws in split for w in ws if w not in number))
-        if len(number) + len(new) > KNOWN_WORDS:
+        if len(number) + len(new) > KNOWN_WORDS or self.chars + sum(map(len, new)) > KNOWN_CHARS:
             self.clear()
             number, new = self.number, list(dict.fromkeys(w for ws in split for w in ws))
+        self.chars += sum(map(len, new))
         number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
         get = number.__getitem__
         counts = np.array([len(ws) for ws in split], np.int64)

@@ -10,15 +10,18 @@ the sum of the smaller counts over the groups is no less than what they share.
   class, whichever is less: blocks that agree are equally full, so the fullest of them is
   entered by both.  Rows that agree in a block meet by a shuffle on block and sub-point; no
   text is compared with all of its size, and shared passages rarely fill such blocks.
-* **First links.**  In each meeting every text is held against the smallest one only: the
-  bound by summed minima, then the exact sets.  A group of copies thus costs its size.
+* **First links.**  In each meeting every text is held against the one first numbered only:
+  the bound by summed minima, then the exact sets.  A group of copies thus costs its size.
 * **R-tree.**  Meetings that are not yet of one component get an R-tree of their points:
   a search descends where the summed minima with the upper corner of a box still allow a
-  link.  Pairs that survive in the leaves and are not connected already are verified once,
-  in however many meetings they were found.
-
-Sets of n-grams are 64-bit hashes.  Nothing is dropped: all pairs that can link are verified
-or known to be connected.
+  link.  What comes of a meeting is its texts that have a partner left, never the pairs.
+* **Verification.**  Only those texts meet again, with their sets: a second search verifies
+  the pairs that are not connected yet and keeps a forest of the links, so no more than
+  ``n - 1`` rows come out of ``n``.  Meetings are dealt to tasks by bytes.
+
+Sets of n-grams are 64-bit hashes, equal sets are told by 128 bits and numbered, so two
+classes never share a name.  Nothing is dropped: all pairs that can link are verified or
+known to be connected.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.llm.common import broadcast_if_small, components, cut, drop_cut, slices
@@ -37,10 +40,11 @@ from vitrina.llm.common import broadcast_if_small, components, cut, drop_cut, sl
 CLASS_RATIO = 1.6
 #: Dimensions of the points that bound overlaps, texts in an R-tree leaf, children of a node.
 DIMENSIONS, LEAF = 256, 16
-#: Rows of one meeting that one task compares at once.
-MEETING_ROWS = 2048
-#: Rows of meetings that are searched in one task at a time, and pairs bounded at a time.
-BIN_ROWS, STEP = 4096, 4096
+#: Bytes of one meeting that one task compares with as many others at once, bytes of meetings
+#: that are searched in one task at a time, and pairs bounded at a time.
+PART_BYTES, BIN_BYTES, STEP = 2 << 20, 6 << 20, 4096
+#: Bytes of a row without its set, or with its point.
+ROW_BYTES, POINT_BYTES = 100, 1100
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,25 +59,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 _GROUPS = mix(np.arange(1 << 16, dtype=np.uint64) + _MULTIPLY) | np.uint64(1)
 
 
-class WordHash:
-    """64-bit hashes of words; those of one worker's texts are remembered."""
-
-    MOST = 1_000_000
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    import xxhash
 
-        if len(self.known) + len(words) > self.MOST:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        known.update((w, digest(w)) for w in words if w not in known)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-_hash = WordHash()
 _SPACE = " \t\n\v\f\r"
 
 
@@ -82,7 +74,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     A-Z lower-cased; with fewer than n words the whole sequence is one; none without words."""
     split = pc.ascii_split_whitespace(pa.array([(t or "").encode().lower().strip() for t in texts], pa.binary()).cast(pa.string()))
     words = split.flatten().dictionary_encode()
-    flat = _hash.of(words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
+    flat = word_hashes(words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
     start = split.offsets.to_numpy()[:-1].astype(np.int64)
     counts = np.diff(split.offsets.to_numpy()).astype(np.int64)
     counts[[not (t and t.strip(_SPACE)) for t in texts]] = 0  # such a text is split to one empty word
@@ -190,53 +182,104 @@ class RTree:
             at = np.arange(0, len(n), LEAF)
             self.levels.append((np.maximum.reduceat(p, at), np.minimum.reduceat(n, at)))
 
-    def search(self, num: int, den: int, wanted) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, num: int, den: int, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions ``(i, j)`` of pairs of points that the bound leaves, of those for which
-        ``wanted(i, j)`` holds.  All points descend together, ``STEP`` at a time."""
+        ``wanted(i, j)`` holds, few at a time.  All points descend together, ``STEP`` at a time."""
         points, sizes = self.points, self.sizes
         todo = [(len(self.levels) - 1, np.arange(len(sizes)), np.zeros(len(sizes), np.int64))]
-        out_i, out_j = [], []
         while todo:
             depth, i, at = todo.pop()
             if len(i) > STEP:
                 todo += [(depth, i[k : k + STEP], at[k : k + STEP]) for k in range(0, len(i), STEP)]
                 continue
+            if not depth:
+                keep = wanted(i, self.order[at])
+                i, at = i[keep], at[keep]
             corners, least = self.levels[depth]
             keep = may_link(corners[at], points[i], least[at], sizes[i], num, den)
             i, at = i[keep], at[keep]
             if not len(i):
                 continue
             if not depth:
-                out_i.append(i)
-                out_j.append(self.order[at])
+                yield i, self.order[at]
                 continue
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
             i = np.repeat(i, LEAF)
             keep = at < len(self.levels[depth - 1][1])
-            i, at = i[keep], at[keep]
-            if depth == 1:
-                keep = wanted(i, self.order[at])
-                i, at = i[keep], at[keep]
-            todo.append((depth - 1, i, at))
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(out_i or none), np.concatenate(out_j or none)
+            todo.append((depth - 1, i[keep], at[keep]))
 
 
-def search_meeting(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, before: list[set], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a meeting that the R-tree leaves, but for those connected already (equal
-    ``groups``) and those that meet in an earlier meeting too (``before`` has the earlier ones of
-    each row), so that each pair is found once.  Pairs within one ``side`` of a split meeting are
-    found by another task unless all rows are of one side."""
+def across(side: np.ndarray):
+    """Which pairs of a meeting are its own: those of two sides of a split meeting, all if it
+    has one side (pairs within a side are found by the task of that side)."""
     one = bool((side == side[0]).all())
+    return lambda i, j: (j < i) if one else (j < i) & (side[j] != side[i])
+
+
+def partnered(groups: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, before: list[set], num: int, den: int) -> np.ndarray:
+    """Whether each row of a meeting has a partner that the R-tree leaves: both rows of each
+    pair that is not connected already (equal ``groups``) and does not meet in an earlier meeting
+    (``before`` has the earlier ones of each row).  Once both rows of a pair are marked it is not
+    looked at any more."""
+    marked, own = np.zeros(len(sizes), bool), across(side)
 
     def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        keep = (j < i) & (groups[j] != groups[i])
-        return keep if one else keep & (side[j] != side[i])
+        return own(i, j) & (groups[j] != groups[i]) & ~(marked[i] & marked[j])
+
+    for i, j in RTree(points, sizes).search(num, den, wanted):
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            if not (marked[a] and marked[b]) and before[a].isdisjoint(before[b]):
+                marked[a] = marked[b] = True
+    return marked
 
-    i, j = RTree(points, sizes).search(num, den, wanted)
-    first = np.array([before[a].isdisjoint(before[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
-    a, b = ids[i[first]], ids[j[first]]
-    return np.minimum(a, b), np.maximum(a, b)
+
+def linking(groups: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A forest of the links of a meeting: positions of linked pairs that connect all that its
+    links connect, ``groups`` being connected already."""
+    root = np.unique(groups, return_inverse=True)[1].tolist()
+    own, kept = across(side), []
+    tops = list(range(max(root) + 1))
+
+    def top(k: int) -> int:
+        while tops[k] != k:
+            tops[k] = tops[tops[k]]
+            k = tops[k]
+        return k
+
+    now = np.array(root)
+
+    def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return own(i, j) & (now[j] != now[i])
+
+    points, sizes = np.stack([point(s) for s in sets]), np.array([len(s) for s in sets])
+    for i, j in RTree(points, sizes).search(num, den, wanted):
+        links = len(kept)
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = top(root[a]), top(root[b])
+            if p != q and linked(sets[a], sets[b], num, den):
+                tops[max(p, q)] = min(p, q)
+                kept.append((a, b))
+        if len(kept) > links:
+            now = np.array([top(r) for r in root])
+    return kept
+
+
+def meeting_ends(table: pa.Table) -> list[tuple[int, int]]:
+    """The ranges of the meetings in a table sorted by them."""
+    names = np.stack([table.column(c).to_numpy() for c in ("key", "part_p", "part_q")])
+    ends = [*(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), table.num_rows]
+    return list(zip([0, *ends], ends))
+
+
+def dealt(rows: DataFrame, weight: Column, total: int) -> DataFrame:
+    """``rows(key, c, ...)`` of meetings with ``part, part_p, part_q`` and a ``bin`` of bounded bytes: a meeting of more than ``PART_BYTES``
+    is split by row, and every two parts of it meet in a task of their own; small ones share a bin.
+    ``total``: bytes of all."""
+    weighed = rows.groupBy("key").agg(F.ceil(F.sum(weight) / PART_BYTES).cast("int").alias("_parts"))
+    rows = rows.join(weighed, "key").withColumn("part", F.pmod(F.xxhash64("c"), F.col("_parts")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("p"), F.greatest(k, F.col("part")).alias("q")))
+    rows = rows.withColumn("_m", F.explode(meets)).withColumns({"part_p": F.col("_m.p"), "part_q": F.col("_m.q")}).drop("_m", "_parts")
+    return rows.withColumn("bin", F.pmod(F.xxhash64("key", "part_p", "part_q"), F.lit(total // BIN_BYTES + 1)))
 
 
 def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,101 +306,116 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
 
     marked = cut(rows.mapInArrow(mark, "k bigint, h bigint, size bigint, f bigint, g bigint, keys array<bigint>"), "text-keys")
     # Keys that more than one row has, by 32 of their bits: a superset in rows of half the width.
-    own = marked.select(F.xxhash64("f", "g").alias("c"), F.explode("keys").alias("key")).withColumn("short", F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    own = marked.select(F.xxhash64("f", "g").alias("x"), F.explode("keys").alias("key")).withColumn("short", F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     often = cut(own.groupBy("short").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("short"), "text-often")
-    members = cut(own.join(often, "short", "left_semi").select("key", "c").distinct(), "text-members")
-    base = cut(marked.select("k", "h", "size", "f", "g", F.xxhash64("f", "g").alias("c")), "text-rows")
+    members = cut(own.join(often, "short", "left_semi").select("key", "x").distinct(), "text-members")
+    # Equal sets are one class, numbered, with its smallest key.  Members find their class by 64
+    # bits: should two classes share them, both meet for each other, which links nothing falsely.
+    base = cut(marked.select("k", "h", "size", "f", "g"), "text-rows")
     drop_cut(marked)
-    # Equal sets are one class, named by its smallest key.
-    classes = base.where("size > 0").groupBy("c", "f", "g").agg(F.min(F.struct(F.col("k").isNull().alias("z"), "k", "h")).alias("first"), F.min("size").alias("size"))
-    classes = cut(classes.select("c", "f", "g", F.col("first.k").alias("rep"), F.col("first.h").alias("rep_h"), "size"), "text-classes")
-
-    meetings = cut(members.groupBy("key").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "text-meetings")
-    members = cut(members.join(meetings, "key"), "text-members")
-    small, large = classes.select(F.col("c").alias("x"), F.col("size").alias("m")), classes.select(F.col("c").alias("a"), F.col("size").alias("l"))
-    sized = members.where("c != a").select(F.col("c").alias("x"), "a").distinct().join(small, "x").join(large, "a")
-    edges = cut(sized.where(f"least(m, l) * {den} >= greatest(m, l) * {num}").select("x", "a"), "text-edges")
+    drop_cut(often)
+    classes = base.where("size > 0").groupBy("f", "g").agg(F.min(F.struct(F.col("k").isNull().alias("z"), "k", "h")).alias("first"), F.min("size").alias("size"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("c"), "f", "g", F.col("first.k").alias("rep"), F.col("first.h").alias("rep_h"), "size"), "text-classes")
+    met = cut(members.join(classes.select(F.xxhash64("f", "g").alias("x"), "c", "size"), "x").select("key", "c", "size"), "text-met")
+    drop_cut(members)
+    meetings = met.groupBy("key").agg(F.min(F.struct("c", "size")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(met.join(meetings, "key"), "text-members")
+    drop_cut(met)
+    star = members.where("c != a.c").where(f"least(size, a.size) * {den} >= greatest(size, a.size) * {num}")
+    edges = cut(star.select(F.col("c").alias("x"), F.col("a.c").alias("a")).distinct(), "text-edges")
 
     # The sets of the classes that meet any other, made again from one of their rows.
-    wanted = cut(members.select("c").distinct().join(classes, "c"), "text-wanted")
-    reps = broadcast_if_small(wanted.select("rep", "rep_h"), wanted.count(), 48)
-    again = rows.join(reps, F.col("k").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h")), "left_semi")
-    again = again.groupBy("k", "h").agg(F.any_value("t").alias("t")).select("t")  # repeated rows once
+    wanted = cut(members.select("c").distinct().join(classes, "c").select("c", "rep", "rep_h"), "text-wanted")
+    reps = broadcast_if_small(wanted, wanted.count(), 56)
+    again = rows.join(reps, F.col("k").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h")))
+    again = again.groupBy("c").agg(F.any_value("t").alias("t"))  # repeated rows once
 
     def remake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("t").to_pylist()
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], n)
-                f, g = zip(*map(fingerprint, sets), strict=True)
                 points = [point(s).astype("<i4").tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(points, pa.binary())], names=["f", "g", "s", "p"])
+                yield pa.RecordBatch.from_arrays([batch.column("c").slice(a, b - a), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(points, pa.binary())], names=["c", "s", "p"])
 
-    sets = again.mapInArrow(remake, "f bigint, g bigint, s array<bigint>, p binary").select(F.xxhash64("f", "g").alias("c"), "s", "p", F.size("s").alias("size"))
-    sets = cut(sets, "text-sets")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("sx"), batch.column("sa")
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                a, b = (np.asarray(v[i].values).view(np.uint64) for v in (x, y))
-                keep[i] = linked(a, b, num, den)
-            yield batch.select(["x", "a"]).filter(pa.array(keep))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("c").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
-        return cut(both.select("x", "a", "sx", "sa").mapInArrow(verify, "x bigint, a bigint"), "text-links")
+    sets = cut(again.mapInArrow(remake, "c bigint, s array<bigint>, p binary").withColumn("size", F.size("s").cast("bigint")), "text-sets")
+    drop_cut(wanted)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, DIMENSIONS).astype(np.int64) for c in ("px", "pa"))
-            yield batch.select(["x", "a"]).filter(pa.array(may_link(x, y, batch.column("nx").to_numpy(), batch.column("na").to_numpy(), num, den)))
-
-    points = edges.join(sets.select(F.col("c").alias("x"), F.col("p").alias("px"), F.col("size").cast("bigint").alias("nx")), "x")
-    points = points.join(sets.select(F.col("c").alias("a"), F.col("p").alias("pa"), F.col("size").cast("bigint").alias("na")), "a")
-    links = verified(points.select("x", "a", "px", "pa", "nx", "na").mapInArrow(bounded, "x bigint, a bigint"))
+            for k in range(0, batch.num_rows, STEP):
+                b = batch.slice(k, STEP)
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<i4").reshape(-1, DIMENSIONS) for c in ("px", "pa"))
+                yield b.select(["x", "a"]).filter(pa.array(may_link(x, y, b.column("nx").to_numpy(), b.column("na").to_numpy(), num, den)))
+
+    points = edges.join(sets.select(F.col("c").alias("x"), F.col("p").alias("px"), F.col("size").alias("nx")), "x")
+    points = points.join(sets.select(F.col("c").alias("a"), F.col("p").alias("pa"), F.col("size").alias("na")), "a")
+    left = cut(points.select("x", "a", "px", "pa", "nx", "na").mapInArrow(bounded, "x bigint, a bigint"), "text-edges")
+    drop_cut(edges)
+    # Two sets in a row at a time: the intersection is taken in the row.
+    both = left.join(sets.select(F.col("c").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
+    shared = F.size(F.array_intersect("sx", "sa")).cast("bigint")
+    both = both.select("x", "a", shared.alias("shared"), (F.size("sx") + F.size("sa")).cast("bigint").alias("sum"))
+    links = cut(both.where(f"shared > 0 and {den} * shared >= {num} * (sum - shared)").select("x", "a"), "text-links")
+    drop_cut(left)
 
     # Meetings of three and more that the first links did not connect: one of those that have
-    # the same rows, in parts of bounded size.
-    joined = components(links, "x", "a").select(F.col("node").alias("c"), "component")
-    split = members.where("n > 2").join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    # the same rows.
+    first = components(links, "x", "a")
+    joined = first.select(F.col("node").alias("c"), "component")
+    split = members.where("n > 2").select("key", "c", "n").join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
     split = cut(split, "text-split")
+    drop_cut(members)
+    drop_cut(first)
     open_ = split.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("rows"))
     open_ = open_.where("p != q").groupBy("n", "rows").agg(F.min("key").alias("key")).select("key")
-    parts = F.ceil(F.col("n") / MEETING_ROWS).cast("int")
-    part = F.pmod("c", parts).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("p"), F.greatest(k, F.col("part")).alias("q")))
-    asked = split.join(open_, "key")
+    asked = cut(split.join(open_, "key").select("key", "c", "component"), "text-open")
+    drop_cut(split)
     own = asked.groupBy("c").agg(F.collect_set("key").alias("keys"))  # no more than a text's own blocks
-    asked = asked.join(own, "c").withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))
-    asked = asked.withColumn("part", part).select("key", "c", "component", "part", "keys", F.explode(meets).alias("m"))
-    asked = asked.select("key", "c", "component", "part", "keys", F.col("m.p").alias("part_p"), F.col("m.q").alias("part_q"))
-    # Small meetings are searched many to a task.
-    asked = cut(asked.select("key", "part_p", "part_q", "c", "component", "part", "keys"), "text-asked")
-    bins = F.pmod(F.xxhash64("key", "part_p", "part_q"), F.lit(asked.count() // BIN_ROWS + 1))
-    asked = asked.withColumn("bin", bins).join(sets.select("c", "p", "size"), "c")
+    asked_of = dealt(asked, F.lit(POINT_BYTES), asked.count() * POINT_BYTES)
+    asked_of = asked_of.join(own, "c").withColumn("keys", F.filter("keys", lambda k: k < F.col("key"))).join(sets.select("c", "p", "size"), "c")
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("part_p", "ascending"), ("part_q", "ascending")])
         col = lambda name: table.column(name).to_numpy()
         points = np.frombuffer(b"".join(table.column("p").to_pylist()), "<i4").reshape(-1, DIMENSIONS)
         before = [set(k) for k in table.column("keys").to_pylist()]
-        c, component, size, part = col("c"), col("component"), col("size").astype(np.int64), col("part")
-        names = np.stack([col("key"), col("part_p"), col("part_q")])
-        ends = [*(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), len(c)]
-        found = [search_meeting(c[a:b], component[a:b], size[a:b], points[a:b], part[a:b], before[a:b], num, den) for a, b in zip([0, *ends], ends)]
-        return pa.table({"x": np.concatenate([x for x, _ in found]), "a": np.concatenate([a for _, a in found])})
+        component, size, part = col("component"), col("size"), col("part")
+        keep = [partnered(component[a:b], size[a:b], points[a:b], part[a:b], before[a:b], num, den) for a, b in meeting_ends(table)]
+        return table.select(["key", "c", "component"]).filter(pa.array(np.concatenate(keep)))
+
+    found = asked_of.groupBy("bin").applyInArrow(search, "key bigint, c bigint, component bigint").distinct()
+    found = cut(found.join(sets.select("c", "size"), "c"), "text-found")
+    drop_cut(asked)
+    weight = F.col("size") * 8 + ROW_BYTES
+    again = dealt(found, weight, found.agg(F.sum(weight)).first()[0] or 0).drop("size").join(sets.select("c", "s"), "c")
 
-    found = asked.groupBy("bin").applyInArrow(search, "x bigint, a bigint")
-    known = edges.select(F.least("x", "a").alias("x"), F.greatest("x", "a").alias("a"))
-    more = verified(cut(found.join(known, ["x", "a"], "left_anti"), "text-edges"))
-    joined = components(links.unionByName(more), "x", "a").select(F.col("node").alias("c"), "component")
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("part_p", "ascending"), ("part_q", "ascending")])
+        c, component, part = (table.column(x).to_numpy() for x in ("c", "component", "part"))
+        s = table.column("s").combine_chunks()
+        values, at = s.values.to_numpy().view(np.uint64), s.offsets.to_numpy()
+        x, y = [], []
+        for a, b in meeting_ends(table):
+            kept = linking(component[a:b], [values[at[k] : at[k + 1]] for k in range(a, b)], part[a:b], num, den)
+            x += [c[a + i] for i, _ in kept]
+            y += [c[a + j] for _, j in kept]
+        return pa.table({"x": pa.array(x, pa.int64()), "a": pa.array(y, pa.int64())})
+
+    more = cut(again.groupBy("bin").applyInArrow(verify, "x bigint, a bigint"), "text-links")
+    drop_cut(found)
+    drop_cut(sets)
+    last = components(links.unionByName(more), "x", "a")
+    joined = last.select(F.col("node").alias("c"), "component")
+    drop_cut(links)
+    drop_cut(more)
 
     named = classes.join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = cut(named.join(least, "component").select("c", "component_id"), "text-named")
-    out = base.join(broadcast_if_small(named, named.count(), 64), "c", "left")
+    named = cut(named.join(least, "component").select("f", "g", "component_id"), "text-named")
+    drop_cut(classes)
+    drop_cut(last)
+    out = base.join(broadcast_if_small(named, named.count(), 64), ["f", "g"], "left")
     component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("k"))
     return out.select(F.col("k").alias(key), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("h").alias("text_hash"))
 

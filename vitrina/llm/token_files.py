@@ -34,7 +34,8 @@ MAGIC = b"RPG1"
 BLOCK_IDS = 2_000_000
 #: A pair is replaced while it occurs so often; one rule costs about as much as four symbols.
 LEAST_PAIRS = 6
-KNOWN_WORDS = 1_000_000
+#: Words, and their characters, remembered by one Python worker; the memory is emptied when it is full.
+KNOWN_WORDS, KNOWN_CHARS = 1_000_000, 24_000_000
 
 # The tokenizer's own splitting, for texts of these characters only (their composed form,
 # lower case and classes need no tables); other texts go through the library whole.
@@ -49,7 +50,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.chars = Tokenizer.from_file(path), {}, 0
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -61,9 +62,11 @@ class WordEncoder:
         split = [None if PLAIN.search(t) else WORDS.findall(t.lower()) for t in (t or "" for t in texts)]
         known = self.known
         new = list({w for ws in split if ws for w in ws if w not in known})
-        if len(known) + len(new) > KNOWN_WORDS:
+        if len(known) + len(new) > KNOWN_WORDS or self.chars + sum(map(len, new)) > KNOWN_CHARS:
             known.clear()
+            self.chars = 0
             new = list({w for ws in split if ws for w in ws})
+        self.chars += sum(map(len, new))
         for i in range(0, len(new), 512):
             some = new[i : i + 512]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)

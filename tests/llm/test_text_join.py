@@ -136,7 +136,7 @@ def test_a_meeting_gives_a_forest_not_its_pairs():
     kept = tj.linking(groups, [*sets, alone], side, 85, 100)
     assert len(kept) == 699 and all(700 not in p for p in kept)
     points, sizes = np.stack([tj.point(s) for s in [*sets, alone]]), np.array([len(s) for s in [*sets, alone]])
-    marked = tj.partnered(groups, sizes, points, side, [set()] * 701, 85, 100)
+    marked = tj.partnered(groups, sizes, points, side, 85, 100)
     assert marked[:700].all() and not marked[700]
     assert tj.linking(np.zeros(701, np.int64), [*sets, alone], side, 85, 100) == []
     # Of a split meeting a task links across its two sides only.

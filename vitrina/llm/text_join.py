@@ -216,20 +216,17 @@ def across(side: np.ndarray):
     return lambda i, j: (j < i) if one else (j < i) & (side[j] != side[i])
 
 
-def partnered(groups: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, before: list[set], num: int, den: int) -> np.ndarray:
+def partnered(groups: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether each row of a meeting has a partner that the R-tree leaves: both rows of each
-    pair that is not connected already (equal ``groups``) and does not meet in an earlier meeting
-    (``before`` has the earlier ones of each row).  Once both rows of a pair are marked it is not
-    looked at any more."""
+    pair that is not connected already (equal ``groups``).  Once both rows of a pair are marked it
+    is not looked at any more."""
     marked, own = np.zeros(len(sizes), bool), across(side)
 
     def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return own(i, j) & (groups[j] != groups[i]) & ~(marked[i] & marked[j])
 
     for i, j in RTree(points, sizes).search(num, den, wanted):
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            if not (marked[a] and marked[b]) and before[a].isdisjoint(before[b]):
-                marked[a] = marked[b] = True
+        marked[i] = marked[j] = True
     return marked
 
 
@@ -271,6 +268,12 @@ def meeting_ends(table: pa.Table) -> list[tuple[int, int]]:
     return list(zip([0, *ends], ends))
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """``(key)``: one meeting of ``rows(key, c, ...)`` for each set of members (told by 128 bits)."""
+    sums = [F.sum(F.xxhash64("c", F.lit(k)).cast("decimal(38,0)")).alias(f"_{k}") for k in (0, 1)]
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), *sums).groupBy("_n", "_0", "_1").agg(F.min("key").alias("key")).select("key")
+
+
 def dealt(rows: DataFrame, weight: Column, total: int) -> DataFrame:
     """``rows(key, c, ...)`` of meetings with ``part, part_p, part_q`` and a ``bin`` of bounded bytes: a meeting of more than ``PART_BYTES``
     is split by row, and every two parts of it meet in a task of their own; small ones share a bin.
@@ -367,26 +370,25 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
     split = cut(split, "text-split")
     drop_cut(members)
     drop_cut(first)
-    open_ = split.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("rows"))
-    open_ = open_.where("p != q").groupBy("n", "rows").agg(F.min("key").alias("key")).select("key")
-    asked = cut(split.join(open_, "key").select("key", "c", "component"), "text-open")
+    open_ = split.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("key")
+    split = cut(split.join(open_, "key").select("key", "c", "component"), "text-open")
+    asked = cut(split.join(once(split), "key"), "text-asked")
     drop_cut(split)
-    own = asked.groupBy("c").agg(F.collect_set("key").alias("keys"))  # no more than a text's own blocks
-    asked_of = dealt(asked, F.lit(POINT_BYTES), asked.count() * POINT_BYTES)
-    asked_of = asked_of.join(own, "c").withColumn("keys", F.filter("keys", lambda k: k < F.col("key"))).join(sets.select("c", "p", "size"), "c")
+    asked_of = dealt(asked, F.lit(POINT_BYTES), asked.count() * POINT_BYTES).join(sets.select("c", "p", "size"), "c")
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("part_p", "ascending"), ("part_q", "ascending")])
         col = lambda name: table.column(name).to_numpy()
         points = np.frombuffer(b"".join(table.column("p").to_pylist()), "<i4").reshape(-1, DIMENSIONS)
-        before = [set(k) for k in table.column("keys").to_pylist()]
         component, size, part = col("component"), col("size"), col("part")
-        keep = [partnered(component[a:b], size[a:b], points[a:b], part[a:b], before[a:b], num, den) for a, b in meeting_ends(table)]
+        keep = [partnered(component[a:b], size[a:b], points[a:b], part[a:b], num, den) for a, b in meeting_ends(table)]
         return table.select(["key", "c", "component"]).filter(pa.array(np.concatenate(keep)))
 
     found = asked_of.groupBy("bin").applyInArrow(search, "key bigint, c bigint, component bigint").distinct()
-    found = cut(found.join(sets.select("c", "size"), "c"), "text-found")
+    marked = cut(found, "text-marked")
     drop_cut(asked)
+    found = cut(marked.join(once(marked), "key").join(sets.select("c", "size"), "c"), "text-found")
+    drop_cut(marked)
     weight = F.col("size") * 8 + ROW_BYTES
     again = dealt(found, weight, found.agg(F.sum(weight)).first()[0] or 0).drop("size").join(sets.select("c", "s"), "c")
 
@@ -410,9 +412,11 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
     drop_cut(links)
     drop_cut(more)
 
-    named = classes.join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = cut(named.join(least, "component").select("f", "g", "component_id"), "text-named")
+    # The smallest key of each component of several classes; another class has its own.
+    least = cut(joined.join(classes, "c").groupBy("component").agg(F.min("rep").alias("component_id")), "text-least")
+    joined = joined.join(broadcast_if_small(least, least.count(), 48), "component").select("c", "component_id")
+    named = cut(classes.join(joined, "c", "left").select("f", "g", F.coalesce("component_id", "rep").alias("component_id")), "text-named")
+    drop_cut(least)
     drop_cut(classes)
     drop_cut(last)
     out = base.join(broadcast_if_small(named, named.count(), 64), ["f", "g"], "left")

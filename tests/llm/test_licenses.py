@@ -39,6 +39,65 @@ def test_equals_sql_on_overlapping_phrases(spark):
     assert got == want
 
 
+# Texts and their labels, written down from the licenses' own notices, not from the rules.
+EXPECTED = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+    ("MIT No Attribution", "mit-0"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "apache,apache-2.0"),
+    ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2.0-only"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0-or-later"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1-or-later"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+    ("SPDX-License-Identifier: MIT", "mit"),
+    ("SPDX-License-Identifier: BSL-1.0", "bsl-1.0"),
+    ("GPLv3 or later", "gpl-3.0-or-later"),
+    ("GNU GPL v2", "gpl-2.0-only"),
+    ("under the terms of the GNU General Public License, version 3", "gpl,gpl-3.0-only"),
+    ("the GNU Lesser General Public License version 2.1 or any later version", "gpl,lgpl-2.1-or-later"),
+    ("GNU Library General Public License", "gpl,lgpl"),
+    ("GNU Affero General Public License version 3", "agpl-3.0-only,gpl"),
+    ("GNU Free Documentation License, Version 1.3", "gfdl-1.3"),
+    ("Microsoft Public License (MS-PL)", "ms-pl"),
+    ("Microsoft Reciprocal License", "ms-rl"),
+    ("Academic Free License version 3.0", "afl-3.0"),
+    ("SIL Open Font License, Version 1.1", "ofl,ofl-1.1"),
+    ("Open Font License 1.1", "ofl-1.1"),
+    ("Common Development and Distribution License 1.0", "cddl-1.0"),
+    ("Common Public Attribution License Version 1.0", "cpal-1.0"),
+    ("Common Public License 1.0", "cpl-1.0"),
+    ("Open Data Commons Attribution License", "odc-by-1.0"),
+    ("Open Database License 1.0", "odbl-1.0"),
+    ("Eclipse Distribution License 1.0", "edl-1.0"),
+    ("Eclipse Public License 2.0", "epl-2.0"),
+    ("Boost Software License - Version 1.0", "bsl-1.0"),
+    ("Open Software License 3.0", "osl-3.0"),
+    ("Creative Commons Attribution-ShareAlike 4.0 International", "cc-by-sa-4.0"),
+    ("CC BY-NC-ND 4.0", "cc-by-nc-nd-4.0"),
+    ("CC0 1.0 Universal", "cc0-1.0"),
+    ("Mozilla Public License, v. 2.0", "mpl-2.0"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("3-clause BSD license", "bsd-3-clause"),
+    ("the new BSD license", "bsd-3-clause"),
+    ("Copyright 2020 Example Ltd. All rights reserved.", "proprietary"),
+    ("a public library and a general license to print", ""),
+    ("the lesser evil", ""),
+]
+
+
+def test_labels_of_real_notices(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(EXPECTED)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert {t: got[i] for i, (t, _) in enumerate(EXPECTED)} == dict(EXPECTED)
+
+
+def test_many_matches_in_one_text(spark):
+    text = "mit license; gpl v2 or later, apache license 2.0. " * 6000
+    began = __import__("time").time()
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_base, r.labels) == (12000, "apache,apache-2.0,gpl-2.0-or-later,mit") and __import__("time").time() - began < 60
+
+
 def test_hand_made_cases(spark):
     text = "Licensed under the Apache License, Version 2.0. MIT license; xmit license"
     rows = [(1, text), (2, None), (3, ""), (4, "..."), (5, "mit"), (6, "Mit\u00a0License"), (7, "mit license " * 300), (8, "GNU General-Public license v3"), (8, "GNU General-Public license v3")]
@@ -50,6 +109,6 @@ def test_hand_made_cases(spark):
         assert (out[i].n_words, out[i].n_base, out[i].first_word, out[i].labels, out[i].score) == (0, 0, None, "", 0.0)
     assert out[5].labels == "" and out[6].n_base == 0  # U+00A0 is part of a word
     assert (out[7].n_base, out[7].last_word, out[7].n_words) == (300, 598, 600)
-    assert out[8].base_labels == "gpl" and out[8].labels == "gpl"
+    assert out[8].base_labels == "gpl" and out[8].labels == "gpl,gpl-3.0-only"
     assert licenses.scan(df).count() == len(rows) and licenses.scan(df.limit(0)).count() == 0
     assert isinstance(licenses.scan(df).schema["n_words"].dataType, T.LongType)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast up to this many bytes of rows, counted before.
@@ -59,6 +59,38 @@ def slices(texts: list[str | None], most: int = 1_500_000) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once for the row."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+#: Items of a block of :func:`running`.
+BLOCK = 64
+
+
+def running(items: Column, value: Callable[[Column], Column], plus: Callable[[Column, Column], Column], zero: int) -> Column:
+    """``struct(x, before)`` of each item of an array: ``before`` is ``plus`` over the values of all items before it,
+    ``zero`` (which changes nothing) before the first.
+    They are taken within blocks and over whole blocks before, so a long array takes little more
+    than time in proportion (an aggregation that collects an array copies it at each step)."""
+
+    def over(blocks: Column, totals: Column) -> Column:
+        def block(own: Column, b: Column) -> Column:
+            start = F.aggregate(F.slice(totals, F.lit(1), b), F.lit(zero), lambda a, y: plus(a, y))
+            each = lambda off: F.transform(own, lambda x, j: F.struct(x.alias("x"), F.aggregate(F.slice(own, F.lit(1), j), off, lambda a, y: plus(a, value(y))).alias("before")))
+            return let(start, each)
+
+        return F.flatten(F.transform(blocks, block))
+
+    def blocked(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+        blocks = F.when(F.size(all_) > 0, blocks).otherwise(F.slice(F.array(all_), F.lit(1), F.lit(0)))
+        totals = lambda bs: F.transform(bs, lambda own: F.aggregate(own, F.lit(zero), lambda a, y: plus(a, value(y))))
+        return let(blocks, lambda bs: let(totals(bs), lambda ts: over(bs, ts)))
+
+    return let(items, blocked)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list by alternating star contraction.
 

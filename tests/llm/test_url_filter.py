@@ -28,37 +28,45 @@ def brute(urls):
     counts.update({s: 2 for s in uf.SEEDS})
     total = sum(counts.values())
     words = {h: [w for p in own[h] for w in uf.viterbi(p, counts - Counter([p]), total)] for h in hosts}
-    bad = {h: bool(set(words[h]) & set(uf.SEEDS)) for h in hosts}
     shape = lambda p: [w for w in re.split(r"[^\w]+|_", re.sub("[0-9]+", " 0 ", p.lower())) if w]
-    n = {True: Counter(), False: Counter()}
-    for h in hosts:
-        n[bad[h]].update(words[h])
-    for h, p in parsed:
-        if h:
-            n[bad[h]].update(shape(p))
-    v, b, a = len(n[True] | n[False]), sum(n[True].values()), sum(n[False].values())
-    odds = {w: math.log((n[True][w] + 1) / (b + v)) - math.log((n[False][w] + 1) / (a + v)) for w in n[True] | n[False]}
-    prior = math.log((sum(bad.values()) + 1) / (len(hosts) - sum(bad.values()) + 1))
+    shapes = {h: {tuple(shape(p)) for g, p in parsed if g == h} for h in hosts}
+    bad = {h: bool(set(words[h]) & set(uf.SEEDS)) or sum(bool(set(x) & set(uf.SEEDS)) for x in shapes[h]) >= len(shapes[h]) / 2 for h in hosts}
+
+    def odds(of):
+        n = {True: Counter(), False: Counter()}
+        for h in hosts:
+            n[bad[h]].update(set(of(h)))
+        b, a = sum(n[True].values()), sum(n[False].values())
+        share = {w: (n[True][w] + n[False][w]) / (a + b) for w in n[True] | n[False]}
+        return {w: math.log((n[True][w] + q) / (b + 1)) - math.log((n[False][w] + q) / (a + 1)) if a and b else 0.0 for w, q in share.items()}
+
+    of_host, of_path = odds(lambda h: words[h]), odds(lambda h: [w for x in shapes[h] for w in x])
+    prior = math.log(sum(bad.values()) / max(0.5, len(hosts) - sum(bad.values()))) if any(bad.values()) else -1.0
     out = []
     for h, p in parsed:
         rule, verdict = brute_rule(h, p)
-        score = prior + sum(odds[w] for w in words[h]) + sum(odds.get(w, 0) for w in shape(p)) if h else 0.0
+        path = [of_path[w] for w in set(shape(p))] if h else []
+        score = prior + sum(of_host[w] for w in set(words[h])) + (sum(path) / len(path) if path else 0) if h else 0.0
         out.append((h, p, rule, verdict or ("block" if score > 0 else "allow"), score))
     return out
 
 
 def test_viterbi_splits_concatenated_words():
-    counts = {"cheap": 5, "pills": 5, "casino": 3, "win": 9, "in": 4}
-    assert uf.viterbi("cheappills", counts, 30) == ["cheap", "pills"]
-    assert uf.viterbi("casinowin", counts, 30) == ["casino", "win"]
-    assert uf.viterbi("unknownword", counts, 30) == ["unknownword"]
-    assert uf.viterbi("", counts, 30) == []
+    counts = {"cheap": 5, "pills": 5, "casino": 3, "win": 9, "in": 4, "bet": 2, "ads": 2}
+    for total in (30, 300_000):
+        assert uf.viterbi("cheappills", counts, total) == ["cheap", "pills"]
+        assert uf.viterbi("casinowin", counts, total) == ["casino", "win"]
+        # No seed is read into other words, and one beside an unknown word is found.
+        for whole in ("unknownword", "alphabet", "betting", "lobeto", "roads", "heads"):
+            assert uf.viterbi(whole, counts, total) == [whole]
+        assert uf.viterbi("freecasino", counts, total) == ["free", "casino"]
+        assert uf.viterbi("", counts, total) == [] and uf.viterbi("casino" * 11, counts, total) == ["casino" * 11]
 
 
 def test_equals_brute_force(spark, data_dir):
     pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{data_dir}/pages.parquet").collect()]
     odd = [None, "", "no scheme", "http://", "://x.com/en/", "HTTP://WWW.Example.COM/en/7?q=://z", "https://free-bets.example.org?x", "https://freebets.example.org/es/9#f",
-           "http://com/en/1", "http://xcom/en/1", "http://a.example.net/de/8", "http://a.example.net/de/9", "http://é.example.net/de\n/8", "https://x..y/a//b", "x://h/a://b"]
+           "http://com/en/1", "http://xcom/en/1", "http://a.example.net/de/8", "http://a.example.net/de/9", "http://é.example.net/de\n/8", "https://x..y/a//b", "x://h/a://b", f"http://{'ab' * 40}.{'casino' * 9}.com/", "https://z.example.fr/poker/1", "https://z.example.fr/spam/2"]
     pages += [(10**6 + i, u) for i, u in enumerate(odd)] + [(7, "http://casino-bets.example.com/fr/1")] * 3
     rows = uf.judge(spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "'x' AS host", "1 AS score"), URL_RULES).collect()
     want = Counter((i, u, *x[:4], round(x[4], 6)) for (i, u), x in zip(pages, brute([u for _, u in pages]), strict=True))
@@ -72,5 +80,40 @@ def test_blocks_seeds_and_their_company_only(spark):
     assert rows["https://casino-win3.example.fr/fr/3"] == "block" and rows["https://garden3.example.fr/fr/3"] == "allow"
 
 
+def judged(spark, urls):
+    rows = uf.judge(spark.createDataFrame([(u,) for u in urls], "url string"), []).collect()
+    return {r.url: (r.verdict, round(r.score, 9)) for r in rows}
+
+
+def test_verdicts_do_not_move_with_the_number_of_pages(spark):
+    hosts = ["casino-win.example.fr", "poker-win.example.fr", "winlots.example.fr", *(f"garden-{w}.example.fr" for w in ("rose", "tool", "lawn", "pond", "tree"))]
+    urls = [f"https://{h}/{p}/1" for h in hosts for p in ("fr", "play")]
+    once = judged(spark, urls)
+    assert once == judged(spark, urls + urls[-2:] * 9 + urls[:1] * 30) and {v for v, _ in once.values()} == {"allow", "block"}
+
+
+def test_held_out_hosts_without_seeds(spark):
+    # Words of blocked hosts, seeds set aside, against words of others: half of the hosts have no seed.
+    urls, want, company, plain = [], {}, ["win", "bonus", "spin", "lucky", "vip"], ["garden", "rose", "tool", "lawn", "pond", "river", "stone"]
+    for i in range(60):
+        a, b = company[i % 5], company[(i // 5) % 5]
+        seed = ["casino", "poker", "slots"][i % 3] + "-" if i % 2 else ""
+        urls.append(f"https://{seed}{a}{'-' if a != b else ''}{b if a != b else ''}.x{i}.example.fr/fr/{i}")
+        want[urls[-1]] = "block"
+    for i in range(600):
+        urls.append(f"https://{plain[i % 7]}-{plain[(i // 7) % 7]}.y{i}.example.fr/fr/{i}")
+        want[urls[-1]] = "allow"
+    got = judged(spark, urls)
+    unseeded = [u for u in urls[:60:2]]
+    assert sum(got[u][0] == "block" for u in unseeded) >= 0.9 * len(unseeded)
+    assert all(got[u][0] == "allow" for u in urls[60:])
+
+
+def test_rare_words_are_no_evidence_in_a_large_table(spark):
+    urls = [f"https://ads-track.example.com/en/{i}" for i in range(50)] + [f"https://{a}{b}.example.{t}/en/{b}" for a in ("ther", "tion", "and") for b in ("on", "re", "ha", "ed", "or") for t in ("net", "org")]
+    got = judged(spark, urls + [f"https://w{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 4}.example.net/fr/{i}" for i in range(600)])
+    assert {u for u, (v, _) in got.items() if v == "block"} == set(urls[:50])
+
+
 def test_empty_table(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0

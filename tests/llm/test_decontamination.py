@@ -13,7 +13,7 @@ def brute(texts, index, threshold, question, answer):
             passage = ws[start : start + 2 * index.longest]
             terms = {index.vocabulary[w] for w in passage if w in index.vocabulary}
             for item in range(len(index.ids)):
-                score = sum(x for t in terms for i, x in zip(index.items[t], index.shares[t], strict=True) if i == item)
+                score = sum(x for t in terms for i, x in index.posting(t) if i == item)
                 if score >= threshold - 1e-9:
                     q, a = dc.overlap(passage, index.words[item])
                     if q >= question and a >= answer:
@@ -34,12 +34,12 @@ def test_wand_finds_all_above_the_threshold(monkeypatch, threshold, block):
         terms = sorted({index.vocabulary[w] for w in dc.words(t) if w in index.vocabulary})
         want = {}
         for x in terms:
-            for i, share in zip(index.items[x], index.shares[x], strict=True):
+            for i, share in index.posting(x):
                 want[i] = want.get(i, 0) + share
         got = dict(index.search(terms, threshold))
         assert got.keys() == {i for i, s in want.items() if s >= threshold - 1e-9}
         assert all(abs(got[i] - want[i]) < 1e-9 for i in got)
-    got = {(d, i): (q, a) for d, i, _, q, a in index.matches(texts, threshold, 0.5, 0.5)}
+    got = {(d, i): (q, a) for d, i, _, q, a in index.matches([dc.words(t) for t in texts], threshold, 0.5, 0.5)}
     assert got == {k: v[:2] for k, v in brute(texts, index, threshold, 0.5, 0.5).items()}
 
 
@@ -81,7 +81,7 @@ def test_items_in_blocks(spark, data_dir, monkeypatch):
 def test_results_do_not_depend_on_the_size_of_an_index(spark, monkeypatch):
     rng = random.Random(8)
     vocabulary = [f"w{int(rng.paretovariate(0.6))}" for _ in range(300)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(4, 40)))) for i in range(60)] + [(60, ""), (61, None)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(8, 90)))) for i in range(60)] + [(60, ""), (61, None)]
     texts = []
     for i in range(240):
         ws = items[i % 60][1].split()
@@ -94,5 +94,21 @@ def test_results_do_not_depend_on_the_size_of_an_index(spark, monkeypatch):
     left = sorted(tuple(r) for r in dc.clean(docs, benchmark, **options).collect())
     assert 40 < len(whole) and 0 < len(left) < 240
     monkeypatch.setattr(dc, "INDEX_ITEMS", 5)
+    monkeypatch.setattr(dc, "INDEXES", 3)
     assert sorted(tuple(r) for r in dc.find(docs, benchmark, **options).collect()) == whole
     assert sorted(tuple(r) for r in dc.clean(docs, benchmark, **options).collect()) == left
+
+
+def test_short_items_stand_word_for_word(spark):
+    items = [(1, "the"), (2, "of the"), (3, "name the capital"), (4, "which river is the longest"), (5, " ".join(f"q{i}" for i in range(300)))]
+    rows = [(1, "the of the and of the"), (2, "please name the capital of it"), (3, "capital the name"), (4, "the longest is which river"), (5, "Which river is the longest?"), (6, " ".join(f"q{i}" for i in range(300)))]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in dc.find(docs, benchmark).collect()) == [(2, 3), (5, 4), (6, 5)]
+
+
+def test_one_long_item_leaves_the_passages_of_short_ones():
+    # The words of a short item strewn over a long text are in no passage of its length.
+    short = [f"s{i}" for i in range(20)]
+    strewn = [w for s in short for w in [s, *(f"x{s}{k}" for k in range(40))]]
+    indexes = [dc.Index([(1, " ".join(short))]), dc.Index([(2, " ".join(f"q{i}" for i in range(3000)))])]
+    assert [m for index in indexes for m in index.matches([strewn], 0.5, 0.0, 0.0)] == [] and (dc.group(20), dc.group(65), dc.group(3000)) == (0, 1, 3)

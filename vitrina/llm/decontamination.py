@@ -1,11 +1,12 @@
 """Benchmark decontamination: BM25 retrieval of test items by training passages.
 
 The test items are an inverted index whose postings hold each item's BM25 contribution as a
-share of the score it gives itself.  Every document is read in overlapping passages, long
-enough that any item lies whole in one; each passage is a query.  Passages whose terms could
-not reach the threshold together are set aside in bulk; block-max WAND finds all items
-above the threshold for the others; the question and answer of each item found
-are compared with the passage.
+share of the score it gives itself, with the maxima of each term by blocks of items.  Every
+document is read in overlapping passages, long enough that any item lies whole in one; each
+passage is a query.  Passages no block of which could reach the threshold are set aside in
+bulk; block-max WAND finds all items above the threshold for the others; the question and
+answer of each item found are compared with the passage.  Items of like lengths share an
+index, so that short ones are not sought in the long passages of long ones.
 """
 
 from __future__ import annotations
@@ -26,10 +27,14 @@ from vitrina.llm.common import cut, drop_cut, slices
 K1, B = 1.2, 0.75
 #: Items of a block.
 BLOCK_ITEMS = 4
-#: Items of one index; more of them are queried in several passes, so that the index each
-#: executor holds has a bound.  The statistics are those of all items, so the results do not
-#: depend on it.
-INDEX_ITEMS = 2_000
+#: Items of one index, and indexes of one pass over the documents: what a worker holds (about a
+#: kilobyte an item) has a bound.  The statistics are those of all items, so the results do not
+#: depend on either.
+INDEX_ITEMS, INDEXES = 20_000, 10
+#: Words of the items of the first index of lengths; each later one has items of up to four times as many.
+LENGTHS = 64
+#: Items of fewer words say nothing; items of fewer than ``WHOLE`` must stand in a text word for word.
+LEAST, WHOLE = 3, 8
 _WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -49,7 +54,11 @@ def grams(ws: list[str], n: int = 3) -> set[tuple]:
 
 def overlap(passage: list[str], item: list[str]) -> tuple[float, float]:
     """Shares of the question's word triples (words, if it has under three) and of the
-    answer's words that the passage has; an item without a question has that of its answer."""
+    answer's words that the passage has; of an item under ``WHOLE`` words all or nothing."""
+    n = len(item)
+    if n < WHOLE:
+        whole = float(n >= LEAST and any(passage[i : i + n] == item for i in range(len(passage) - n + 1)))
+        return whole, whole
     question, answer = parts(item)
     have = set(passage)
     a = sum(w in have for w in answer) / len(answer)
@@ -59,60 +68,77 @@ def overlap(passage: list[str], item: list[str]) -> tuple[float, float]:
     return len(asked & grams(passage)) / len(asked), a
 
 
+def group(words_: int) -> int:
+    """The group of lengths of an item: up to 64 words, up to 256, ..."""
+    k, most = 0, LENGTHS
+    while words_ > most:
+        k, most = k + 1, most * 4
+    return k
+
+
 class Index:
-    """BM25 postings of the items, with maxima by term and by block of postings."""
+    """BM25 postings of the items in flat arrays, with maxima by term and by block of postings."""
 
     def __init__(self, items: list[tuple], whole: tuple[dict[str, int], int, float, int] | None = None):
         """``items``: (id, text); those without words are left out.  ``whole``: if they are a part
         of the benchmark, its document frequencies (of the part's words), its number of items, their
-        mean and greatest length."""
+        mean length, and the greatest length in the group."""
         split = sorted(((i, ws) for i, t in items if (ws := words(t))), key=lambda x: (x[0] is None, x[0]))
         self.ids, self.words = [i for i, _ in split], [ws for _, ws in split]
-        if whole is None:
-            lengths = [len(ws) for ws in self.words]
-            whole = Counter(w for ws in self.words for w in set(ws)), len(split), sum(lengths) / max(1, len(split)), max(lengths, default=1)
-        df, number, mean, self.longest = whole
-        n = len(split)
+        lengths = [len(ws) for ws in self.words]
+        df, number, mean, self.longest = whole or (Counter(w for ws in self.words for w in set(ws)), len(split), sum(lengths) / max(1, len(split)), max(lengths, default=1))
         idf = {w: math.log(1 + (number - k + 0.5) / (k + 0.5)) for w, k in df.items()}
         self.vocabulary = {w: k for k, w in enumerate(df)}
-        postings: list[list[tuple[int, float]]] = [[] for _ in df]
+        rows = []
         for item, ws in enumerate(self.words):
             weight = {w: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean)) for w, tf in Counter(ws).items()}
             own = sum(weight.values())
-            for w, x in weight.items():
-                postings[self.vocabulary[w]].append((item, x / own))
-        self.items = [[i for i, _ in p] for p in postings]
-        self.shares = [[x for _, x in p] for p in postings]
-        self.block_most = np.zeros((len(df), -(-n // BLOCK_ITEMS)), np.float32)
-        for t, own in enumerate(postings):
-            for i, x in own:
-                self.block_most[t, i // BLOCK_ITEMS] = max(self.block_most[t, i // BLOCK_ITEMS], np.nextafter(np.float32(x), np.float32(2)))
-        self.most = self.block_most.max(1) if n else np.zeros(0, np.float32)
-
-    def search(self, terms: list[int], threshold: float, first: int = 0, end: int | None = None) -> list[tuple[int, float]]:
-        """All items from ``first`` to ``end`` (exclusive) whose share by ``terms`` is at least
-        ``threshold``, by block-max WAND."""
-        end = len(self.ids) if end is None else end
-        cursors = []  # next item, term, place in its postings
+            rows += [(self.vocabulary[w], item, x / own) for w, x in weight.items()]
+        term, self.items = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        self.shares = np.array([r[2] for r in rows], np.float64)
+        order = np.lexsort((self.items, term))
+        term, self.items, self.shares = term[order], self.items[order].astype(np.int32), self.shares[order]
+        self.at = np.searchsorted(term, np.arange(len(df) + 1))
+        # A term's blocks and the largest share in each, rounded up.
+        block = self.items // BLOCK_ITEMS
+        new = np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])] if len(term) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        self.blocks = block[starts]
+        most = np.maximum.reduceat(self.shares, starts) if len(starts) else np.zeros(0)
+        self.block_most = np.nextafter(most.astype(np.float32), np.float32(2))
+        self.block_at = np.searchsorted(term[starts], np.arange(len(df) + 1))
+        self.most = np.maximum.reduceat(self.block_most, self.block_at[:-1]) if len(df) else np.zeros(0, np.float32)
+
+    def posting(self, term: int) -> list[tuple[int, float]]:
+        own = slice(self.at[term], self.at[term + 1])
+        return list(zip(self.items[own].tolist(), self.shares[own].tolist(), strict=True))
+
+    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+        """All items whose share by ``terms`` is at least ``threshold``, by block-max WAND."""
+        cursors = []  # next item, place in the list, items, shares, blocks, their maxima, the term's maximum
+        for t in terms:
+            own, of = slice(self.at[t], self.at[t + 1]), slice(self.block_at[t], self.block_at[t + 1])
+            items = self.items[own].tolist()
+            if items:
+                cursors.append([items[0], 0, items, self.shares[own].tolist(), self.blocks[of].tolist(), self.block_most[of].tolist(), float(self.most[t])])
 
         def forward(c: list, item: int) -> bool:
-            own = self.items[c[1]]
-            c[2] = bisect_left(own, item, c[2])
-            if c[2] < len(own) and own[c[2]] < end:
-                c[0] = own[c[2]]
+            c[1] = bisect_left(c[2], item, c[1])
+            if c[1] < len(c[2]):
+                c[0] = c[2][c[1]]
                 return True
             return False
 
-        for t in terms:
-            c = [0, t, 0]
-            if forward(c, first):
-                cursors.append(c)
+        def most_in(c: list, block: int) -> float:
+            k = bisect_left(c[4], block)
+            return c[5][k] if k < len(c[4]) and c[4][k] == block else 0.0
+
         found = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, None
             for k, c in enumerate(cursors):
-                bound += self.most[c[1]]
+                bound += c[6]
                 if bound >= threshold - 1e-6:
                     pivot = k
                     break
@@ -122,12 +148,12 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block = item // BLOCK_ITEMS
-            if sum(self.block_most[c[1], block] for c in cursors[: pivot + 1]) < threshold - 1e-6:
+            if sum(most_in(c, block) for c in cursors[: pivot + 1]) < threshold - 1e-6:
                 # No item before the next block or the next cursor can reach it.
                 then = min([(block + 1) * BLOCK_ITEMS, *(c[0] for c in cursors[pivot + 1 : pivot + 2])])
                 cursors = [c for k, c in enumerate(cursors) if k > pivot or forward(c, then)]
             elif cursors[0][0] == item:
-                score = math.fsum(self.shares[c[1]][c[2]] for c in cursors[: pivot + 1])
+                score = math.fsum(c[3][c[1]] for c in cursors[: pivot + 1])
                 if score >= threshold - 1e-9:
                     found.append((item, score))
                 cursors = [c for k, c in enumerate(cursors) if k > pivot or forward(c, item + 1)]
@@ -135,9 +161,9 @@ class Index:
                 cursors = [c for c in cursors if c[0] >= item or forward(c, item)]
         return found
 
-    def passages(self, split: list[list[str]], threshold: float) -> Iterator[tuple[int, int, list[int], list[int]]]:
-        """(document, first word, terms, blocks) of each passage with blocks whose maxima
-        reach the threshold.  Passage k of a document has 2 x ``longest`` words from k x ``longest``."""
+    def passages(self, split: list[list[str]], threshold: float) -> Iterator[tuple[int, int, list[int]]]:
+        """(document, first word, terms) of each passage with a block whose maxima reach the
+        threshold.  Passage k of a document has 2 x ``longest`` words from k x ``longest``."""
         if not len(self.most):
             return
         get, step = self.vocabulary.get, self.longest
@@ -157,60 +183,63 @@ class Index:
         at, terms = at[keep], terms[keep]
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
         ends = np.r_[starts[1:], len(at)] if len(at) else at
-        rows = max(1, 4_000_000 // self.block_most.shape[1])  # of the table of maxima at once
+        blocks = int(self.blocks.max()) + 1 if len(self.blocks) else 1
+        size = self.block_at[terms + 1] - self.block_at[terms]
+        work = np.r_[0, np.cumsum(size)]
         a = 0
-        while a < len(starts):
-            b = max(a + 1, int(np.searchsorted(ends, starts[a] + rows, "right")))
-            bounds = np.add.reduceat(self.block_most[terms[starts[a] : ends[b - 1]]], starts[a:b] - starts[a], axis=0)
-            reach = bounds >= threshold - 1e-4
-            for k in np.flatnonzero(reach.any(1)).tolist():
+        while a < len(starts):  # sums of maxima by passage and block, of a bounded number of cells and terms at once
+            b = max(a + 1, min(a + max(1, 2_000_000 // blocks), int(np.searchsorted(work[ends], work[starts[a]] + 2_000_000, "right"))))
+            own, n = terms[starts[a] : ends[b - 1]], size[starts[a] : ends[b - 1]]
+            row = np.repeat(np.repeat(np.arange(b - a), ends[a:b] - starts[a:b]), n)
+            which = np.arange(n.sum()) + np.repeat(self.block_at[own] - (np.cumsum(n) - n), n)
+            bounds = np.bincount(row * blocks + self.blocks[which], self.block_most[which], (b - a) * blocks).reshape(b - a, blocks)
+            for k in np.flatnonzero(bounds.max(1) >= threshold - 1e-4).tolist():
                 w = int(at[starts[a + k]])
                 d = int(np.searchsorted(first, w, "right")) - 1
-                yield d, (w - int(first[d])) * step, terms[starts[a + k] : ends[a + k]].tolist(), np.flatnonzero(reach[k]).tolist()
+                yield d, (w - int(first[d])) * step, terms[starts[a + k] : ends[a + k]].tolist()
             a = b
 
-    def matches(self, texts: list[str | None], threshold: float, question: float, answer: float) -> list[tuple]:
-        """(text, item id, score, question overlap, answer overlap) of all verified matches,
-        one for each text and item (the best passage)."""
-        split, best = [words(t) for t in texts], {}
-        for d, start, terms, blocks in self.passages(split, threshold):
-            for block in blocks:
-                for item, score in self.search(terms, threshold, block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS):
-                    q, a = overlap(split[d][start : start + 2 * self.longest], self.words[item])
-                    if q >= question and a >= answer:
-                        best[d, item] = max(best.get((d, item), (0, 0, 0)), (q, a, score))
+    def matches(self, split: list[list[str]], threshold: float, question: float, answer: float) -> list[tuple]:
+        """(text, item id, score, question overlap, answer overlap) of all verified matches of texts
+        in words, one for each text and item (the best passage)."""
+        best: dict[tuple, tuple] = {}
+        for d, start, terms in self.passages(split, threshold):
+            for item, score in self.search(terms, threshold):
+                q, a = overlap(split[d][start : start + 2 * self.longest], self.words[item])
+                if q >= question and a >= answer:
+                    best[d, item] = max(best.get((d, item), (0, 0, 0)), (q, a, score))
         return [(d, self.ids[item], score, q, a) for (d, item), (q, a, score) in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame) -> list:
-    """Broadcast indexes over all items, about ``INDEX_ITEMS`` or fewer each, with the statistics
-    of the whole benchmark."""
+def indexes(benchmark: DataFrame) -> list[list]:
+    """Broadcast indexes over all items with the statistics of the whole benchmark, by passes over
+    the documents: ``INDEXES`` of ``INDEX_ITEMS`` each a pass, one pass as a rule."""
     spark = benchmark.sparkSession
-    items = benchmark.select("item_id", "text")
-    n = items.count()
-    blocks = max(1, -(-n // INDEX_ITEMS))
-    if blocks == 1:
-        return [spark.sparkContext.broadcast(Index([tuple(r) for r in items.collect()]))]
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    split = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [words(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(map(len, split), pa.int64()), pa.array([list(set(ws)) for ws in split], pa.list_(pa.string()))], names=["block", "size", "words"])
-
-    counted = cut(items.select("block", "text").mapInArrow(count, "block bigint, size bigint, words array<string>").where("size > 0"), "items")
-    number, total, longest = counted.agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
-    own = counted.select("block", F.explode("words").alias("word")).groupBy("block", "word").agg(F.count(F.lit(1)).alias("n"))
-    frequencies = cut(own.select("block", "word").join(own.groupBy("word").agg(F.sum("n").alias("n")), "word"), "item-words")
-    out = []
-    for b in range(blocks):
-        df = {r.word: r.n for r in frequencies.where(F.col("block") == b).collect()}
-        whole = df, number, (total or 0) / max(1, number), longest or 1
-        part = items.where(F.col("block") == b).select("item_id", "text").collect()
-        out.append(spark.sparkContext.broadcast(Index([tuple(r) for r in part], whole)))
+            ws = [words(t) for t in batch.column("text").to_pylist()]
+            cols = [batch.column("item_id"), batch.column("text"), pa.array([group(len(w)) for w in ws], pa.int32()), pa.array(map(len, ws), pa.int64()), pa.array([list(set(w)) for w in ws], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["item_id", "text", "length", "size", "words"])
+
+    fields = f"item_id {split.schema['item_id'].dataType.simpleString()}, text string, length int, size bigint, words array<string>"
+    counted = cut(split.mapInArrow(count, fields).where("size > 0"), "items")
+    number, total = counted.agg(F.count(F.lit(1)), F.sum("size")).first()
+    mean, out = (total or 0) / max(1, number), []
+    frequencies = cut(counted.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "item-words")
+    for row in counted.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("longest")).orderBy("length").collect():  # a row a group of lengths
+        parts = -(-row.n // INDEX_ITEMS)
+        own = counted.where(F.col("length") == row.length).withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+        for k in range(parts):
+            part = own.where(F.col("part") == k)
+            df = {r.word: r.n for r in part.select(F.explode("words").alias("word")).distinct().join(frequencies, "word").orderBy("word").collect()}
+            rows = [tuple(r) for r in part.select("item_id", "text").collect()]
+            if rows:
+                out.append(spark.sparkContext.broadcast(Index(rows, (df, number, mean, row.longest))))
     drop_cut(counted)
     drop_cut(frequencies)
-    return out
+    return [out[k : k + INDEXES] for k in range(0, len(out), INDEXES)] or [[]]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5) -> DataFrame:
@@ -219,7 +248,9 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question
 
     Null and empty texts and items match nothing; repeated rows match alike; items of equal
     text are all reported; clashing columns are replaced; empty tables give an empty result.
-    Each ``INDEX_ITEMS`` items read the documents once more; the result is the same for any number.
+    Items of fewer than ``LEAST`` words match nothing, those of fewer than ``WHOLE`` only word for word.
+    The documents are read once for each ``INDEXES`` x ``INDEX_ITEMS`` items; the result is the same
+    for any number.
     """
     added = ["item_id", "score", "question_overlap", "answer_overlap"]
     docs = docs.drop(*added)
@@ -229,11 +260,11 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question
     for shared in indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
                 texts = batch.column("text").to_pylist()
                 for a, b in slices(texts):
-                    found = index.matches(texts[a:b], threshold, question, answer)
+                    split = [words(t) for t in texts[a:b]]
+                    found = [m for index in shared for m in index.value.matches(split, threshold, question, answer)]
                     if found:
                         at = pa.array([a + m[0] for m in found])
                         own = [batch.column(c).take(at) for c in kept]
@@ -251,13 +282,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     for shared in indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             options = {"threshold": 0.5, "question": 0.5, "answer": 0.5} | limits
             for batch in batches:
                 texts = batch.column("text").to_pylist()
                 keep = np.ones(len(texts), bool)
                 for a, b in slices(texts):
-                    keep[[a + m[0] for m in index.matches(texts[a:b], **options)]] = False
+                    split = [words(t) for t in texts[a:b]]
+                    keep[[a + m[0] for index in shared for m in index.value.matches(split, **options)]] = False
                 yield batch.filter(pa.array(keep))
 
         rows = rows.mapInArrow(run, rows.schema)

@@ -4,8 +4,9 @@ from math import factorial
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from vitrina.operators import audit, features, ranking, split
+from vitrina.operators import ablation, audit, features, ranking, split, versions
 from vitrina.operators.ranking import LambdaRanker
 from vitrina.plans import queries
 from vitrina.sources.tables import Retail
@@ -135,3 +136,53 @@ def test_mapping_is_dense_and_ordered(spark):
 def test_pareto_keeps_what_nothing_beats(spark):
     df = spark.createDataFrame([("x", 0.0195, 350, 0.15), ("y", 0.0210, 450, 0.22), ("z", 0.0180, 460, 0.25)], "id string, map double, mb int, s double")
     assert {r.id for r in audit.pareto(df, ["map"], ["mb", "s"], "id").collect()} == {"x", "y"}
+
+
+def test_dense_ids_of_random_hexadecimal(spark):
+    import hashlib
+
+    ids = [hashlib.sha256(str(i % 900).encode()).hexdigest() for i in range(1200)]
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "customer_id string").repartition(7)
+    got = {r.customer_id: r.customer_idx for r in audit.customer_mapping(df).collect()}
+    assert got == {c: k for k, c in enumerate(sorted(set(ids)))}
+    assert audit.customer_mapping(df.limit(0)).count() == 0
+
+
+def test_frontier_in_blocks(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(60), rng.randrange(60), rng.randrange(60)) for k in range(800)]
+    want = {a[0] for a in rows if not any(b[1] >= a[1] and b[2] <= a[2] and b[3] <= a[3] and b[1:] != a[1:] for b in rows)}
+    df = spark.createDataFrame(rows, "k int, gain int, cost int, time int")
+    for most in (10_000, 40):
+        assert {r.k for r in audit.pareto(df, ["gain"], ["cost", "time"], "k", most).collect()} == want
+
+
+def test_catalog_lookup_and_statistics(spark):
+    articles = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "article_id int, kind string")
+    files = spark.createDataFrame([(1,), (2,), (2,), (9,)], "article_id int")
+    r = audit.catalog(articles, files, ["kind"]).first()
+    assert (r["values"], r.nulls, r.files, round(r.coverage, 3)) == (1, 1, 2, 0.667)
+    assert {(r.article_id, r.kind, r.has_file) for r in audit.lookup(articles, [2, 3, 7], files).collect()} == {(2, None, True), (3, "a", False), (7, None, False)}
+
+
+def test_versions_and_experiments(spark):
+    import datetime as dt
+
+    tx = spark.createDataFrame([(dt.date(2021, 3, 1) + dt.timedelta(i % 40), i % 9, i * 5 % 23, 1.0 + i % 3, 1 + i % 2) for i in range(700)], "t_dat date, customer_idx int, article_id int, price double, sales_channel_id int")
+    customers = spark.createDataFrame([(i, f"{i:064x}", 20 + 4 * i, None, None) for i in range(9)], "customer_idx int, customer_id string, age int, club_member_status string, fashion_news_frequency string")
+    scored = tx.select("customer_idx", "article_id").distinct().withColumn("score", F.col("article_id").cast("double"))
+    for version in ("v1", " V2", "v5", "v8"):
+        rows = versions.predict(version, tx, customers, lambda: scored).collect()
+        assert len(rows) == 9 and all(len(r.prediction.split(" ")) == 12 for r in rows)
+    best = {r.customer_idx: r.prediction.split(" ")[0] for r in versions.predict("v4", tx, customers, lambda: scored).collect()}
+    assert best == {r.customer_idx: f"{r.m:010d}" for r in tx.groupBy("customer_idx").agg(F.max("article_id").alias("m")).collect()}
+    with pytest.raises(ValueError, match="v9"):
+        versions.lists("v9", tx, customers)
+    with pytest.raises(ValueError, match="A7"):
+        ablation.run("A7", tx, customers, None)
+    assert {r.variant for r in ablation.run("A6", tx, customers, None, below=5).collect()} == {"v5", "v6", "v7", "v8"}
+    with_ages = customers.withColumn("age_bin", F.lit("<25"))
+    articles = spark.createDataFrame([(i, i % 4) for i in range(23)], "article_id int, department_no int")
+    assert {r.variant for r in ablation.run("A1", tx, with_ages, articles, weeks=(2, 4)).collect()} == {"A1_2w", "A1_4w"}

@@ -37,14 +37,23 @@ def pow_decay(base: float, age: Column) -> Column:
 
 
 def aged(tx: DataFrame, ref_date: str | None = None) -> DataFrame:
-    """Add ``ref_date`` (given, or the last day of ``tx``) and ``days_ago``."""
+    """Add ``ref_date`` (given, or the last day of ``tx``) and ``days_ago``; rows that have both keep them
+    unless another day is given."""
     if ref_date is not None:
         out = tx.withColumn("ref_date", F.lit(ref_date).cast("date"))
+    elif {"ref_date", "days_ago"} <= set(tx.columns):
+        return tx
     else:
         out = tx.crossJoin(F.broadcast(tx.agg(F.max("t_dat").alias("ref_date"))))  # one row
     return out.withColumn("days_ago", F.datediff("ref_date", "t_dat"))
 
 
+def between(first: int, end: int) -> Column:
+    """Days ``first`` to ``end`` (exclusive) before the reference day, as bounds of ``t_dat``: where the reference
+    day is a constant they reach the scan."""
+    return (F.col("t_dat") > F.date_sub("ref_date", end)) & (F.col("t_dat") <= F.date_sub("ref_date", first))
+
+
 def last_days(tx: DataFrame, days: int, ref_date: str | None = None) -> DataFrame:
     """Rows of the last ``days`` days, the reference day included; with ``days_ago``."""
-    return aged(tx, ref_date).where((F.col("days_ago") >= 0) & (F.col("days_ago") < days))
+    return aged(tx, ref_date).where(between(0, days))

@@ -8,19 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrina.functions.retail import age_bin_cut, last_days
+from vitrina.operators import explore
+from vitrina.sources.scratch import kept
 
 # Shares of the activity strata of a sample.
 STRATA = {1: 0.40, 2: 0.35, 3: 0.175}
 
 
-def customer_mapping(ids: DataFrame, column: str = "customer_id", blocks: int = 64) -> DataFrame:
-    """Dense numbers from 0 in the order of the distinct ids.  Ids are numbered within blocks of a common
-    prefix, and blocks are offset by the counts before them, so no task holds all ids."""
-    distinct = ids.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_b", F.substring(column, 1, 62))
-    counts = distinct.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = distinct.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(column)))
-    return numbered.join(before.select("_b", "_before"), "_b").select(column, (F.col("_before") + F.col("_r") - 1).cast("int").alias("customer_idx"))
+def customer_mapping(ids: DataFrame, column: str = "customer_id") -> DataFrame:
+    """Dense numbers from 0 in the order of the distinct ids.  Ids are dealt to ranges of near-equal counts,
+    whatever they look like, numbered within, and offset by the counts before: no task holds more
+    than a range, and what is broadcast is a row for each range."""
+    spread = ids.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column)
+    ranges = kept(spread.withColumn("_b", F.spark_partition_id()), "ids")
+    counts, before, offsets = ranges.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).orderBy("_b").collect(), 0, []  # a row a range
+    for r in counts:
+        offsets.append((r["_b"], before))
+        before += r["n"]
+    numbered = ranges.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(column)))
+    return numbered.join(F.broadcast(ids.sparkSession.createDataFrame(offsets, "_b int, _before long")), "_b").select(column, (F.col("_before") + F.col("_r") - 1).cast("int").alias("customer_idx"))
 
 
 def prepared_customers(customers: DataFrame) -> DataFrame:
@@ -74,6 +80,39 @@ def quality(tx: DataFrame, customers: DataFrame, articles: DataFrame) -> DataFra
     return reduce(DataFrame.unionByName, [one, orphan(customers, "customer_idx", "orphan_customers"), orphan(articles, "article_id", "orphan_articles"), dup, ages])
 
 
+def statistics(tx: DataFrame, customers: DataFrame, articles: DataFrame) -> DataFrame:
+    """``(measure, value)``: the statistics of the data set in one table: sparsity, repurchase lags, power law,
+    Gini indexes, channels and cohorts."""
+
+    def rows(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Each number of a summary as a row, named by the summary, its key and its column."""
+        key = [F.lit(name)] if by is None else [F.lit(name), F.col(by).cast("string")]
+        cells = [F.struct(F.concat_ws(".", *key, F.lit(c)).alias("measure"), F.col(c).cast("double").alias("value")) for c, t in df.dtypes if c != by and t != "string"]
+        return df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+    return reduce(DataFrame.unionByName, [
+        rows(explore.sparsity(tx), "sparsity"), rows(explore.lag_cdf(tx, by=("customer_idx",)), "lag", "day"), rows(explore.power_law(tx), "power_law"),
+        rows(explore.gini(tx, articles), "gini"), rows(explore.channel_mix(tx, customers), "channel", "age_bin"), rows(explore.demographics(customers), "cohort", "age_bin"),
+    ])
+
+
+def catalog(articles: DataFrame, files: DataFrame, attributes: list[str], key: str = "article_id") -> DataFrame:
+    """``(attribute, values, nulls, null_share, files, coverage)``: distinct values and nulls of each attribute, and how many
+    articles have a file in ``files(article_id)``."""
+    marked = articles.join(files.select(key).distinct().withColumn("_f", F.lit(1)), key, "left")
+    cells = [F.struct(F.lit(c).alias("attribute"), F.count_distinct(c).alias("values"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(F.col(c).isNull().cast("double")).alias("null_share"), F.count("_f").alias("files"), F.avg(F.col("_f").isNotNull().cast("double")).alias("coverage")) for c in attributes]
+    return marked.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def lookup(articles: DataFrame, codes: list[int], files: DataFrame | None = None, key: str = "article_id") -> DataFrame:
+    """The rows of some articles, missing ones with nulls, and whether each has a file."""
+    wanted = articles.sparkSession.createDataFrame([(c,) for c in codes], f"{key} int")
+    out = F.broadcast(wanted).join(articles, key, "left")
+    if files is None:
+        return out
+    return out.join(files.select(key).distinct().withColumn("has_file", F.lit(True)), key, "left").withColumn("has_file", F.coalesce("has_file", F.lit(False)))
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows by value, with their share."""
     total = df.agg(F.count(F.lit(1)).alias("_t"))
@@ -92,12 +131,27 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
-def pareto(results: DataFrame, up: list[str], down: list[str], key: str) -> DataFrame:
-    """Rows that no other row is as good as in everything and better in something."""
-    other = results.select(*[F.col(c).alias(f"_{c}") for c in [key, *up, *down]])
-    no_worse = [F.col(f"_{c}") >= F.col(c) for c in up] + [F.col(f"_{c}") <= F.col(c) for c in down]
-    better = [F.col(f"_{c}") > F.col(c) for c in up] + [F.col(f"_{c}") < F.col(c) for c in down]
-    return results.join(F.broadcast(other), reduce(lambda a, b: a & b, no_worse) & reduce(lambda a, b: a | b, better), "left_anti")  # a row an experiment
+def pareto(results: DataFrame, up: list[str], down: list[str], key: str, most: int = 10_000) -> DataFrame:
+    """Rows that no other row is as good as in everything and better in something.  Up to ``most`` rows are
+    held against all at once; of a larger table first the best by each objective rule out most others, and
+    what is left is held against itself in blocks of ``most`` rows."""
+
+    def beaten(rows: DataFrame, by: DataFrame) -> DataFrame:
+        other = F.broadcast(by.select(*[F.col(c).alias(f"_{c}") for c in [key, *up, *down]]))  # at most about ``most`` rows
+        no_worse = [F.col(f"_{c}") >= F.col(c) for c in up] + [F.col(f"_{c}") <= F.col(c) for c in down]
+        better = [F.col(f"_{c}") > F.col(c) for c in up] + [F.col(f"_{c}") < F.col(c) for c in down]
+        return rows.join(other, reduce(lambda a, b: a & b, no_worse) & reduce(lambda a, b: a | b, better), "left_anti")
+
+    if results.count() <= most:
+        return beaten(results, results)
+    order = [F.desc(c) for c in up] + [F.asc(c) for c in down]
+    first = [results.orderBy(*order[i:], *order[:i]).limit(max(1, most // len(order))) for i in range(len(order))]
+    alive = kept(beaten(results, reduce(DataFrame.unionByName, first)), "frontier")
+    blocks = -(-alive.count() // most)
+    out = alive
+    for k in range(blocks):
+        out = beaten(out, alive.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k))
+    return out
 
 
 def archetypes(users: DataFrame) -> DataFrame:

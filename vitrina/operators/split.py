@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrina.functions.retail import aged
+from vitrina.functions.retail import aged, between
 
 
 @dataclass(frozen=True)
@@ -19,17 +19,20 @@ class Split:
 def temporal(tx: DataFrame, val_days: int = 7, history_days: int | None = None, ref_date: str | None = None) -> Split:
     """TS1: validation is the last ``val_days`` days, training what is before (``history_days`` of it)."""
     rows = aged(tx, ref_date)
-    train = rows.where(F.col("days_ago") >= val_days)
-    if history_days is not None:
-        train = train.where(F.col("days_ago") < val_days + history_days)
-    keep = tx.columns
-    return Split(train.select(*keep), rows.where((F.col("days_ago") >= 0) & (F.col("days_ago") < val_days)).select(*keep))
+    before = F.col("t_dat") <= F.date_sub("ref_date", val_days)
+    train = rows.where(before if history_days is None else between(val_days, val_days + history_days))
+    return Split(train.select(*undated(tx)), rows.where(between(0, val_days)).select(*undated(tx)))
+
+
+def undated(tx: DataFrame) -> list[str]:
+    """The columns of ``tx`` but for the ages, which are those of another reference day."""
+    return [c for c in tx.columns if c not in ("ref_date", "days_ago")]
 
 
 def rolling(tx: DataFrame, val_days: int = 7, history_days: int = 35) -> dict[str, DataFrame]:
     """TS2: features and targets of training, one validation window earlier, and of evaluation."""
-    rows, keep = aged(tx), tx.columns
-    window = lambda a, b: rows.where((F.col("days_ago") >= a) & (F.col("days_ago") < b)).select(*keep)
+    rows, keep = aged(tx), undated(tx)
+    window = lambda a, b: rows.where(between(a, b)).select(*keep)
     return {
         "val_target": window(0, val_days),
         "val_features": window(val_days, val_days + history_days),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vitrina.functions.retail import AGE_LABELS, GLOBAL, age_bin_case, item_code, last_days, pow_decay
 from vitrina.operators.recall import first_wins, top, top_all
+from vitrina.sources.scratch import kept
 
 TOP_K = 12
 
@@ -91,15 +92,27 @@ def complements(hist: DataFrame, pairs: DataFrame, spec: Cascade) -> DataFrame:
     return top(scored, ["customer_idx"], order, spec.complement_cap, "pos").select("customer_idx", "article_id", "pos")
 
 
-def cascade(tx: DataFrame, customers: DataFrame, spec: Cascade, ref_date: str | None = None, top_k: int = TOP_K) -> DataFrame:
-    """``(customer_idx, article_id, rank, level)`` for every customer: 1 personal, 2 complement, 3 cohort, 4 global."""
-    hist = history(tx, spec.personal_days, ref_date)
+def cascade(tx: DataFrame, customers: DataFrame, spec: Cascade, ref_date: str | None = None, top_k: int = TOP_K, made: dict | None = None) -> DataFrame:
+    """``(customer_idx, article_id, rank, level)`` for every customer: 1 personal, 2 complement, 3 cohort, 4 global.
+    ``made``: tables of other cascades over the same purchases, which are written once and read again where
+    the parameters agree."""
+
+    def shared(make, *args, **options):
+        if made is None:
+            return make(*args, **options)
+        key = (make.__name__, *[a for a in args if not isinstance(a, DataFrame)], *sorted(options.items()))
+        if key not in made:
+            out = make(*args, **options)
+            made[key] = tuple(kept(t, make.__name__) for t in out) if isinstance(out, tuple) else kept(out, make.__name__)
+        return made[key]
+
+    hist = shared(history, tx, spec.personal_days, ref_date)
     level = lambda df, n, pos: df.select("customer_idx", "article_id", F.lit(n).alias("level"), F.col(pos).alias("pos"))
     rows = level(hist.where(F.col("pos") <= spec.personal_cap), 1, "pos")
     if spec.complement_cap:
-        pairs = basket_pairs(tx, spec.basket_days, spec.support, spec.top_pairs, spec.pair_decay, spec.weighted, ref_date)
+        pairs = shared(basket_pairs, tx, spec.basket_days, spec.support, spec.top_pairs, spec.pair_decay, spec.weighted, ref_date)
         rows = rows.unionByName(level(complements(hist, pairs, spec), 2, "pos"))
-    all_, cohort = bestsellers(tx, customers, spec.bestseller_days, spec.bestseller_decay, ref_date)
+    all_, cohort = shared(bestsellers, tx, customers, spec.bestseller_days, spec.bestseller_decay, ref_date)
     bins = customers.select("customer_idx", age_bin_case(F.col("age")).alias("age_bin"))
     rows = rows.unionByName(level(bins.join(F.broadcast(cohort.where(F.col("age_bin") != GLOBAL)), "age_bin"), 3, "rank"))  # at most 60 rows
     rows = rows.unionByName(level(bins.crossJoin(F.broadcast(all_)), 4, "rank"))  # 12 rows

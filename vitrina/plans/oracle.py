@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import re
+
 VIEWS = """
 tx AS (SELECT CAST(o_orderdate AS DATE) AS t_dat, CAST(o_custkey AS INT) AS customer_idx, CAST(l_partkey AS INT) AS article_id,
     l_extendedprice AS price, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 2 END AS sales_channel_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -52,23 +54,30 @@ def recall_sql(t: str, p: str, cf_days: int = 14, trend: int = 2, dept_days: int
 """
 
 
-def pool_sql() -> str:
+def pool_of(p: str, without: int | None = None, name: str = "") -> str:
+    """CTE ``{p}{name}pool`` of the sources ``{p}r1`` to ``{p}r8``, all but one if ``without`` is given."""
     flags = ", ".join(f"BOOL_OR(source LIKE 'R{i}%') AS is_R{i}" for i in range(1, 9))
-    union = " UNION ALL ".join(f"SELECT * FROM t_r{i}" for i in range(1, 9))
-    return f"""{recall_sql('train', 't_')},
-pool AS (SELECT * EXCLUDE (k) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_idx ORDER BY n_sources DESC, best_rank, article_id) AS k
+    union = " UNION ALL ".join(f"SELECT * FROM {p}r{i}" for i in range(1, 9) if i != without)
+    return f"""{p}{name}pool AS (SELECT * EXCLUDE (k) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_idx ORDER BY n_sources DESC, best_rank, article_id) AS k
     FROM (SELECT customer_idx, article_id, MIN(r) AS best_rank, COUNT(*) AS n_sources, {flags} FROM ({union}) GROUP BY ALL)) WHERE k <= 100),
+{p}{name}ranked AS (SELECT customer_idx, article_id, k AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_idx ORDER BY n_sources DESC, best_rank, article_id) AS k FROM {p}{name}pool) WHERE k <= 12)"""
+
+
+def pool_sql() -> str:
+    return f"""{recall_sql('train', 't_')},
+{pool_of('t_')},
+pool AS (SELECT * FROM t_pool),
 truth AS (SELECT DISTINCT customer_idx, article_id FROM val),
 labelled AS (SELECT p.*, CASE WHEN t.article_id IS NULL THEN 0 ELSE 1 END AS target FROM pool p LEFT JOIN truth t USING (customer_idx, article_id)),
 ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_idx ORDER BY n_sources DESC, best_rank, article_id) AS rank FROM labelled)"""
 
 
-def metric_sql(ranked: str, truth: str = "truth", k: int = 12) -> str:
-    """CTEs ``n_actual``, ``scores`` of distinct predictions ``ranked(customer_idx, article_id, rank)``."""
+def metric_sql(ranked: str, truth: str = "truth", k: int = 12, p: str = "") -> str:
+    """CTEs ``{p}n_actual``, ``{p}scores`` of distinct predictions ``ranked(customer_idx, article_id, rank)``."""
     return f"""
-n_actual AS (SELECT customer_idx, COUNT(*) AS n FROM {truth} GROUP BY ALL),
-found AS (SELECT p.customer_idx, p.rank, ROW_NUMBER() OVER (PARTITION BY p.customer_idx ORDER BY p.rank) AS c FROM {ranked} p JOIN {truth} t USING (customer_idx, article_id) WHERE p.rank <= {k}),
-scores AS (SELECT a.customer_idx AS user, ANY_VALUE(a.n) AS n_actual, COUNT(f.rank) AS n_hits, COALESCE(SUM(CAST(f.c AS DOUBLE) / f.rank), 0) / LEAST(ANY_VALUE(a.n), {k}) AS ap FROM n_actual a LEFT JOIN found f USING (customer_idx) GROUP BY a.customer_idx)"""
+{p}n_actual AS (SELECT customer_idx, COUNT(*) AS n FROM {truth} GROUP BY ALL),
+{p}found AS (SELECT p.customer_idx, p.rank, ROW_NUMBER() OVER (PARTITION BY p.customer_idx ORDER BY p.rank) AS c FROM {ranked} p JOIN {truth} t USING (customer_idx, article_id) WHERE p.rank <= {k}),
+{p}scores AS (SELECT a.customer_idx AS user, ANY_VALUE(a.n) AS n_actual, COUNT(f.rank) AS n_hits, COALESCE(SUM(CAST(f.c AS DOUBLE) / f.rank), 0) / LEAST(ANY_VALUE(a.n), {k}) AS ap FROM {p}n_actual a LEFT JOIN {p}found f USING (customer_idx) GROUP BY a.customer_idx)"""
 
 
 def user_sql(t: str) -> str:
@@ -144,7 +153,8 @@ def fallback_sql(t: str, p: str = "") -> str:
 
 
 def with_(select: str, *ctes: str) -> str:
-    return "WITH " + ",\n".join([VIEWS.strip(), *(c.strip() for c in ctes)]) + "\n" + select
+    """The views and CTEs before a query, each computed once."""
+    return "WITH " + re.sub(r"\b(\w+) AS \((?=\s*(?:SELECT|\(SELECT|WITH))", r"\1 AS MATERIALIZED (", ",\n".join([VIEWS.strip(), *(c.strip() for c in ctes)])) + "\n" + select
 
 
 def nudged(*columns: str) -> str:
@@ -174,8 +184,8 @@ def oracle() -> dict[str, str]:
         "rolling_split_bounds": with_(bounds({"val_target": (0, 28), "val_features": (28, 392), "train_target": (28, 56), "train_features": (56, 420)})),
         "leakage_audit": with_("SELECT CAST(MAX(t.t_dat) AS VARCHAR) AS max_earlier, CAST((SELECT MIN(t_dat) FROM val) AS VARCHAR) AS min_later, COUNT(*) FILTER (t.t_dat >= (SELECT MIN(t_dat) FROM val)) AS leaks FROM train t"),
         "ground_truth": with_("SELECT customer_idx, STRING_AGG(CAST(article_id AS VARCHAR), ' ' ORDER BY article_id) AS items FROM (SELECT DISTINCT customer_idx, article_id FROM val) GROUP BY ALL"),
-        "features_user": with_(f"SELECT * REPLACE (ROUND(u_mean_price, 6) AS u_mean_price, ROUND(u_std_price, 6) AS u_std_price, ROUND(u_online_ratio, 6) AS u_online_ratio) FROM ({user_sql('recent')})"),
-        "features_article": with_(f"SELECT * REPLACE (ROUND(a_mean_price, 6) AS a_mean_price, ROUND(a_sales_decayed, 6) AS a_sales_decayed) FROM ({article_sql('recent')})"),
+        "features_user": with_(f"SELECT * REPLACE ({nudged('u_mean_price', 'u_std_price', 'u_online_ratio')}) FROM ({user_sql('recent')})"),
+        "features_article": with_(f"SELECT * REPLACE ({nudged('a_mean_price', 'a_sales_decayed')}) FROM ({article_sql('recent')})"),
         "features_interaction": with_(f"SELECT * REPLACE ({nudged('uxa_price_diff', 'uxa_price_ratio', 'uxa_channel_affinity')}) FROM inter", pool, INTERACTION),
         "features_meta": with_("SELECT * FROM meta", pool, INTERACTION),
         "features_matrix": with_(f"SELECT * REPLACE ({nudged('source_diversity_score', 'uxa_price_diff', 'uxa_price_ratio', 'uxa_channel_affinity', 'u_mean_price', 'u_std_price', 'u_online_ratio', 'a_mean_price', 'a_sales_decayed')}) FROM meta JOIN inter USING (customer_idx, article_id) JOIN uf USING (customer_idx) JOIN af USING (article_id)", pool, INTERACTION),
@@ -193,8 +203,20 @@ def oracle() -> dict[str, str]:
     held = [f"SELECT '{n}' AS variant, {means}, ROUND((SELECT COUNT(DISTINCT article_id) FROM {n}_lists) / (SELECT COUNT(DISTINCT article_id) FROM {n}_lists)::DOUBLE, 6) AS coverage FROM {n}_scores" for n in SPECS]
     ctes = ["older AS (SELECT * REPLACE (days_ago - (SELECT MIN(days_ago) FROM aged WHERE days_ago >= 28) AS days_ago) FROM aged WHERE days_ago >= 28), truth AS (SELECT DISTINCT customer_idx, article_id FROM val)"]
     for n, spec in SPECS.items():
-        ctes += [cascade_sql("older", *spec, p=f"{n}_"), metric_sql(f"{n}_lists").replace("n_actual AS", f"{n}_actual AS").replace("FROM n_actual a", f"FROM {n}_actual a").replace("found AS", f"{n}_found AS").replace("JOIN found", f"JOIN {n}_found").replace("scores AS", f"{n}_scores AS")]
+        ctes += [cascade_sql("older", *spec, p=f"{n}_"), metric_sql(f"{n}_lists", p=f"{n}_")]
     out["waterfall_comparison"] = with_(" UNION ALL ".join(held), *ctes)
+    one = lambda n, p: f"SELECT '{n}' AS variant, {means}, 1.0::DOUBLE AS coverage FROM {p}scores"
+    truth, ctes, held = "truth AS (SELECT DISTINCT customer_idx, article_id FROM val)", [], []
+    for w in (13, 26, 39, 52):
+        rows = f"w{w} AS (SELECT * REPLACE (days_ago - (SELECT MIN(days_ago) FROM aged WHERE days_ago >= 28) AS days_ago) FROM aged WHERE days_ago >= 28 AND days_ago < {7 * w})"
+        ctes += [rows, recall_sql(f"w{w}", f"w{w}_"), pool_of(f"w{w}_"), metric_sql(f"w{w}_ranked", p=f"w{w}_")]
+        held.append(one(f"A1_{w}w", f"w{w}_"))
+    out["ablation_window"] = with_(" UNION ALL ".join(held), truth, *ctes)
+    ctes, held = [truth, recall_sql("train", "t_"), pool_of("t_"), metric_sql("t_ranked", p="t_")], [one("A2_all", "t_")]
+    for i in range(1, 9):
+        ctes += [pool_of("t_", i, f"no{i}_"), metric_sql(f"t_no{i}_ranked", p=f"t_no{i}_")]
+        held.append(one(f"A2_no_R{i}", f"t_no{i}_"))
+    out["ablation_leave_one_out"] = with_(" UNION ALL ".join(held), *ctes)
     serve = cascade_sql("aged", 201, 364, 12, 2801, 6, 2, 12, 0.12, True)
     best = "best AS (SELECT age_bin, article_id, s AS score, r AS rank FROM coh WHERE r <= 12 AND age_bin <> 'GLOBAL' UNION ALL SELECT 'ALL', article_id, s, r FROM world WHERE r <= 12)"
     walk = """walk AS (SELECT customer_idx, article_id, 1 AS l, pos AS o FROM hist WHERE pos <= 12 UNION ALL SELECT h.customer_idx, b, 2, h.pos * 100 + k FROM hist h JOIN pairs ON h.article_id = a WHERE h.pos <= 12
@@ -234,7 +256,19 @@ lists AS (SELECT * FROM (SELECT customer_idx, article_id, ROW_NUMBER() OVER (PAR
         "stratified_sample": with_("SELECT customer_idx, purchases, stratum FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY stratum ORDER BY (((CAST(customer_idx AS BIGINT) * 7919 + 42 * 15485863) % 2147483647) * 48271) % 2147483647, customer_idx) AS r FROM (SELECT customer_idx, COUNT(*) AS purchases, CASE WHEN COUNT(*) = 2 THEN 1 WHEN COUNT(*) <= 4 THEN 2 WHEN COUNT(*) <= 6 THEN 3 ELSE 4 END AS stratum FROM recent GROUP BY customer_idx HAVING COUNT(*) >= 2)) WHERE r <= CASE stratum WHEN 1 THEN 80 WHEN 2 THEN 70 WHEN 3 THEN 35 ELSE 15 END"),
         "telemetry_percentiles": "SELECT event_type, COUNT(*) AS requests, ROUND(QUANTILE_CONT(value, 0.5), 6) AS p50, ROUND(QUANTILE_CONT(value, 0.95), 6) AS p95, ROUND(QUANTILE_CONT(value, 0.99), 6) AS p99 FROM events GROUP BY ALL",
         "telemetry_windows": "SELECT strftime(DATE_TRUNC('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, COUNT(*) AS events, ROUND(SUM(value), 4) AS total, ROUND(MAX(value), 4) AS most FROM events GROUP BY ALL",
+        "telemetry_stream": "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, event_type, COUNT(*) AS events, ROUND(SUM(value), 4) AS total, ROUND(MAX(value), 4) AS most FROM (SELECT *, DATE_TRUNC('day', ts) AS w FROM events) WHERE w + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 2 DAY GROUP BY ALL",
+        "telemetry_recent": "SELECT (SELECT COUNT(*) FROM events) AS requests, (SELECT COUNT(*) FROM events WHERE event_type = 'error') AS errors, COUNT(*) AS measured, ROUND(QUANTILE_CONT(value, 0.5), 6) AS p50, ROUND(QUANTILE_CONT(value, 0.95), 6) AS p95, ROUND(QUANTILE_CONT(value, 0.99), 6) AS p99 FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)",
+        "weekly_best_sellers": with_("SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, article_id, n, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY w ORDER BY n DESC, article_id) AS rank FROM (SELECT TIME_BUCKET(INTERVAL 28 DAY, t_dat, DATE '1970-01-01')::TIMESTAMP AS w, article_id, COUNT(*) AS n FROM tx GROUP BY ALL)) WHERE rank <= 5"),
+        "catalog_audit": with_(" UNION ALL ".join(f"SELECT '{c}' AS attribute, COUNT(DISTINCT {v}) AS \"values\", COUNT(*) FILTER ({v} IS NULL) AS nulls, ROUND(AVG(CASE WHEN {v} IS NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS null_share, COUNT(*) FILTER (p_partkey % 7 <> 0) AS files, ROUND(AVG(CASE WHEN p_partkey % 7 <> 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage FROM part" for c, v in (("department_no", "SUBSTR(p_brand, 7)"), ("garment_group_name", "p_type"), ("product_type_no", "LENGTH(p_type) % 7"), ("detail_desc", "p_name")))),
         "pareto_frontier": with_("SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.sales >= x.sales AND y.mean_price <= x.mean_price AND y.items <= x.items AND (y.sales > x.sales OR y.mean_price < x.mean_price OR y.items < x.items))", "x AS (SELECT department_no, COUNT(*) AS sales, ROUND(AVG(price), 4) AS mean_price, COUNT(DISTINCT article_id) AS items FROM recent JOIN art USING (article_id) GROUP BY ALL)"),
         "archetypes": with_("(SELECT 'loyal' AS archetype, customer_idx FROM u WHERE u_last_purchase_days_ago <= 30 AND u_total_transactions >= 4 ORDER BY u_total_transactions DESC, customer_idx LIMIT 1) UNION ALL (SELECT 'explorer', customer_idx FROM u WHERE u_unique_articles = u_total_transactions AND u_total_transactions >= 3 ORDER BY u_unique_articles DESC, customer_idx LIMIT 1) UNION ALL (SELECT 'cold', customer_idx FROM u WHERE u_total_transactions <= 1 ORDER BY u_last_purchase_days_ago DESC, customer_idx LIMIT 1)", f"u AS ({user_sql('recent')})"),
     }
+    each = {"sparsity": (None, "users items rows sparsity mean_per_user median_per_user"), "repurchase_lag_cdf": ("day", "cdf lags median_lag"), "power_law": (None, "alpha r2 points"), "lorenz_gini": (None, "active catalog gini_active gini_catalog"), "channel_mix": ("age_bin", "n online_pct"), "cohort_demographics": ("age_bin", "customers mean_age")}
+    short = {"repurchase_lag_cdf": "lag", "lorenz_gini": "gini", "channel_mix": "channel", "cohort_demographics": "cohort"}
+    parts = []
+    for name, (by, columns) in each.items():
+        inner = out[name] if name != "lorenz_gini" else with_(out[name].rpartition("\n")[2], counts.format(t="tx"))
+        key = f"'{short.get(name, name)}.' || " + (f"CAST({by} AS VARCHAR) || '.' || " if by else "")
+        parts += [f"SELECT {key}'{c}' AS measure, ROUND(CAST({c} AS DOUBLE), 6) AS value FROM ({inner})" for c in columns.split()]
+    out["statistics_audit"] = " UNION ALL ".join(parts)
     return out

@@ -13,12 +13,14 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.functions.retail import age_bin_case
-from vitrina.operators import ablation, audit, explore, features, metrics, ranking, recall, split, waterfall
+from vitrina.functions.retail import age_bin_case, last_days
+from vitrina.operators import ablation, audit, explore, features, metrics, ranking, recall, split, versions, waterfall
+from vitrina.sources import scratch
 from vitrina.sources.tables import Retail
 from vitrina.streaming import telemetry
 
 HISTORY, VALIDATION, SUPPORT = 364, 28, 2
+WEEKS = (13, 26, 39, 52)
 V5 = waterfall.Cascade(200, 364, 12)
 V6 = waterfall.Cascade(200, 364, 3, 2800, 4)
 V7 = waterfall.Cascade(200, 364, 12, 2800, 6)
@@ -39,9 +41,7 @@ def query(f: Callable[[Retail], DataFrame]) -> Callable[[Retail], DataFrame]:
 
 
 def recent(r: Retail) -> DataFrame:
-    from vitrina.functions.retail import last_days
-
-    return last_days(r.tx, HISTORY).select(*r.tx.columns)
+    return last_days(r.tx, HISTORY)
 
 
 def binned(r: Retail) -> DataFrame:
@@ -53,11 +53,13 @@ def sources(r: Retail, tx: DataFrame) -> list[DataFrame]:
 
 
 def parts(r: Retail) -> split.Split:
-    return split.temporal(r.tx, VALIDATION, HISTORY)
+    s = split.temporal(r.tx, VALIDATION, HISTORY)
+    return split.Split(r.dated("train", s.train), s.validation)
 
 
 def pool(r: Retail) -> DataFrame:
-    return recall.consolidate(sources(r, parts(r).train))
+    """The candidates of the training window: written once, all that reads them reads that."""
+    return r.kept("pool", lambda: recall.consolidate(sources(r, parts(r).train)))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -170,12 +172,12 @@ def ground_truth(r):
 
 @query
 def features_user(r):
-    return rounded(features.user_features(recent(r), r.customers))
+    return nudged(features.user_features(recent(r), r.customers))
 
 
 @query
 def features_article(r):
-    return rounded(features.article_features(recent(r), r.articles))
+    return nudged(features.article_features(recent(r), r.articles))
 
 
 @query
@@ -435,9 +437,10 @@ def archetypes(r):
 
 
 def trained(r: Retail) -> tuple[ranking.LambdaRanker, DataFrame]:
-    made = split.label(features.matrix(pool(r), parts(r).train, r.customers, r.articles), parts(r).validation).persist()
+    """The ranker of the production size, trained once for all that asks it, and its labelled pairs."""
+    made = r.kept("labelled", lambda: split.label(features.matrix(pool(r), parts(r).train, r.customers, r.articles), parts(r).validation))
     columns = [c for c in made.columns if c not in ("customer_idx", "article_id", "target")]
-    return ranking.LambdaRanker(columns, **ranking.PRODUCTION).fit(split.training_rows(made, 5)), made
+    return r.once("ranker", lambda: ranking.LambdaRanker(columns, **ranking.PRODUCTION).fit(split.training_rows(made, 5))), made
 
 
 @query
@@ -457,24 +460,52 @@ def shap_top(r):
     return ranking.mean_abs(ranker.shap(rows.where("target = 1")), ranker.features)
 
 
+@query
+def waterfall_v2(r):
+    ranker, rows = trained(r)
+    train = parts(r).train
+    return versions.predict("v2", train, r.customers, lambda: ranker.score(rows).select("customer_idx", "article_id", "score"))
+
+
 @query
 def ablation_window(r):
-    return ablation.by_window(r.tx, binned(r), r.articles, (26, 52), VALIDATION, min_support=SUPPORT)
+    return rounded(ablation.by_window(r.tx, binned(r), r.articles, WEEKS, VALIDATION, min_support=SUPPORT))
 
 
 @query
 def ablation_leave_one_out(r):
-    return ablation.leave_one_out(r.tx, binned(r), r.articles, HISTORY, VALIDATION, min_support=SUPPORT)
+    return rounded(ablation.leave_one_out(r.tx, binned(r), r.articles, HISTORY, VALIDATION, min_support=SUPPORT))
 
 
 @query
 def ablation_ranker(r):
-    variants = {"A3_no_flags": {"flags": False}, "A4_1_to_3": {"ratio": 3}, "A5_pointwise": {"loss": "pointwise"}}
+    variants = {"A3_no_flags": {"flags": False}, **{f"A4_1_to_{n}": {"ratio": n} for n in (3, 5, 10, 20)}, "A5_pointwise": {"loss": "pointwise"}}
     return ablation.ranker_variants(r.tx, binned(r), r.articles, variants, HISTORY, VALIDATION, min_support=SUPPORT)
 
 
+@query
+def statistics_audit(r):
+    return rounded(audit.statistics(r.tx, r.customers, r.articles))
+
+
+@query
+def catalog_audit(r):
+    pictured = r.table("part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").cast("int").alias("article_id"))
+    return rounded(audit.catalog(r.articles, pictured, ["department_no", "garment_group_name", "product_type_no", "detail_desc"]))
+
+
+@query
+def telemetry_recent(r):
+    return rounded(telemetry.recent_percentiles(r.table("events"), 500))
+
+
+@query
+def weekly_best_sellers(r):
+    return telemetry.best_sellers(telemetry.sales_by_window(r.tx, "28 days"), 5)
+
+
 @query
 def telemetry_stream(r):
-    where = r.spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/telemetry-{uuid.uuid4().hex}"
+    where = f"{scratch.shared_dir(r.spark)}/telemetry-{uuid.uuid4().hex}"
     events = telemetry.stream(r.spark, r.sf_dir, "events", r.table("events").schema)
-    return telemetry.run_to_table(telemetry.windows(events), f"{where}/out", f"{where}/state")
+    return rounded(telemetry.run_to_table(telemetry.windows(events), f"{where}/out", f"{where}/state"), 4)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrina.sources import scratch
+
 # The columns of the raw files.
 SCHEMAS = {
     "transactions": "t_dat date, customer_id string, article_id int, price double, sales_channel_id int",
@@ -31,11 +34,45 @@ def sink_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def sink_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
-    writer = df.write.mode("overwrite").option("header", True)
+def sink_csv(df: DataFrame, path: str, gzip: bool = False, order_by: list[str] | None = None) -> None:
+    """CSV files with a header.  With ``order_by`` the rows are sorted over all files: the files in the order of
+    their names are the sorted table, and equal rows give equal files."""
+    writer = (df.orderBy(*order_by) if order_by else df).write.mode("overwrite").option("header", True)
     (writer.option("compression", "gzip") if gzip else writer).csv(path)
 
 
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """K5: ``(file, bytes, md5, sha256)`` of each data file under ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+
+
+def first_rows(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
+    """The first ``n`` rows in the order of some columns: the same rows each time."""
+    return df.orderBy(*order_by).limit(n)
+
+
+def source_dir(base: str, sample: bool) -> str:
+    """Where the tables are: those of the sample or all of them."""
+    return f"{base.rstrip('/')}/{'data_sample' if sample else 'data'}"
+
+
+def integrity(spark: SparkSession, paths: dict[str, str], expected: dict[str, int] | None = None, count: bool = True) -> DataFrame:
+    """``(table, exists, bytes, rows, expected, ok)`` of CSV or Parquet tables; rows are counted unless not ``count``."""
+    out = []
+    for name, path in paths.items():
+        try:
+            size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0]
+        except AnalysisException:  # there is no such path
+            size = None
+        rows = None
+        if size is not None and count:
+            rows = (spark.read.option("header", True).csv(path) if ".csv" in path else spark.read.parquet(path)).count()
+        want = (expected or {}).get(name)
+        out.append((name, size is not None, size, rows, want, size is not None and (not count or want is None or rows == want)))
+    return spark.createDataFrame(out, "table string, exists boolean, bytes long, rows long, expected long, ok boolean")
+
+
 def upsert(new: DataFrame, old: DataFrame | None, key: str) -> DataFrame:
     """``old`` without the keys of ``new``, then ``new``; missing columns become null."""
     return new if old is None else old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
@@ -73,11 +110,30 @@ class Retail:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def once(self, name: str, make):
+        """What ``make`` gives for these tables, made once in the application."""
+        return scratch.once(self.spark, (self.sf_dir, name), make)
+
+    def kept(self, name: str, make) -> DataFrame:
+        """The table that ``make`` gives, written once."""
+        return self.once(name, lambda: scratch.kept(make(), f"retail-{name}"))
+
     @property
     def tx(self) -> DataFrame:
-        orders = self.table("orders").select("o_orderkey", F.col("o_custkey").cast("int").alias("customer_idx"), F.col("o_orderdate").cast("date").alias("t_dat"))
-        lines = self.table("lineitem").select("l_orderkey", F.col("l_partkey").cast("int").alias("article_id"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("sales_channel_id"))
-        return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("t_dat", "customer_idx", "article_id", "price", "sales_channel_id")
+        """Purchases in the order of their days, so that a window of days reads its own files and row groups."""
+
+        def make() -> DataFrame:
+            orders = self.table("orders").select("o_orderkey", F.col("o_custkey").cast("int").alias("customer_idx"), F.col("o_orderdate").cast("date").alias("t_dat"))
+            lines = self.table("lineitem").select("l_orderkey", F.col("l_partkey").cast("int").alias("article_id"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("sales_channel_id"))
+            rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("t_dat", "customer_idx", "article_id", "price", "sales_channel_id")
+            return rows.repartitionByRange("t_dat").sortWithinPartitions("t_dat")
+
+        return self.dated("tx", self.kept("tx", make))
+
+    def dated(self, name: str, rows: DataFrame) -> DataFrame:
+        """``rows`` with their last day as a constant ``ref_date``, found once, and ``days_ago``."""
+        last = self.once(f"{name}-last", lambda: rows.agg(F.max("t_dat")).first()[0])
+        return rows.withColumn("ref_date", F.lit(last).cast("date")).withColumn("days_ago", F.datediff("ref_date", "t_dat"))
 
     @property
     def customers(self) -> DataFrame:

@@ -180,7 +180,7 @@ def test_many_matches_in_one_text(spark):
 def test_contexts_discover_unseen_identifiers(spark):
     rows = [(i, f"Please write. Mail: user{i}@host{i}.org and the rest of it, the 99887-{i}") for i in range(12)]
     rows += [(100, "Mail: user77(at)x, mail: user_77@intranet soon"), (101, "the user_77@intranet or the 12345-678"), (102, "no mail here")]
-    rows += [(200, "mail: user_77@intranet"), (200, "mail: user_77@intranet"), (201, None), *[(300 + i, "salt and pepper and salt and pepper") for i in range(9)]]
+    rows += [(200, "mail: user_77@intranet"), (200, "mail: user_77@intranet"), (201, None), *[(300 + i, "pepper salt and pepper and salt and pepper") for i in range(9)]]
     out = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     by = {r.doc_id: r for r in out}
     at = rows[12][1].index("user_77@")

@@ -123,10 +123,15 @@ def base_spans(text: Column) -> Column:
     return F.concat(*out)
 
 
+def _named(k: str):
+    """A pattern's text with its kind before it; null if it is empty."""
+    return lambda c: F.when(c != "", F.concat(F.lit(k), c))
+
+
 def beside(x: Column) -> Column:
     """The patterns that an occurrence is in."""
     at = {"<": F.lower(x["l"]), "<<": F.lower(x["l"]), ">": F.lower(x["r"])}
-    found = [let(F.regexp_extract(at[k], own, 1), lambda c, k=k: F.when(c != "", F.concat(F.lit(k), c))) for k, (own, _) in CONTEXTS.items()]
+    found = [let(F.regexp_extract(at[k], own, 1), _named(k)) for k, (own, _) in CONTEXTS.items()]
     return F.array_compact(F.array(*found))
 
 
@@ -146,7 +151,7 @@ def discover(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     some = edges.groupBy("ctx").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).where(F.col("d") >= LEAST_SEEDS).select("ctx", "n")
     some = cut(some, "pii-patterns")
     low = F.lower("text")
-    words = F.concat(*[F.transform(F.regexp_extract_all(low, F.lit(places_), F.lit(1)), lambda c, k=k: F.concat(F.lit(k), c)) for k, (_, places_) in CONTEXTS.items()])
+    words = F.concat(*[F.transform(F.regexp_extract_all(low, F.lit(places_), F.lit(1)), _named(k)) for k, (_, places_) in CONTEXTS.items()])
     seen = docs.where(F.col("text") != "").select(F.explode(words).alias("ctx"))
     seen = seen.join(broadcast_if_small(some.select("ctx"), some.count(), 150), "ctx", "left_semi").groupBy("ctx").agg(F.count(F.lit(1)).alias("seen"))
     rateable = some.join(seen, "ctx", "left").select("ctx", F.greatest("n", F.coalesce("seen", F.lit(0))).alias("total"), "n").where(F.col("n") >= LEAST_PATTERN * F.col("total"))

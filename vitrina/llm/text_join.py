@@ -15,9 +15,10 @@ the sum of the smaller counts over the groups is no less than what they share.
 * **R-tree.**  Meetings that are not yet of one component get an R-tree of their points:
   a search descends where the summed minima with the upper corner of a box still allow a
   link.  What comes of a meeting is its texts that have a partner left, never the pairs.
-* **Verification.**  Only those texts meet again, with their sets: a second search verifies
-  the pairs that are not connected yet and keeps a forest of the links, so no more than
-  ``n - 1`` rows come out of ``n``.  Meetings are dealt to tasks by bytes.
+* **Verification.**  Only those texts meet again, all at once that hang together by meetings,
+  with their sets: a second search verifies the pairs that are not connected yet and keeps a
+  forest of the links, so no more than ``n - 1`` rows come out of ``n``.  Meetings are dealt to
+  tasks by bytes.
 
 Sets of n-grams are 64-bit hashes, equal sets are told by 128 bits and numbered, so two
 classes never share a name.  Nothing is dropped: all pairs that can link are verified or
@@ -387,8 +388,13 @@ def classify(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: st
     found = asked_of.groupBy("bin").applyInArrow(search, "key bigint, c bigint, component bigint").distinct()
     marked = cut(found, "text-marked")
     drop_cut(asked)
-    found = cut(marked.join(once(marked), "key").join(sets.select("c", "size"), "c"), "text-found")
+    # What has a partner is verified once: all that hangs together by meetings is one meeting now.
+    hubs = marked.groupBy("key").agg(F.min("c").alias("m"))
+    together = components(marked.join(hubs, "key").select("c", "m"), "c", "m")
+    found = marked.select("c", "component").distinct().join(together.select(F.col("node").alias("c"), F.col("component").alias("key")), "c")
+    found = cut(found.join(sets.select("c", "size"), "c").select("key", "c", "component", "size"), "text-found")
     drop_cut(marked)
+    drop_cut(together)
     weight = F.col("size") * 8 + ROW_BYTES
     again = dealt(found, weight, found.agg(F.sum(weight)).first()[0] or 0).drop("size").join(sets.select("c", "s"), "c")
 

@@ -75,3 +75,36 @@ def test_nulls_ties_empty_and_clashes(spark):
     assert len({r.score for r in rows if not r.text}) == 1
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_scores_equal_their_definition():
+    """Features hashed one by one with whole numbers, without the vectorised code."""
+    whole, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def mix(h):
+        h = h * whole & mask
+        h ^= h >> 32
+        return h * whole & mask
+
+    def word_hash(w):
+        return mix(sum(mix((((ord(c) + 1) << 24) + place) & mask) for place, c in enumerate(f"<{w}>")) & mask)
+
+    def features(w):
+        marked, out = f"<{w}>", [word_hash(w) >> 46]
+        for n in quality.GRAMS:
+            for i in range(len(marked) - n + 1):
+                h = n
+                for c in marked[i : i + n]:
+                    h = mix((h + ord(c) + 1) & mask)
+                out.append(h >> 46)
+        return out
+
+    rng = np.random.default_rng(2)
+    model = quality.Model(rng.normal(size=quality.BUCKETS + 1).astype(np.float32), 0.25)
+    texts = ["the cat sat on the mat", "buy buy buy now", "a", "", None, "é 漢字 naïve naïve"]
+    for text, got in zip(texts, quality.Scorer(model).scores(texts), strict=True):
+        ws = (text or "").split()
+        ids = [b for w in ws for b in features(w)]
+        ids += [quality.BUCKETS if a == b else mix((word_hash(a) * 31 + word_hash(b)) & mask) >> 46 for a, b in zip(ws, ws[1:])]
+        z = 0.25 + sum(float(model.weight[b]) for b in ids) / max(len(ids), 1)
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-6

@@ -186,3 +186,23 @@ def test_versions_and_experiments(spark):
     with_ages = customers.withColumn("age_bin", F.lit("<25"))
     articles = spark.createDataFrame([(i, i % 4) for i in range(23)], "article_id int, department_no int")
     assert {r.variant for r in ablation.run("A1", tx, with_ages, articles, weeks=(2, 4)).collect()} == {"A1_2w", "A1_4w"}
+
+
+def test_gradients_by_definition():
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    for n in (2, 7, 30):
+        group = pd.DataFrame({"f": [[0.0]] * n, "article_id": rng.permutation(n), "score": rng.integers(0, 4, n) / 3.0, "target": rng.integers(0, 2, n)})
+        order = sorted(range(n), key=lambda i: (-group.score[i], group.article_id[i]))
+        gain = {i: 1 / np.log2(place + 2) for place, i in enumerate(order)}
+        want, losses = np.zeros(n), []
+        for i in range(n):
+            for j in range(n):
+                if group.target[i] == 1 and group.target[j] == 0:
+                    pull = abs(gain[i] - gain[j]) / (1 + np.exp(group.score[i] - group.score[j]))
+                    want[i] += pull
+                    want[j] -= pull
+                    losses.append(np.log(1 + np.exp(-(group.score[i] - group.score[j]))))
+        got = ranking._pairwise(group)
+        assert np.allclose(got.grad, want) and np.allclose(got.loss, np.mean(losses) if losses else 0)

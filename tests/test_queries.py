@@ -95,3 +95,13 @@ def test_entry_imports_without_the_pipeline(tmp_path):
     subprocess.run(["rm", "-rf", str(tmp_path / "vitrina" / "llm")], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_entry_hides_no_broken_module(tmp_path):
+    for name in ("__spark_entry__.py", "vitrina"):
+        subprocess.run(["cp", "-r", str(REPO / name), str(tmp_path)], check=True)
+    (tmp_path / "corpus_pipeline.py").write_text("import there_is_no_such_module\n")
+    (tmp_path / "vitrina" / "llm").mkdir(exist_ok=True)
+    (tmp_path / "vitrina" / "llm" / "__init__.py").write_text("")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=False)
+    assert done.returncode and b"there_is_no_such_module" in done.stderr

@@ -97,6 +97,14 @@ def test_entry_imports_without_the_pipeline(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
 
 
+def test_day_windows_reach_the_scan(spark, data_dir, capsys):
+    r = tables.Retail(spark, data_dir)
+    for df in (queries.recent(r), queries.parts(r).train):
+        df.select("customer_idx").explain("formatted")
+        plan = capsys.readouterr().out
+        assert "GreaterThan(t_dat" in plan and "LessThanOrEqual(t_dat" in plan and "Join" not in plan and "struct<t_dat:date,customer_idx:int>" in plan
+
+
 def test_entry_hides_no_broken_module(tmp_path):
     for name in ("__spark_entry__.py", "vitrina"):
         subprocess.run(["cp", "-r", str(REPO / name), str(tmp_path)], check=True)

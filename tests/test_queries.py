@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -105,6 +106,19 @@ def test_day_windows_reach_the_scan(spark, data_dir, capsys):
         assert "GreaterThan(t_dat" in plan and "LessThanOrEqual(t_dat" in plan and "Join" not in plan and "struct<t_dat:date,customer_idx:int>" in plan
 
 
+def test_a_kept_table_that_is_gone_is_made_again(spark, data_dir):
+    r = tables.Retail(spark, data_dir)
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    assert r.kept("three", make).count() == 3 == r.kept("three", make).count() and len(made) == 1
+    shutil.rmtree(r.kept("three", make).vitrina_path.removeprefix("file://"))
+    assert r.kept("three", make).count() == 3 and len(made) == 2
+
+
 def test_entry_hides_no_broken_module(tmp_path):
     for name in ("__spark_entry__.py", "vitrina"):
         subprocess.run(["cp", "-r", str(REPO / name), str(tmp_path)], check=True)

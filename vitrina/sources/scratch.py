@@ -22,15 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back: a lost executor costs no recomputation beyond it."""
+    """``df`` written as Parquet and read back: a lost executor costs no recomputation beyond it.  The path is in
+    ``vitrina_path``."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.vitrina_path = path
+    return out
+
+
+def is_kept(df: DataFrame) -> bool:
+    """Whether the table of :func:`kept` is still there."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.vitrina_path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def once(spark: SparkSession, key: tuple, make: Callable[[], object]) -> object:
-    """What ``make`` returned for ``key`` the first time in this application."""
+    """What ``make`` returned for ``key`` the first time in this application; a table that was deleted since is
+    made again."""
     key = (spark.sparkContext.applicationId, *key)
-    if key not in _made:
+    if key not in _made or hasattr(_made[key], "vitrina_path") and not is_kept(_made[key]):
         _made[key] = make()
     return _made[key]

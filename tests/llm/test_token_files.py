@@ -56,3 +56,27 @@ def test_files(spark, data_dir, tmp_path, monkeypatch):
 def test_empty_table(spark, tmp_path):
     tf.write_token_files(spark.createDataFrame([], "doc_id long, text string, shard int"), PATH, str(tmp_path / "e"))
     assert tf.read_token_files(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_clashing_columns_are_not_read(spark, tmp_path):
+    rows = [(3, "one two"), (1, None), (2, "Three 4"), (2, "Three 4")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    out = []
+    for name, df in (("a", plain), ("b", plain.selectExpr("*", "'x' AS start", "7 AS n_tokens", "'y' AS shard", "0 AS payload", "'z' AS k", "1 AS t"))):
+        tf.write_token_files(df, PATH, str(tmp_path / name), end_id=2)
+        out.append(sorted(map(tuple, tf.read_token_files(spark, str(tmp_path / name), ids=False).collect())))
+    assert out[0] == out[1] and [r[0] for r in out[0]] == [1, 2, 2, 3] and [r[1] for r in out[0]] == sorted(r[1] for r in out[0])
+
+
+def test_a_tokenizer_of_other_rules_is_refused(tmp_path):
+    import json
+
+    import pytest
+
+    spec = json.loads(open(PATH).read())
+    tf.WordEncoder(PATH, 2)
+    spec["normalizer"] = None
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="rules"):
+        tf.WordEncoder(str(other), 2)

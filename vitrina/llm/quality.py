@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.llm.common import cut, slices
+from vitrina.llm.common import cut, drop_cut, slices
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4)
@@ -204,7 +204,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, most_bytes
         if used[r.quality] + r.size <= most_bytes // 2:  # a row that doesn't fit leaves its room to later ones
             used[r.quality] += r.size
             fits.append(r.doc_id)
-    return found.where(F.col("doc_id").isin(fits)).orderBy("doc_id").collect()
+    rows = found.where(F.col("doc_id").isin(fits)).orderBy("doc_id").collect()
+    drop_cut(found)
+    return rows
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_label: int = 1000, most_bytes: int = 32_000_000) -> DataFrame:

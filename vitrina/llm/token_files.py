@@ -43,6 +43,10 @@ PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡«»¿À-ÿ]|<\|")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-zà-öø-ÿß0-9]+")
 
 
+#: Texts that tell the rules of a tokenizer apart: case, contractions, digits, marks, blanks, letters beyond ASCII.
+PROBES = ["", " ", "The CAT's I'll we'd they're", "12.5% of x_y (z)--", "  two  blanks\tand\nlines ", "\u00c9t\u00e9 na\u00efve \u00dfa \u00ff", "e\u0301 \u00a1\u00bf\u00ab\u00bb", "can't'sx 'tis 1st2nd", "\u6f22\u5b57 \U0001f600"]
+
+
 class WordEncoder:
     """Ids by the tokenizers library, each distinct word encoded once while it is remembered."""
 
@@ -56,6 +60,9 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
         self.end = np.array([end_id], np.uint32).tobytes()
+        for text in PROBES:  # a tokenizer that splits or normalises otherwise is refused
+            if self.ids([text])[0].tolist() != [*self.tokenizer.encode(text, add_special_tokens=False).ids, end_id]:
+                raise ValueError(f"this tokenizer encodes {text!r} by rules that are not supported")
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text with the end id; one call handles one slice."""

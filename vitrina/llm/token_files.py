@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from vitrina.llm.common import broadcast_if_small, slices
 
 MAGIC = b"RPG1"
+_SPREAD = 0x9E3779B97F4A7C15
 #: A block is closed at this many ids (a longer document is a block of its own).
 BLOCK_IDS = 2_000_000
 #: A pair is replaced while it occurs so often; one rule costs about as much as four symbols.
@@ -39,14 +40,33 @@ KNOWN_WORDS, KNOWN_CHARS = 1_000_000, 24_000_000
 
 # The tokenizer's own splitting, for texts of these characters only (their composed form,
 # lower case and classes need no tables); other texts go through the library whole.
-PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡«»¿À-ÿ]|<\|")
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-zà-öø-ÿß0-9]+")
+PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F)]) + "¡«»¿".encode("latin-1") + bytes(range(0xC0, 0x100))
+WORDS = re.compile(r"[a-zà-öø-ÿß]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-zà-öø-ÿß0-9]+")
 
 
 #: Texts that tell the rules of a tokenizer apart: case, contractions, digits, marks, blanks, letters beyond ASCII.
 PROBES = ["", " ", "The CAT's I'll we'd they're", "12.5% of x_y (z)--", "  two  blanks\tand\nlines ", "\u00c9t\u00e9 na\u00efve \u00dfa \u00ff", "e\u0301 \u00a1\u00bf\u00ab\u00bb", "can't'sx 'tis 1st2nd", "\u6f22\u5b57 \U0001f600"]
 
 
+def is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
+class Numbers(dict):
+    """Numbers words in the order they are first asked for; ``new`` has those asked for since it was emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """Ids by the tokenizers library, each distinct word encoded once while it is remembered."""
 
@@ -54,40 +74,52 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.chars = Tokenizer.from_file(path), {}, 0
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
-        self.end = np.array([end_id], np.uint32).tobytes()
+        self.end = np.array([end_id], np.uint32)
         for text in PROBES:  # a tokenizer that splits or normalises otherwise is refused
             if self.ids([text])[0].tolist() != [*self.tokenizer.encode(text, add_special_tokens=False).ids, end_id]:
                 raise ValueError(f"this tokenizer encodes {text!r} by rules that are not supported")
 
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text with the end id; one call handles one slice."""
-        split = [None if PLAIN.search(t) else WORDS.findall(t.lower()) for t in (t or "" for t in texts)]
-        known = self.known
-        new = list({w for ws in split if ws for w in ws if w not in known})
-        if len(known) + len(new) > KNOWN_WORDS or self.chars + sum(map(len, new)) > KNOWN_CHARS:
-            known.clear()
-            self.chars = 0
-            new = list({w for ws in split if ws for w in ws})
+    def forget(self) -> None:
+        """Empty the memory: the words' numbers, their ids on end, and where each word's begin."""
+        self.known, self.chars = Numbers(), 0
+        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self) -> None:
+        """Encode the new words."""
+        new, flat, at = self.known.new, [self.flat], [self.at]
         self.chars += sum(map(len, new))
+        start = len(self.flat)
         for i in range(0, len(new), 512):
-            some = new[i : i + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            data = ids.tobytes()
-            known.update(zip(some, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        get = known.__getitem__
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new[i : i + 512])], add_special_tokens=False)[0].ids, np.uint32)
+            flat.append(ids)
+            at.append(start + np.flatnonzero(self.ends[ids]) + 1)
+            start += len(ids)
+        self.flat, self.at = np.concatenate(flat), np.concatenate(at)
+        new.clear()
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text with the end id; one call handles one slice."""
+        if len(self.known) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
+            self.forget()
+        number = self.known.__getitem__
+        split = [WORDS.findall(t.lower()) if is_plain(t) else None for t in (t or "" for t in texts)]
+        words = [None if ws is None else np.fromiter(map(number, ws), np.int64, len(ws)) for ws in split]
+        self.learn()
         out = []
-        for t, ws in zip(texts, split, strict=True):
-            if ws is None:
-                data = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes()
+        for t, own in zip(texts, words, strict=True):
+            if own is None:
+                ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
             else:
-                data = b"".join(map(get, ws))
-            out.append(np.frombuffer(data + self.end, np.uint32))
+                start = self.at[own]
+                size = self.at[own + 1] - start
+                ids = self.flat[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
+            out.append(np.concatenate([ids, self.end]))
         return out
 
 
@@ -128,11 +160,11 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, base: int, width: int) -> tuple[n
             frequent = frequent[np.argsort(-count[frequent], kind="stable")[:room]]
             frequent.sort()
         chosen = pairs[frequent]
-        left, right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        left[(chosen >> key_type.type(bits)) & key_type.type(0xFFFF)] = True
-        right[chosen & key_type.type(0xFFFF)] = True
-        low = symbols & key_type.type(0xFFFF)
-        places = np.flatnonzero(inside & left[low[:-1]] & right[low[1:]])
+        # A table of hashed pairs leaves few places to look up.
+        spread = lambda k: (k * key_type.type(_SPREAD & ((1 << 2 * bits) - 1))) >> key_type.type(2 * bits - 20)
+        some = np.zeros(1 << 20, bool)
+        some[spread(chosen)] = True
+        places = np.flatnonzero(some[spread(key)] & inside)
         at = np.minimum(np.searchsorted(chosen, key[places]), len(chosen) - 1)
         hit = chosen[at] == key[places]
         places, at = places[hit], at[hit]
@@ -153,12 +185,18 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, base: int, width: int) -> tuple[n
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All terminals of all rules on end, where each rule's begin, and how many they are."""
-    parts: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        both = [np.array([s], np.uint32) if s < base else parts[s - base] for s in (a, b)]
-        parts.append(np.concatenate(both))
-    size = np.array([len(p) for p in parts], np.int64)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.cumsum(size) - size, size
+    flat, rule = rules.astype(np.int64).ravel(), np.repeat(np.arange(len(rules)), 2)
+    while True:  # all rules by one level at a time
+        big = flat >= base
+        if not big.any():
+            break
+        both = rules[flat[big] - base]
+        times = 1 + big
+        at = (np.cumsum(times) - times)[big]
+        flat, rule = np.repeat(flat, times), np.repeat(rule, times)
+        flat[at], flat[at + 1] = both[:, 0], both[:, 1]
+    size = np.bincount(rule, minlength=len(rules))
+    return flat.astype(np.uint32), np.cumsum(size) - size, size
 
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> bytes:

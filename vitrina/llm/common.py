@@ -6,6 +6,8 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,31 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def broadcast_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver, a few for each partition at most, as a side to broadcast."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def tree_merged(parts: DataFrame, read: Callable[[bytes], object], merge: Callable[[object, object], object], none: object) -> object:
+    """The only (binary) column of ``parts``, a row a partition, read and merged over a tree: the
+    driver gets about the cube root of their number.  ``none`` if there is no partition."""
+    rdd = parts.rdd.map(lambda r: read(bytes(r[0])))
+    return rdd.treeReduce(merge, depth=3) if rdd.getNumPartitions() else none
+
+
+def text_slices(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The UTF-8 bytes of about ``most`` bytes of texts on end (at least one text), where each begins (and the end), and
+    the first text's row; null texts are empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
+        yield data[at[first] : at[last]], at[first : last + 1] - at[first], first
+        first = last
+
+
 def slices(texts: list[str | None], most: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch holding about ``most`` characters (at least one text)."""
     start, size = 0, 0

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import decontamination, licenses, near_vectors, pii, piece_bpe, quality, sharding, text_join, token_files, url_filter
+from vitrina.llm import decontamination, licenses, near_vectors, pii, piece_bpe, quality, resample, sharding, text_join, token_files, url_filter
 from vitrina.llm.common import shared_dir
 
 
@@ -76,6 +76,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, ids=False)
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of all documents drawn by their likeness to the benchmark."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_licenses": op2_licenses,
@@ -87,10 +93,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_token_files": op10_token_files,
+    "op11_resample": op11_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_licenses": licenses.oracle(),
+    "op11_resample": resample.ORACLE,
     "op5_text_join": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws

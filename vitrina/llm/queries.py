@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import decontamination, licenses, near_vectors, pii, piece_bpe, quality, resample, sharding, text_join, token_files, url_filter
+from vitrina.llm import decontamination, fingerprints, licenses, near_vectors, pii, piece_bpe, quality, resample, sharding, text_join, token_files, url_filter
 from vitrina.llm.common import shared_dir
 
 
@@ -82,6 +82,11 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_licenses": op2_licenses,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_token_files": op10_token_files,
     "op11_resample": op11_resample,
+    "op12_fingerprints": op12_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {

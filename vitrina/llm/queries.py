@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import decontamination, fingerprints, licenses, near_vectors, pii, piece_bpe, quality, resample, sharding, text_join, token_files, url_filter
+from vitrina.llm import decontamination, fingerprints, licenses, near_vectors, pii, piece_bpe, quality, resample, sharding, text_join, token_files, url_filter, whitening
 from vitrina.llm.common import shared_dir
 
 
@@ -87,6 +87,11 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their first eight components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_licenses": op2_licenses,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
     "op11_resample": op11_resample,
     "op12_fingerprints": op12_fingerprints,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -27,7 +27,7 @@ from vitrina.llm.common import broadcast_rows, cut, slices
 
 GRID, KEPT, WIDTH = 16, 32, 20
 #: Hex digits of a sample and of a span in a fingerprint.
-SAMPLE, SPAN = 12, 10
+SAMPLE, SPAN = 10, 8
 #: Code points hashed at once; powers are kept for so many.
 BLOCK = 1 << 16
 #: Primes below 2**31 and bases above all code points: products fit 64 bits.

@@ -42,20 +42,20 @@ def test_registered_rankers_have_the_production_size(spark, data_dir, monkeypatc
     seen = []
 
     def fit(self, rows):
-        seen.append((self.rounds, self.depth, self.leaves, self.rate, self.least))
+        seen.append((self.rounds, self.depth, self.leaves, self.rate, self.least, self.row_share, self.column_share))
         return self
 
     monkeypatch.setattr(LambdaRanker, "fit", fit)
     queries.trained(Retail(spark, data_dir))
     queries.QUERIES["ablation_ranker"](spark, data_dir)
-    assert len(seen) > 3 and set(seen) == {(50, 7, 63, 0.05, 30)}
+    assert len(seen) > 3 and set(seen) == {(50, 7, 63, 0.05, 30, 0.8, 0.8)}
 
 
 def test_leaves_are_capped_by_gain(rows):
     whole, capped = (LambdaRanker(["a", "b", "c"], rounds=1, depth=7, leaves=k).fit(rows).trees[0] for k in (None, 9))
 
     def splits(t):
-        return [t["gain"] * t["cover"], *splits(t["left"]), *splits(t["right"])] if "left" in t else []
+        return [t["gain"], *splits(t["left"]), *splits(t["right"])] if "left" in t else []
 
     assert len(splits(whole)) > 8 and len(splits(capped)) == 8
     assert set(splits(capped)) <= set(splits(whole)) and max(splits(whole)) in splits(capped)
@@ -189,20 +189,101 @@ def test_versions_and_experiments(spark):
 
 
 def test_gradients_by_definition():
-    import pandas as pd
-
     rng = np.random.default_rng(8)
-    for n in (2, 7, 30):
-        group = pd.DataFrame({"f": [[0.0]] * n, "article_id": rng.permutation(n), "score": rng.integers(0, 4, n) / 3.0, "target": rng.integers(0, 2, n)})
-        order = sorted(range(n), key=lambda i: (-group.score[i], group.article_id[i]))
+    users, s, y, item = np.array([2, 7, 30, 1]), rng.integers(0, 4, 40) / 3.0, rng.integers(0, 2, 40).astype(float), rng.permutation(40)
+    g, h, (loss, n) = ranking.gradients(users, s, y, item)
+    want_g, want_h, losses, start = np.zeros(40), np.zeros(40), [], 0
+    for size in users:
+        own, pairs = range(start, start + size), []
+        start += size
+        order = sorted(own, key=lambda i: (-s[i], item[i]))
         gain = {i: 1 / np.log2(place + 2) for place, i in enumerate(order)}
-        want, losses = np.zeros(n), []
-        for i in range(n):
-            for j in range(n):
-                if group.target[i] == 1 and group.target[j] == 0:
-                    pull = abs(gain[i] - gain[j]) / (1 + np.exp(group.score[i] - group.score[j]))
-                    want[i] += pull
-                    want[j] -= pull
-                    losses.append(np.log(1 + np.exp(-(group.score[i] - group.score[j]))))
-        got = ranking._pairwise(group)
-        assert np.allclose(got.grad, want) and np.allclose(got.loss, np.mean(losses) if losses else 0)
+        ideal = sum(1 / np.log2(p + 2) for p in range(int(sum(y[i] for i in own))))
+        for i in own:
+            for j in own:
+                if y[i] == 1 and y[j] == 0:
+                    p = 1 / (1 + np.exp(s[i] - s[j]))
+                    w = abs(gain[i] - gain[j]) / ideal
+                    want_g[i] += w * p
+                    want_g[j] -= w * p
+                    want_h[i] += w * p * (1 - p)
+                    want_h[j] += w * p * (1 - p)
+                    pairs.append(np.log(1 + np.exp(-(s[i] - s[j]))))
+        if pairs:
+            losses.append(np.mean(pairs))
+    assert np.allclose(g, want_g) and np.allclose(h, want_h) and n == len(losses) and np.isclose(loss, sum(losses))
+
+
+def replica(users, item, y, key, x, edges, rounds, depth, leaves, least, rate, row_share, column_share, seed):
+    """The boosted trees as loops over rows and thresholds, from their definition: ``(value by row, tree sizes)``."""
+    s, sizes = np.zeros(len(y)), []
+    for n in range(rounds):
+        g, h, _ = ranking.gradients(users, s, y, item)
+        seen = ranking.drawn(key, row_share, seed, n)
+        columns = sorted(np.random.default_rng([seed, n]).permutation(x.shape[1])[: round(column_share * x.shape[1])])
+
+        def best(rows):
+            out = None
+            for j in columns:
+                for t in edges[j]:
+                    left, right = rows[x[rows, j] <= t], rows[x[rows, j] > t]
+                    if len(left) >= least and len(right) >= least and h[left].sum() >= 1e-3 and h[right].sum() >= 1e-3:
+                        gain = g[left].sum() ** 2 / h[left].sum() + g[right].sum() ** 2 / h[right].sum() - g[rows].sum() ** 2 / h[rows].sum()
+                        if gain > 1e-12 and (out is None or gain > out[0] + 1e-12):
+                            out = gain, j, t, left, right
+            return out
+
+        open_, step = [(np.flatnonzero(seen), 0, np.arange(len(y)))], np.zeros(len(y))
+        while True:  # the open leaf of the largest gain is split first
+            at = [i for i, leaf in enumerate(open_) if leaf[1] < depth and best(leaf[0])]
+            if not at or len(open_) >= leaves:
+                break
+            i = max(at, key=lambda i: best(open_[i][0])[0])
+            rows, d, every = open_.pop(i)
+            _, j, t, left, right = best(rows)
+            open_ += [(left, d + 1, every[x[every, j] <= t]), (right, d + 1, every[x[every, j] > t])]
+        for rows, _, every in open_:
+            step[every] = rate * g[rows].sum() / h[rows].sum()
+        s = s + step
+        sizes.append(len(open_))
+    return s, sizes
+
+
+@pytest.mark.parametrize("shares", [(1.0, 1.0), (0.7, 0.6)])
+def test_five_trees_equal_a_replica(spark, monkeypatch, shares):
+    monkeypatch.setattr(ranking, "CUT", 2)
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(11)
+    rows = [(u, i, int(rng.random() < 0.3), *map(float, np.round(rng.random(5), 1))) for u in range(40) for i in range(int(rng.integers(1, 15)))]
+    names = list("abcde")
+    df = spark.createDataFrame(rows, "customer_idx int, article_id int, target int, " + ", ".join(f"{c} double" for c in names)).repartition(3)
+    size = {"rounds": 5, "depth": 3, "leaves": 6, "rate": 0.3, "least": 8}
+    ranker = LambdaRanker(names, **size, row_share=shares[0], column_share=shares[1]).fit(df)
+    keyed = df.select("*", F.xxhash64(*ranking.KEYS).alias("key")).orderBy("customer_idx", "article_id").toPandas()
+    x, users = keyed[names].to_numpy(), keyed.groupby("customer_idx").size().to_numpy()
+    want, sizes = replica(users, keyed.article_id.to_numpy(), keyed.target.to_numpy().astype(float), keyed.key.to_numpy().view(np.uint64), x, ranker.edges(df), **size, row_share=shares[0], column_share=shares[1], seed=42)
+    got = {(r.customer_idx, r.article_id): r.score for r in ranker.score(df).collect()}
+    assert [sum("left" not in n for n in ranking._nodes(t)) for t in ranker.trees] == sizes and max(sizes) > 2
+    assert np.allclose([got[k] for k in zip(keyed.customer_idx, keyed.article_id, strict=True)], want, atol=1e-7)
+
+
+def test_evaluation_stops_early_and_keeps_the_best(spark, rows):
+    held = rows.withColumn("target", (F.rand(3) < 0.2).cast("int"))  # nothing to learn here
+    ranker = LambdaRanker(["a", "b", "c"], rounds=30, depth=3).fit(rows, held, patience=3)
+    assert len(ranker.scores) < 30 and len(ranker.trees) == int(np.argmax(ranker.scores)) + 1
+    assert len(ranker.scores) - len(ranker.trees) == 3
+    again = {(r.customer_idx, r.article_id): r.score for r in ranker.score(held).collect()}
+    by_user: dict = {}
+    for r in held.collect():
+        by_user.setdefault(r.customer_idx, []).append((-again[r.customer_idx, r.article_id], r.article_id, r.target))
+    ap = []
+    for own in by_user.values():
+        hit = [t for *_, t in sorted(own)]
+        if sum(hit):
+            ap.append(sum(sum(hit[: i + 1]) / (i + 1) for i in range(min(12, len(hit))) if hit[i]) / min(sum(hit), 12))
+    assert np.isclose(max(ranker.scores), np.mean(ap))
+
+
+def test_no_rows_give_no_trees(spark, rows):
+    ranker = LambdaRanker(["a", "b", "c"], rounds=3).fit(rows.limit(0))
+    assert not ranker.trees and {r.score for r in ranker.score(rows).collect()} == {0.0}

@@ -92,8 +92,10 @@ def complements(hist: DataFrame, pairs: DataFrame, spec: Cascade) -> DataFrame:
     return top(scored, ["customer_idx"], order, spec.complement_cap, "pos").select("customer_idx", "article_id", "pos")
 
 
-def cascade(tx: DataFrame, customers: DataFrame, spec: Cascade, ref_date: str | None = None, top_k: int = TOP_K, made: dict | None = None) -> DataFrame:
-    """``(customer_idx, article_id, rank, level)`` for every customer: 1 personal, 2 complement, 3 cohort, 4 global.
+def cascade_arrays(tx: DataFrame, customers: DataFrame, spec: Cascade, ref_date: str | None = None, top_k: int = TOP_K, made: dict | None = None) -> DataFrame:
+    """``(customer_idx, items)`` for every customer: an array of ``(article_id, level)``, level 1 personal, 2 complement, 3
+    cohort, 4 global.  Only a customer's own items are rows; the lists of the cohorts are broadcast (a list of ``TOP_K`` for
+    each of six cohorts) and fill the array in the customer's row.
     ``made``: tables of other cascades over the same purchases, which are written once and read again where
     the parameters agree."""
 
@@ -107,16 +109,33 @@ def cascade(tx: DataFrame, customers: DataFrame, spec: Cascade, ref_date: str |
         return made[key]
 
     hist = shared(history, tx, spec.personal_days, ref_date)
-    level = lambda df, n, pos: df.select("customer_idx", "article_id", F.lit(n).alias("level"), F.col(pos).alias("pos"))
-    rows = level(hist.where(F.col("pos") <= spec.personal_cap), 1, "pos")
+    level = lambda df, n: df.select("customer_idx", "article_id", F.lit(n).alias("level"), "pos")
+    rows = level(hist.where(F.col("pos") <= spec.personal_cap), 1)
     if spec.complement_cap:
         pairs = shared(basket_pairs, tx, spec.basket_days, spec.support, spec.top_pairs, spec.pair_decay, spec.weighted, ref_date)
-        rows = rows.unionByName(level(complements(hist, pairs, spec), 2, "pos"))
+        rows = rows.unionByName(level(complements(hist, pairs, spec), 2))
     all_, cohort = shared(bestsellers, tx, customers, spec.bestseller_days, spec.bestseller_decay, ref_date)
-    bins = customers.select("customer_idx", age_bin_case(F.col("age")).alias("age_bin"))
-    rows = rows.unionByName(level(bins.join(F.broadcast(cohort.where(F.col("age_bin") != GLOBAL)), "age_bin"), 3, "rank"))  # at most 60 rows
-    rows = rows.unionByName(level(bins.crossJoin(F.broadcast(all_)), 4, "rank"))  # 12 rows
-    return first_wins(rows, ["customer_idx"], top_k)
+    in_order = lambda *by: F.array_sort(F.collect_list(F.struct(*by, "article_id")))  # noqa: E731  at most the caps
+    own = rows.groupBy("customer_idx").agg(in_order("level", "pos").alias("own"))
+    by_cohort = F.broadcast(cohort.where(F.col("age_bin") != GLOBAL).groupBy("age_bin").agg(in_order("rank").alias("cohort")))
+    everyones = F.broadcast(all_.agg(in_order("rank").alias("rest")))
+    users = customers.select("customer_idx", age_bin_case(F.col("age")).alias("age_bin")).join(by_cohort, "age_bin", "left").crossJoin(everyones).join(own, "customer_idx", "left")
+    ids = lambda c: F.coalesce(F.transform(c, lambda x: x["article_id"]), F.array().cast("array<int>"))
+    more = users.select("customer_idx", F.coalesce(F.transform("own", lambda x: F.struct(x["article_id"], x["level"])), F.array().cast("array<struct<article_id:int,level:int>>")).alias("own"), ids("own").alias("has"), ids("cohort").alias("cohort"), ids("rest").alias("rest"))
+    at_level = lambda c, n: F.transform(c, lambda x: F.struct(x.alias("article_id"), F.lit(n).alias("level")))
+    filled = F.concat("own", at_level(F.array_except("cohort", "has"), 3), at_level(F.array_except(F.array_except("rest", "has"), "cohort"), 4))
+    return more.select("customer_idx", F.slice(filled, 1, top_k).alias("items"))
+
+
+def cascade(tx: DataFrame, customers: DataFrame, spec: Cascade, ref_date: str | None = None, top_k: int = TOP_K, made: dict | None = None) -> DataFrame:
+    """The rows ``(customer_idx, article_id, rank, level)`` of :func:`cascade_arrays`."""
+    placed = cascade_arrays(tx, customers, spec, ref_date, top_k, made).select("customer_idx", F.posexplode("items").alias("at", "x"))
+    return placed.select("customer_idx", "x.article_id", (F.col("at") + 1).alias("rank"), "x.level")
+
+
+def arrays_as_prediction(lists: DataFrame) -> DataFrame:
+    """``(customer_idx, prediction)`` of :func:`cascade_arrays`: the codes in order with blanks between."""
+    return lists.select("customer_idx", F.array_join(F.transform("items", lambda x: item_code(x["article_id"])), " ").alias("prediction"))
 
 
 def as_prediction(lists: DataFrame, key: str = "customer_idx", item: Column | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ defaults of the operators; the same numbers stand in ``oracle.py``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -251,7 +250,7 @@ def frequent_vs_sporadic(r):
 
 
 def lists(r: Retail, spec: waterfall.Cascade) -> DataFrame:
-    return waterfall.as_prediction(waterfall.cascade(r.tx, r.customers, spec))
+    return waterfall.arrays_as_prediction(waterfall.cascade_arrays(r.tx, r.customers, spec))
 
 
 @query
@@ -315,7 +314,7 @@ def request_pipeline(r):
 
 @query
 def prediction_contract(r):
-    found = waterfall.as_prediction(waterfall.cascade(r.tx, r.customers, V8)).join(r.customers.select("customer_idx", "customer_id"), "customer_idx")
+    found = lists(r, V8).join(r.customers.select("customer_idx", "customer_id"), "customer_idx")
     return waterfall.contract(found, 1000)
 
 
@@ -506,6 +505,6 @@ def weekly_best_sellers(r):
 
 @query
 def telemetry_stream(r):
-    where = f"{scratch.shared_dir(r.spark)}/telemetry-{uuid.uuid4().hex}"
+    where = scratch.new_path(r.spark, "telemetry")
     events = telemetry.stream(r.spark, r.sf_dir, "events", r.table("events").schema)
     return rounded(telemetry.run_to_table(telemetry.windows(events), f"{where}/out", f"{where}/state"), 4)

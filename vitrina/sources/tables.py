@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cached_property
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -110,9 +111,14 @@ class Retail:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def state(self) -> str:
+        """What the files of the tables behind the views are now."""
+        return scratch.state(self.spark, [f"{self.sf_dir}/{name}.parquet" for name in ("orders", "lineitem", "customer", "part")])
+
     def once(self, name: str, make):
-        """What ``make`` gives for these tables, made once in the application."""
-        return scratch.once(self.spark, (self.sf_dir, name), make)
+        """What ``make`` gives for these tables, made once in the application while they stay as they are."""
+        return scratch.once(self.spark, (self.sf_dir, name), self.state, make)
 
     def kept(self, name: str, make) -> DataFrame:
         """The table that ``make`` gives, written once."""
@@ -126,7 +132,7 @@ class Retail:
             orders = self.table("orders").select("o_orderkey", F.col("o_custkey").cast("int").alias("customer_idx"), F.col("o_orderdate").cast("date").alias("t_dat"))
             lines = self.table("lineitem").select("l_orderkey", F.col("l_partkey").cast("int").alias("article_id"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("sales_channel_id"))
             rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("t_dat", "customer_idx", "article_id", "price", "sales_channel_id")
-            return rows.repartitionByRange("t_dat").sortWithinPartitions("t_dat")
+            return rows.repartitionByRange("t_dat", "customer_idx").sortWithinPartitions("t_dat")  # a day may fill many tasks
 
         return self.dated("tx", self.kept("tx", make))
 

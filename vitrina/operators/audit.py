@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrina.functions.quantiles import quantiles
 from vitrina.functions.retail import age_bin_cut, last_days
 from vitrina.operators import explore
 from vitrina.sources.scratch import kept
@@ -31,8 +32,7 @@ def customer_mapping(ids: DataFrame, column: str = "customer_id") -> DataFrame:
 
 def prepared_customers(customers: DataFrame) -> DataFrame:
     """Missing ages become the median, memberships NONE; ``age_bin`` right-closed."""
-    median = customers.agg(F.median("age").alias("_m"))
-    rows = customers.crossJoin(F.broadcast(median))  # one row
+    rows = customers.crossJoin(F.broadcast(quantiles(customers, "age", {"_m": 0.5}, counted=True)))  # one row
     age = F.coalesce(F.col("age").cast("double"), F.col("_m"))
     filled = [F.coalesce(c, F.lit("NONE")).alias(c) for c in ("club_member_status", "fashion_news_frequency")]
     return rows.withColumn("_age", age).select("customer_idx", "customer_id", F.col("_age").alias("age"), *filled, age_bin_cut(F.col("_age")).alias("age_bin"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrina.functions.quantiles import quantiles
 from vitrina.functions.retail import age_bin_case, last_days
 
 # The points of the lag distribution.
@@ -14,7 +15,7 @@ LAG_DAYS = [1, 2, 3, 5, 7, 10, 14, 21, 28, 35, 60, 90]
 def sparsity(tx: DataFrame) -> DataFrame:
     """Users, items, density and purchases of a user."""
     per = tx.groupBy("customer_idx").agg(F.count(F.lit(1)).alias("n"))
-    users = per.agg(F.count(F.lit(1)).alias("users"), F.sum("n").alias("rows"), F.avg("n").alias("mean_per_user"), F.median("n").alias("median_per_user"))
+    users = per.agg(F.count(F.lit(1)).alias("users"), F.sum("n").alias("rows"), F.avg("n").alias("mean_per_user")).crossJoin(F.broadcast(quantiles(per, "n", {"median_per_user": 0.5}, counted=True)))  # one row
     items = tx.agg(F.count_distinct("article_id").alias("items"))
     return users.crossJoin(F.broadcast(items)).select("users", "items", "rows", (1 - F.col("rows") / (F.col("users") * F.col("items"))).alias("sparsity"), "mean_per_user", "median_per_user")
 
@@ -39,7 +40,8 @@ def lag_cdf(tx: DataFrame, points: list[int] = LAG_DAYS, **options) -> DataFrame
     """Share of lags up to each point, with the median."""
     found = lags(tx, **options)
     shares = F.array(*[F.struct(F.lit(d).alias("day"), F.avg((F.col("lag") <= d).cast("double")).alias("cdf")) for d in points])
-    return found.agg(F.count(F.lit(1)).alias("lags"), F.median("lag").alias("median_lag"), shares.alias("x")).select("lags", "median_lag", F.explode("x").alias("x")).select("x.day", "x.cdf", "lags", "median_lag")
+    one = found.agg(F.count(F.lit(1)).alias("lags"), shares.alias("x")).crossJoin(F.broadcast(quantiles(found, "lag", {"median_lag": 0.5}, counted=True)))  # one row
+    return one.select("lags", "median_lag", F.explode("x").alias("x")).select("x.day", "x.cdf", "lags", "median_lag")
 
 
 def ranked_counts(tx: DataFrame, by: str = "article_id") -> DataFrame:
@@ -100,8 +102,9 @@ def dept_revenue(tx: DataFrame, articles: DataFrame, k: int = 15) -> DataFrame:
 
 def text_length(docs: DataFrame, column: str = "text") -> DataFrame:
     """Words (split on single blanks) and share of nulls."""
-    words = F.size(F.split(column, " "))
-    return docs.agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col(column).isNull().cast("double")).alias("null_share"), F.avg(F.when(F.col(column).isNotNull(), words)).alias("mean_words"), F.median(F.when(F.col(column).isNotNull(), words)).alias("median_words"))
+    words = docs.select(F.when(F.col(column).isNotNull(), F.size(F.split(column, " "))).alias("words"))
+    one = words.agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col("words").isNull().cast("double")).alias("null_share"), F.avg("words").alias("mean_words"))
+    return one.crossJoin(F.broadcast(quantiles(words, "words", {"median_words": 0.5}, counted=True)))  # one row
 
 
 def basket_matrix(tx: DataFrame, articles: DataFrame, category: str = "garment_group_name") -> DataFrame:
@@ -116,10 +119,11 @@ def price_tiers(tx: DataFrame, customers: DataFrame, low: float = 0.02, high: fl
     rows = tx.join(customers.select("customer_idx", age_bin_case(F.col("age")).alias("age_bin")), "customer_idx")
     share = lambda c: F.avg(c.cast("double"))
     p = F.col("price")
-    return rows.groupBy("age_bin").agg(
+    tiers = rows.groupBy("age_bin").agg(
         F.count(F.lit(1)).alias("n"), share(p < low).alias("entry"), share((p >= low) & (p <= high)).alias("mid"), share(p > high).alias("premium"),
-        F.avg(p).alias("mean"), F.percentile(p, F.lit(0.25)).alias("q25"), F.percentile(p, F.lit(0.75)).alias("q75"),
+        F.avg(p).alias("mean"),
     )
+    return tiers.join(F.broadcast(quantiles(rows, "price", {"q25": 0.25, "q75": 0.75}, by=("age_bin",))), "age_bin", "left")  # a row a cohort
 
 
 def contributions(labelled: DataFrame) -> DataFrame:

@@ -25,6 +25,9 @@ val AS (SELECT * FROM aged WHERE days_ago < 28)
 """
 
 
+TELEMETRY_RECENT = "SELECT (SELECT COUNT(*) FROM events) AS requests, (SELECT COUNT(*) FROM events WHERE event_type = 'error') AS errors, COUNT(*) AS measured, ROUND(QUANTILE_CONT(value, 0.5), 6) AS p50, ROUND(QUANTILE_CONT(value, 0.95), 6) AS p95, ROUND(QUANTILE_CONT(value, 0.99), 6) AS p99 FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)"
+
+
 def recall_sql(t: str, p: str, cf_days: int = 14, trend: int = 2, dept_days: int = 7) -> str:
     """CTEs ``{p}r1`` to ``{p}r8`` of the rows ``t`` (with ``days_ago``)."""
     rn = "ROW_NUMBER() OVER (PARTITION BY {by} ORDER BY {o})"
@@ -139,12 +142,12 @@ PREDICTION = "SELECT customer_idx, STRING_AGG(LPAD(CAST(article_id AS VARCHAR),
 SPECS = {"v5": (200, 364, 12), "v6": (200, 364, 3, 2800, 4), "v7": (200, 364, 12, 2800, 6), "v8": (200, 364, 12, 2800, 6, 2, 8, 0.12, True)}
 
 
-def fallback_sql(t: str, p: str = "") -> str:
+def fallback_sql(t: str, p: str = "", days: int = 7) -> str:
     """CTEs ``{p}fg`` and ``{p}fc``: global and cohort lists of the rows ``t``."""
 
     def lists(rows: str, name: str, pad: str) -> str:
         return f"""{name} AS (SELECT * FROM (SELECT cohort, article_id, ROW_NUMBER() OVER (PARTITION BY cohort ORDER BY l, pos, article_id) AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cohort, article_id ORDER BY l, pos) AS d FROM (
-    SELECT cohort, article_id, 1 AS l, pos FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cohort ORDER BY s DESC, article_id) AS pos FROM (SELECT cohort, article_id, ROUND(SUM(EXP(-0.05::DOUBLE * (days_ago / 7.0::DOUBLE))), 9) AS s FROM {rows} WHERE days_ago < 7 GROUP BY ALL)) WHERE pos <= 12
+    SELECT cohort, article_id, 1 AS l, pos FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cohort ORDER BY s DESC, article_id) AS pos FROM (SELECT cohort, article_id, ROUND(SUM(EXP(-0.05::DOUBLE * (days_ago / 7.0::DOUBLE))), 9) AS s FROM {rows} WHERE days_ago < {days} GROUP BY ALL)) WHERE pos <= 12
     UNION ALL SELECT cohort, article_id, 2, pos FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cohort ORDER BY n DESC, article_id) AS pos FROM (SELECT cohort, article_id, COUNT(*) AS n FROM {rows} GROUP BY ALL)) WHERE pos <= 36
     {pad})) WHERE d = 1) WHERE rank <= 12)"""
 
@@ -257,7 +260,13 @@ lists AS (SELECT * FROM (SELECT customer_idx, article_id, ROW_NUMBER() OVER (PAR
         "telemetry_percentiles": "SELECT event_type, COUNT(*) AS requests, ROUND(QUANTILE_CONT(value, 0.5), 6) AS p50, ROUND(QUANTILE_CONT(value, 0.95), 6) AS p95, ROUND(QUANTILE_CONT(value, 0.99), 6) AS p99 FROM events GROUP BY ALL",
         "telemetry_windows": "SELECT strftime(DATE_TRUNC('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, COUNT(*) AS events, ROUND(SUM(value), 4) AS total, ROUND(MAX(value), 4) AS most FROM events GROUP BY ALL",
         "telemetry_stream": "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, event_type, COUNT(*) AS events, ROUND(SUM(value), 4) AS total, ROUND(MAX(value), 4) AS most FROM (SELECT *, DATE_TRUNC('day', ts) AS w FROM events) WHERE w + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 2 DAY GROUP BY ALL",
-        "telemetry_recent": "SELECT (SELECT COUNT(*) FROM events) AS requests, (SELECT COUNT(*) FROM events WHERE event_type = 'error') AS errors, COUNT(*) AS measured, ROUND(QUANTILE_CONT(value, 0.5), 6) AS p50, ROUND(QUANTILE_CONT(value, 0.95), 6) AS p95, ROUND(QUANTILE_CONT(value, 0.99), 6) AS p99 FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)",
+        "stream_best_sellers": with_(
+            "SELECT fg.*, CAST((SELECT MAX(t_dat) FROM closed) AS VARCHAR) AS day FROM fg",
+            "closed AS (SELECT tx.* EXCLUDE (days_ago), DATEDIFF('day', t_dat, (SELECT MAX(t_dat) FROM aged WHERE days_ago >= 3)) AS days_ago FROM aged tx WHERE days_ago >= 3)", fallback_sql("closed", days=28),
+        ),
+        "telemetry_sketches": "SELECT strftime(DATE_TRUNC('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, COUNT(*) AS events, TRUE AS p50_fits, TRUE AS p95_fits, TRUE AS p99_fits FROM events GROUP BY ALL",
+        "telemetry_recent_stream": TELEMETRY_RECENT,
+        "telemetry_recent": TELEMETRY_RECENT,
         "weekly_best_sellers": with_("SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, article_id, n, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY w ORDER BY n DESC, article_id) AS rank FROM (SELECT TIME_BUCKET(INTERVAL 28 DAY, t_dat, DATE '1970-01-01')::TIMESTAMP AS w, article_id, COUNT(*) AS n FROM tx GROUP BY ALL)) WHERE rank <= 5"),
         "catalog_audit": with_(" UNION ALL ".join(f"SELECT '{c}' AS attribute, COUNT(DISTINCT {v}) AS \"values\", COUNT(*) FILTER ({v} IS NULL) AS nulls, ROUND(AVG(CASE WHEN {v} IS NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS null_share, COUNT(*) FILTER (p_partkey % 7 <> 0) AS files, ROUND(AVG(CASE WHEN p_partkey % 7 <> 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage FROM part" for c, v in (("department_no", "SUBSTR(p_brand, 7)"), ("garment_group_name", "p_type"), ("product_type_no", "LENGTH(p_type) % 7"), ("detail_desc", "p_name")))),
         "pareto_frontier": with_("SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.sales >= x.sales AND y.mean_price <= x.mean_price AND y.items <= x.items AND (y.sales > x.sales OR y.mean_price < x.mean_price OR y.items < x.items))", "x AS (SELECT department_no, COUNT(*) AS sales, ROUND(AVG(price), 4) AS mean_price, COUNT(DISTINCT article_id) AS items FROM recent JOIN art USING (article_id) GROUP BY ALL)"),

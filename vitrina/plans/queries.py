@@ -16,7 +16,7 @@ from vitrina.functions.retail import age_bin_case, last_days
 from vitrina.operators import ablation, audit, explore, features, metrics, ranking, recall, split, versions, waterfall
 from vitrina.sources import scratch
 from vitrina.sources.tables import Retail
-from vitrina.streaming import telemetry
+from vitrina.streaming import state, telemetry
 
 HISTORY, VALIDATION, SUPPORT = 364, 28, 2
 WEEKS = (13, 26, 39, 52)
@@ -508,3 +508,29 @@ def telemetry_stream(r):
     where = scratch.new_path(r.spark, "telemetry")
     events = telemetry.stream(r.spark, r.sf_dir, "events", r.table("events").schema)
     return rounded(telemetry.run_to_table(telemetry.windows(events), f"{where}/out", f"{where}/state"), 4)
+
+
+@query
+def telemetry_recent_stream(r):
+    where = scratch.new_path(r.spark, "recent")
+    state.recent_on_stream(telemetry.stream(r.spark, r.sf_dir, "events", r.table("events").schema), f"{where}/out", f"{where}/state", last=500)
+    return rounded(state.recent_summary(r.spark, f"{where}/out", 500))
+
+
+@query
+def telemetry_sketches(r):
+    """Whether the ranks of the sketches' percentiles are within 2 % of a window's rows (or one row) of the wanted ones."""
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = state.window_percentiles(r.table("events"), shares)
+    rows = r.table("events").select(F.window(F.col("ts").cast("timestamp"), "1 day").start.alias("start"), "event_type", "value").where("value IS NOT NULL")
+    ranks = rows.join(F.broadcast(found), ["start", "event_type"]).groupBy("start", "event_type", "events")  # a row a window
+    off = lambda c, q: F.greatest(F.avg((F.col("value") < F.col(c)).cast("double")) - q, q - F.avg((F.col("value") <= F.col(c)).cast("double")))
+    return ranks.agg(*[(off(c, q) <= F.greatest(F.lit(0.02), 1 / F.count(F.lit(1)))).alias(f"{c}_fits") for c, q in shares.items()])
+
+
+@query
+def stream_best_sellers(r):
+    where = scratch.new_path(r.spark, "best")
+    purchases = r.spark.readStream.schema(r.purchases.schema).parquet(r.purchases.vitrina_path)
+    state.best_sellers_on_stream(purchases, f"{where}/out", f"{where}/state", days=28)
+    return state.decayed_best(state.Versions(r.spark, f"{where}/out").before())

@@ -125,8 +125,9 @@ class Retail:
         return self.once(name, lambda: scratch.kept(make(), f"retail-{name}"))
 
     @property
-    def tx(self) -> DataFrame:
-        """Purchases in the order of their days, so that a window of days reads its own files and row groups."""
+    def purchases(self) -> DataFrame:
+        """The purchases, written once in the order of their days, so that a window of days reads its own files and row
+        groups."""
 
         def make() -> DataFrame:
             orders = self.table("orders").select("o_orderkey", F.col("o_custkey").cast("int").alias("customer_idx"), F.col("o_orderdate").cast("date").alias("t_dat"))
@@ -134,7 +135,12 @@ class Retail:
             rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("t_dat", "customer_idx", "article_id", "price", "sales_channel_id")
             return rows.repartitionByRange("t_dat", "customer_idx").sortWithinPartitions("t_dat")  # a day may fill many tasks
 
-        return self.dated("tx", self.kept("tx", make))
+        return self.kept("tx", make)
+
+    @property
+    def tx(self) -> DataFrame:
+        """The purchases with their age in days."""
+        return self.dated("tx", self.purchases)
 
     def dated(self, name: str, rows: DataFrame) -> DataFrame:
         """``rows`` with their last day as a constant ``ref_date``, found once, and ``days_ago``."""

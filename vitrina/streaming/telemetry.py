@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrina.functions.quantiles import quantiles
 from vitrina.operators.recall import top
 
 
@@ -17,8 +18,8 @@ def windows(events: DataFrame, width: str = "1 day", late: str = "2 days") -> Da
 
 def percentiles(events: DataFrame, by: str = "event_type") -> DataFrame:
     """p50, p95 and p99 (interpolated) by type."""
-    p = lambda q: F.percentile("value", F.lit(q))
-    return events.groupBy(by).agg(F.count(F.lit(1)).alias("requests"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    found = quantiles(events, "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by=(by,))
+    return events.groupBy(by).agg(F.count(F.lit(1)).alias("requests")).join(F.broadcast(found), by, "left")  # a row a type
 
 
 def recent_percentiles(events: DataFrame, last: int = 10_000) -> DataFrame:

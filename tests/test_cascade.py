@@ -74,6 +74,16 @@ def test_equals_the_loop(spark, name):
     assert {r.customer_idx: [int(x) for x in r.prediction.split()] for r in got} == loop(tx, ages, spec)
 
 
+def test_a_huge_basket_meets_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(wf, "BASKET_ITEMS", 30)
+    rng = random.Random(9)
+    rows = [(1, 1, a, 1 + a % 3) for a in range(400)] + [(c, d, a, 1) for c in range(2, 30) for d in (1, 2) for a in {rng.randrange(50) for _ in range(rng.randint(1, 12))}]
+    lines = spark.createDataFrame(rows, "customer_idx int, t_dat int, article_id int, n int").repartition(4)
+    both = wf.within_baskets(lines, ["customer_idx", "t_dat"])
+    found = sorted((r.customer_idx, r.t_dat, r.article_id, r.other, r.n, r.m) for r in both.collect())
+    assert found == sorted((c, d, a, b, n, m) for c, d, a, n in rows for e, f, b, m in rows if (c, d) == (e, f) and a != b)
+
+
 def test_age_bins_differ_at_the_edges(spark):
     df = spark.createDataFrame([(25,), (35,), (24,), (None,)], "age int")
     got = [tuple(r) for r in df.select(age_bin_cut(df.age), age_bin_case(df.age)).collect()]

@@ -159,6 +159,25 @@ def test_frontier_in_blocks(spark):
         assert {r.k for r in audit.pareto(df, ["gain"], ["cost", "time"], "k", most).collect()} == want
 
 
+def test_frontier_of_partitions(spark):
+    """Random, all-equal and opposed objectives: the merged frontiers equal the definition; a large frontier too."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.integers(0, 30, (500, 3)), np.full((50, 3), 29), np.c_[np.arange(300), 300 - np.arange(300), np.zeros(300, int)]]).astype(float)
+    want = [not any((b >= a).all() and (b > a).any() for b in x) for a in x]
+    assert sorted(audit.frontier(x, 37).tolist()) == np.flatnonzero(want).tolist()
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(9999, None, 0.0, 0.0)], "k int, a double, b double, c double").repartition(9)
+    for most in (10_000, 400, 50):
+        assert {r.k for r in audit.pareto(df, ["a", "b", "c"], [], "k", most).collect()} == {*np.flatnonzero(want).tolist(), 9999}
+
+
+def test_strata_are_limited_without_a_sort(spark):
+    tx = spark.createDataFrame([(dt.date(2021, 3, 1), c, c) for c in range(300) for _ in range(1 + c % 9)], "t_dat date, customer_idx int, article_id int")
+    got = audit.stratified_sample(tx, 40, 30)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 4 and "Window" not in plan and " Sort " not in plan
+    assert {r.stratum: r["count"] for r in got.groupBy("stratum").count().collect()} == {1: 16, 2: 14, 3: 7, 4: 3}
+
+
 def test_catalog_lookup_and_statistics(spark):
     articles = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "article_id int, kind string")
     files = spark.createDataFrame([(1,), (2,), (2,), (9,)], "article_id int")

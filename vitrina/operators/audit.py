@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrina.functions.quantiles import quantiles
 from vitrina.functions.retail import age_bin_cut, last_days
 from vitrina.operators import explore
-from vitrina.sources.scratch import kept
+from vitrina.sources.scratch import drop, kept
 
 # Shares of the activity strata of a sample.
 STRATA = {1: 0.40, 2: 0.35, 3: 0.175}
@@ -46,8 +48,8 @@ def stratified_sample(tx: DataFrame, n_customers: int, days: int, seed: int = 42
     order = F.pmod(F.pmod(F.col("customer_idx").cast("bigint") * 7919 + F.lit(seed * 15485863), F.lit(2147483647)) * 48271, F.lit(2147483647))
     size = {k: int(n_customers * v) for k, v in STRATA.items()}
     size[4] = n_customers - sum(size.values())
-    limit = reduce(lambda c, k: c.when(F.col("stratum") == k, size[k]), (2, 3, 4), F.when(F.col("stratum") == 1, size[1]))
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("stratum").orderBy(order, "customer_idx"))).where(F.col("_r") <= limit).drop("_r")
+    # Each task keeps the first of its rows only, and those are merged: no sort of all customers.
+    return reduce(DataFrame.unionByName, [rows.where(F.col("stratum") == k).orderBy(order, "customer_idx").limit(size[k]) for k in sorted(size)])
 
 
 def sample_tables(sample: DataFrame, tx: DataFrame, customers: DataFrame, articles: DataFrame) -> dict[str, DataFrame]:
@@ -131,10 +133,35 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+def frontier(x: np.ndarray, block: int = 512) -> np.ndarray:
+    """Places of the rows that no other is as high as in every column and higher in one.  In the order of their sums a
+    row is beaten by rows before it only, so blocks are held against what is left so far and against themselves."""
+    order = np.lexsort((*x.T, -x.sum(1)))
+    x, kept_ = x[order], np.zeros(0, np.int64)
+    for a in range(0, len(x), block):
+        own = np.arange(a, min(a + block, len(x)))
+        for by in (*(kept_[i : i + block] for i in range(0, len(kept_), block)), own):
+            if len(own):
+                lo, hi = x[own][:, None], x[by][None]
+                own = own[~((hi >= lo).all(2) & (hi > lo).any(2)).any(1)]
+        kept_ = np.r_[kept_, own]
+    return order[kept_]
+
+
 def pareto(results: DataFrame, up: list[str], down: list[str], key: str, most: int = 10_000) -> DataFrame:
-    """Rows that no other row is as good as in everything and better in something.  Up to ``most`` rows are
-    held against all at once; of a larger table first the best by each objective rule out most others, and
-    what is left is held against itself in blocks of ``most`` rows."""
+    """Rows that no other row is as good as in everything and better in something (rows with a null objective are not compared and
+    stay).  Each partition is reduced to its own frontier, and the frontiers are merged four to a task again and again; once
+    ``most`` rows are left they are held against each other at once.  A frontier that stays larger is held against itself
+    in blocks of ``most`` rows."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*up, *down]])
+
+    def local(batches):
+        held, signs = None, np.array([1.0] * len(up) + [-1.0] * len(down))
+        for batch in batches:
+            both = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            held = both.iloc[np.sort(frontier(both[[*up, *down]].to_numpy(float) * signs))]
+        if held is not None:
+            yield held
 
     def beaten(rows: DataFrame, by: DataFrame) -> DataFrame:
         other = F.broadcast(by.select(*[F.col(c).alias(f"_{c}") for c in [key, *up, *down]]))  # at most about ``most`` rows
@@ -144,14 +171,19 @@ def pareto(results: DataFrame, up: list[str], down: list[str], key: str, most: i
 
     if results.count() <= most:
         return beaten(results, results)
-    order = [F.desc(c) for c in up] + [F.asc(c) for c in down]
-    first = [results.orderBy(*order[i:], *order[:i]).limit(max(1, most // len(order))) for i in range(len(order))]
-    alive = kept(beaten(results, reduce(DataFrame.unionByName, first)), "frontier")
-    blocks = -(-alive.count() // most)
-    out = alive
+    alive = kept(results.where(whole).mapInPandas(local, results.schema), "frontier")
+    n, parts = alive.count(), alive.rdd.getNumPartitions()
+    while n > most and parts > 1:
+        parts = -(-parts // 4)
+        merged = kept(alive.repartition(parts).mapInPandas(local, results.schema), "frontier")
+        drop(alive)
+        alive, before, n = merged, n, merged.count()
+        if n > 0.9 * before:  # that is the frontier, more or less
+            break
+    out, blocks = alive, -(-n // most)
     for k in range(blocks):
         out = beaten(out, alive.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k))
-    return out
+    return out.unionByName(results.where(~whole))
 
 
 def archetypes(users: DataFrame) -> DataFrame:

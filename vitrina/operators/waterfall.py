@@ -18,6 +18,8 @@ from vitrina.operators.recall import first_wins, top, top_all
 from vitrina.sources.scratch import kept
 
 TOP_K = 12
+#: Items of a basket that meet all at once.
+BASKET_ITEMS = 1000
 
 
 @dataclass(frozen=True)
@@ -54,12 +56,22 @@ def history(tx: DataFrame, days: int, ref_date: str | None = None) -> DataFrame:
     return own.select("customer_idx", "article_id", "days_ago", F.row_number().over(w).alias("pos"))
 
 
+def within_baskets(lines: DataFrame, basket: list[str]) -> DataFrame:
+    """Pairs of different items of one basket: ``lines(..., article_id, n)`` with ``other`` and ``m`` beside them.  A basket of more than
+    ``BASKET_ITEMS`` items is dealt to parts of about so many, and every two of its parts meet in a group of their own."""
+    size = lines.groupBy(*basket).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > BASKET_ITEMS)
+    own = lines.join(size, basket, "left").withColumn("_parts", F.coalesce(F.ceil(F.col("_size") / BASKET_ITEMS), F.lit(1)).cast("int"))
+    own = own.withColumns({"_a": F.pmod(F.xxhash64("article_id"), F.col("_parts")).cast("int"), "_all": F.sequence(F.lit(0), F.col("_parts") - 1)}).drop("_size", "_parts")
+    left = own.withColumn("_b", F.explode("_all")).drop("_all")
+    other = own.select(*basket, F.col("article_id").alias("other"), F.col("n").alias("m"), F.col("_a").alias("_b"), F.explode("_all").alias("_a"))
+    return left.join(other, [*basket, "_a", "_b"]).where("article_id != other").drop("_a", "_b")
+
+
 def basket_pairs(tx: DataFrame, days: int, support: int, top_pairs: int, decay: float, weighted: bool, ref_date: str | None = None) -> DataFrame:
     """Items bought by one user on one day: ``(article_id, other, weight, r)``.  Rows of one basket and item are
-    counted before the self-join, which keeps repeats as products of counts."""
+    counted before the self-join, which keeps repeats as products of counts; huge baskets meet in parts."""
     lines = last_days(tx, days, ref_date).groupBy("customer_idx", "t_dat", "days_ago", "article_id").agg(F.count(F.lit(1)).alias("n"))
-    other = lines.select("customer_idx", "t_dat", F.col("article_id").alias("other"), F.col("n").alias("m"))
-    both = lines.join(other, ["customer_idx", "t_dat"]).where("article_id != other")
+    both = within_baskets(lines, ["customer_idx", "t_dat"])
     times = F.col("n") * F.col("m")
     weight = F.sum(times * pow_decay(decay, 2 * F.col("days_ago") / 14.0)) if weighted else F.sum(times).cast("double")
     pairs = both.groupBy("article_id", "other").agg(F.round(weight, 12).alias("weight"), F.sum(times).alias("support")).where(F.col("support") >= support)

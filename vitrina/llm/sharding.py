@@ -17,8 +17,8 @@ from vitrina.llm.common import cut, drop_cut
 
 CELLS = 256
 KEY_BITS = 62
-#: Rows numbered by one task; a shard with more of them is numbered in several pieces.
-PIECE_ROWS = 1_000_000
+#: Rows and bytes numbered by one task; a shard with more of them is numbered in several pieces.
+PIECE_ROWS, PIECE_BYTES = 1_000_000, 256_000_000
 
 
 def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -103,7 +103,8 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, text: str
     splitters = find_splitters(narrow, shards, tolerance) if shards > 1 else []
     shard_col = shard_of(splitters) if splitters else F.lit(0)
     placed = narrow.withColumn("shard", shard_col)
-    pieces = max(1, -(-narrow.count() // (shards * PIECE_ROWS)))
+    n, size = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    pieces = max(1, -(-n // (shards * PIECE_ROWS)), -(-size // (shards * PIECE_BYTES)))
     piece = F.pmod("_t", F.lit(pieces)).cast("int")
     counts = placed.groupBy("shard", piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,8 +15,8 @@ rules (two symbols each), the expansion lengths of the rules (uint32), the docum
 
 from __future__ import annotations
 
+import hashlib
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,7 +41,18 @@ KNOWN_WORDS, KNOWN_CHARS = 1_000_000, 24_000_000
 # The tokenizer's own splitting, for texts of these characters only (their composed form,
 # lower case and classes need no tables); other texts go through the library whole.
 PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F)]) + "¡«»¿".encode("latin-1") + bytes(range(0xC0, 0x100))
-WORDS = re.compile(r"[a-zà-öø-ÿß]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-zà-öø-ÿß0-9]+")
+#: Classes of characters: runs of letters and of marks are words, and each digit is one; blanks are none.
+BLANK, LETTER, DIGIT, MARK = range(4)
+CLASS = np.full(256, MARK, np.uint8)
+CLASS[[9, 10, 13, 32]] = BLANK
+CLASS[48:58] = DIGIT
+CLASS[97:123] = CLASS[0xDF:0xF7] = CLASS[0xF8:] = LETTER
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+LOWER[0xC0:0xD7] += 32
+LOWER[0xD8:0xDF] += 32
+#: Words of more bytes are hashed one by one.
+SHORT = 40
 
 
 #: Texts that tell the rules of a tokenizer apart: case, contractions, digits, marks, blanks, letters beyond ASCII.
@@ -55,16 +66,81 @@ def is_plain(text: str) -> bool:
         return False
 
 
-class Numbers(dict):
-    """Numbers words in the order they are first asked for; ``new`` has those asked for since it was emptied."""
-
-    def __init__(self):
-        self.new: list[str] = []
+def words_of(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and size of each word of lower-case Latin-1 bytes.  A single apostrophe takes the
+    letters of a contraction (s, t, m, d, re, ve, ll) that follow it."""
+    kind = CLASS.take(low)
+    other = kind[1:] != kind[:-1]
+    digit = kind == DIGIT
+    begins = np.r_[True, other] | digit
+    ends = np.r_[other, True] | digit
+    word = kind != BLANK
+    start, stop = np.flatnonzero(begins & word), np.flatnonzero(ends & word) + 1
+    mark = np.flatnonzero((low[start] == 39) & (stop - start == 1))
+    mark = mark[mark + 1 < len(start)]
+    mark = mark[(start[mark + 1] == stop[mark]) & (kind[stop[mark]] == LETTER)]
+    if len(mark):
+        first = low[stop[mark]]
+        second = np.where(stop[mark + 1] - start[mark + 1] > 1, low[np.minimum(stop[mark] + 1, len(low) - 1)], 0)
+        one = np.isin(first, np.frombuffer(b"stmd", np.uint8))
+        two = ((second == 101) & ((first == 114) | (first == 118))) | ((first == 108) & (second == 108))
+        took = np.where(one, 1, np.where(two, 2, 0))
+        stop[mark] += took
+        start[mark + 1] += took
+        full = stop > start
+        start, stop = start[full], stop[full]
+    return start, stop - start
+
+
+def word_hashes(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, never 0."""
+    short = np.minimum(size, SHORT + 1).astype(np.uint8)
+    order = np.argsort(short, kind="stable")[::-1]  # long words first: each step works on a prefix
+    more = len(size) - np.cumsum(np.bincount(short, minlength=SHORT + 2))
+    at, h = start[order], np.full(len(size), 0xCBF29CE484222325, np.uint64)
+    for k in range(SHORT):
+        m = more[k]
+        if not m:
+            break
+        h[:m] = (h[:m] ^ low.take(at[:m] + k)) * np.uint64(_SPREAD)
+        h[:m] ^= h[:m] >> np.uint64(29)
+    out = np.empty_like(h)
+    out[order] = h
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(low[start[i] : start[i] + size[i]], digest_size=8).digest(), "little")
+    return out | np.uint64(1)
+
+
+class Numbers:
+    """Numbers of word hashes in the order in which they came, in a table of open addresses."""
+
+    def __init__(self, most: int):
+        self.bits = max(8, (2 * most).bit_length())
+        self.keys, self.numbers, self.count = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for new ones."""
+        out, rest, own = np.full(len(h), -1, np.int64), np.arange(len(h)), h
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(rest):
+            found = self.keys.take(at)
+            hit = found == own
+            out[rest[hit]] = self.numbers.take(at[hit])
+            on = ~hit & (found != 0)
+            rest, own, at = rest[on], own[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
+    def add(self, h: np.ndarray) -> None:
+        """Number new, distinct hashes."""
+        number = self.count + np.arange(len(h), dtype=np.int32)
+        self.count += len(h)
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(h):
+            free = self.keys.take(at) == 0
+            self.keys[at[free]] = h[free]  # one of several that want a place gets it
+            got = self.keys.take(at) == h
+            self.numbers[at[got]] = number[got]
+            h, number, at = h[~got], number[~got], (at[~got] + 1) & ((1 << self.bits) - 1)
 
 
 class WordEncoder:
@@ -87,39 +163,57 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Empty the memory: the words' numbers, their ids on end, and where each word's begin."""
-        self.known, self.chars = Numbers(), 0
+        self.known, self.chars = Numbers(KNOWN_WORDS), 0
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self) -> None:
-        """Encode the new words."""
-        new, flat, at = self.known.new, [self.flat], [self.at]
+    def learn(self, new: list[str]) -> None:
+        """Encode new words."""
+        flat, at, start = [self.flat], [self.at], len(self.flat)
         self.chars += sum(map(len, new))
-        start = len(self.flat)
         for i in range(0, len(new), 512):
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new[i : i + 512])], add_special_tokens=False)[0].ids, np.uint32)
             flat.append(ids)
             at.append(start + np.flatnonzero(self.ends[ids]) + 1)
             start += len(ids)
         self.flat, self.at = np.concatenate(flat), np.concatenate(at)
-        new.clear()
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text with the end id; one call handles one slice."""
-        if len(self.known) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
+        texts = [t or "" for t in texts]
+        plain = [is_plain(t) for t in texts]
+        own = [t for t, p in zip(texts, plain, strict=True) if p]
+        low = LOWER.take(np.frombuffer("\n".join([*own, ""]).encode("latin-1"), np.uint8))
+        start, size = words_of(low) if len(low) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        hashes = word_hashes(low, start, size)
+        if self.chars > KNOWN_CHARS:
             self.forget()
-        number = self.known.__getitem__
-        split = [WORDS.findall(t.lower()) if is_plain(t) else None for t in (t or "" for t in texts)]
-        words = [None if ws is None else np.fromiter(map(number, ws), np.int64, len(ws)) for ws in split]
-        self.learn()
-        out = []
-        for t, own in zip(texts, words, strict=True):
-            if own is None:
-                ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+        number = self.known.find(hashes)
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            new, first = np.unique(hashes[unknown], return_index=True)
+            if self.known.count + len(new) > KNOWN_WORDS:  # a slice has fewer words than fit
+                self.forget()
+                unknown = np.arange(len(hashes))
+                new, first = np.unique(hashes, return_index=True)
+            at = unknown[first]
+            self.known.add(new)
+            letters = low.tobytes().decode("latin-1")
+            self.learn([letters[a : a + n] for a, n in zip(start[at].tolist(), size[at].tolist(), strict=True)])
+            number[unknown] = self.known.find(hashes[unknown])
+        begin = self.at[number]
+        count = self.at[number + 1] - begin
+        ends = np.cumsum(count)
+        ids = self.flat.take(np.arange(count.sum()) + np.repeat(begin - (ends - count), count))
+        words = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in own)]))  # words before each text
+        cuts = iter(np.r_[0, ends][words].tolist())
+        out, a = [], next(cuts)
+        for t, p in zip(texts, plain, strict=True):
+            if p:
+                b = next(cuts)
+                out.append(np.concatenate([ids[a:b], self.end]))
+                a = b
             else:
-                start = self.at[own]
-                size = self.at[own + 1] - start
-                ids = self.flat[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
-            out.append(np.concatenate([ids, self.end]))
+                out.append(np.concatenate([np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32), self.end]))
         return out
 
 

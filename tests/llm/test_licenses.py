@@ -80,11 +80,72 @@ EXPECTED = [
     ("3-clause BSD license", "bsd-3-clause"),
     ("the new BSD license", "bsd-3-clause"),
     ("Copyright 2020 Example Ltd. All rights reserved.", "proprietary"),
+    ("GPL 2.0 with Classpath exception", "classpath-exception-2.0,gpl-2.0-only"),
+    ("GPLv2 with classpath exception", "classpath-exception-2.0,gpl-2.0-only"),
+    ("SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", "apache-2.0,llvm-exception"),
+    ("GPL-3.0 with GCC Runtime Library Exception", "gcc-exception-3.1,gpl-3.0-only"),
+    ("SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note", "gpl-2.0-only,linux-syscall-note"),
+    ("SPDX-License-Identifier: GPL-2.0+", "gpl-2.0-or-later"),
+    ("LGPL-2.1+", "lgpl-2.1-or-later"),
+    ("GPLv3+ and AGPL-3.0+.", "agpl-3.0-or-later,gpl-3.0-or-later"),
+    ("gpl 2+3 is no version", "gpl-2.0-only"),
+    ("GNU GPL version 2 or 3", "gpl-2.0-or-3.0"),
+    ("GNU General Public License version 2 or version 3", "gpl,gpl-2.0-or-3.0"),
+    ("CPAL 1.0", "cpal-1.0"),
+    ("mit 0 times", ""),
+    ("SPDX-License-Identifier: MIT-0", "mit-0"),
     ("a public library and a general license to print", ""),
     ("the lesser evil", ""),
 ]
 
 
+WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction"""
+BSD = """Copyright (c) 2001, A. Person. All rights reserved.
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice in the documentation."""
+ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+FEE = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+GNU = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; {}"
+# Whole texts (their telling parts) of licenses that share sentences, and their labels.
+WHOLE = [
+    (f"Copyright (c) 2001 A. Person\n\n{GRANT}\n\n{WARRANTY}", "mit"),
+    (f"MIT License\n\n{GRANT}\n{WARRANTY}", "mit"),
+    (f"MIT No Attribution\n{GRANT}\n{WARRANTY}", "mit-0"),
+    (f"X11 License\nCopyright (C) 1996 X Consortium\n{GRANT}\n{WARRANTY} Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise", "x11"),
+    (f"Copyright (C) 1996 X Consortium\n{GRANT}\n{WARRANTY} Except as contained in this notice, the name of the X Consortium shall not be used in advertising", "x11"),
+    (f"University of Illinois/NCSA Open Source License\nAll rights reserved.\n{GRANT}, subject to: Redistributions of source code must retain\n{WARRANTY}", "ncsa"),
+    (f"This is free and unencumbered software released into the public domain.\nIn jurisdictions that recognize copyright laws, the author dedicates any interest to the public domain.\n{WARRANTY}\nFor more information, please refer to <https://unlicense.org/>", "unlicense"),
+    (BSD, "bsd"),
+    (f"{BSD}\n3. {ENDORSE}", "bsd,bsd-3-clause"),
+    (f"{BSD}\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement\n4. {ENDORSE}", "bsd-4-clause"),
+    (f"BSD 2-Clause License\n{BSD}", "bsd-2-clause"),
+    (f"BSD 3-Clause License\n{BSD}\n{ENDORSE}", "bsd-3-clause"),
+    (f"Zero-Clause BSD\n{FEE}", "0bsd"),
+    (f"Copyright 2004\n{FEE}\nTHE SOFTWARE IS PROVIDED AS IS", "isc"),
+    (f"PostgreSQL License\n{FEE.replace('and/or', 'and')}", "postgresql"),
+    ("This software is provided 'as-is'. 2. Altered source versions must be plainly marked as such, and must not be misrepresented.", "zlib"),
+    ("libpng license. 2. Altered source versions must be plainly marked as such.", "libpng"),
+    (f"Boost Software License - Version 1.0 - August 17th, 2003\n{GRANT.replace('a copy of this', 'a copy of the')}\n{WARRANTY}", "bsl-1.0"),
+    ('"THE BEER-WARE LICENSE" (Revision 42): <a@b> wrote this file. If we meet some day, you can buy me a beer in return.', "beerware"),
+    ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004", "wtfpl"),
+    (GNU.format("", "either version 2 of the License, or (at your option) any later version."), "gpl,gpl-2.0-or-later"),
+    (GNU.format("Lesser ", "either version 2.1 of the License, or (at your option) any later version."), "gpl,lgpl,lgpl-2.1-or-later"),
+    (GNU.format("", "version 2 only. The copyright holder designates this file as subject to the \"Classpath\" exception."), "classpath-exception-2.0,gpl"),
+    ("The contents of this file are subject to the Common Development and Distribution License 1.0. You may not use this file except in compliance with the License.", "cddl-1.0"),
+]
+
+
+def test_whole_texts_that_share_sentences(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WHOLE)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(WHOLE))] == [labels for _, labels in WHOLE]
+    assert both(spark, [(i, t) for i, (t, _) in enumerate([*WHOLE, *EXPECTED])])[0] == both(spark, [(i, t) for i, (t, _) in enumerate([*WHOLE, *EXPECTED])])[1]
+
+
 def test_labels_of_real_notices(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(EXPECTED)], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}

@@ -3,7 +3,9 @@
 A text is reduced to its words, each between two spaces, so that a signature is a regular
 expression over whole words.  Every rule has a keyword; a text is put to the rules whose
 keyword it holds.  Of overlapping detections, one that lies inside another of the same or a
-higher priority is suppressed.  All of it is expressions on the row: no shuffle.
+higher priority is suppressed.  Sentences that several licenses share (priority 1) count only in a
+text that names no license, and hints (0) only where there are no such sentences either.  All of it is
+expressions on the row: no shuffle.
 
 The base phrases are a part of the rules with a priority of their own and are never
 suppressed.
@@ -19,8 +21,10 @@ from vitrina.llm.common import let, running
 BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
 
 LICENSE = "licen[cs]e"
-#: Weight of a rule by its priority: 3 a notice or a name with its version, 2 a name, 1 a hint.
-WEIGHTS = {1: 0.3, 2: 0.8, 3: 1.0}
+#: Weight of a rule by its priority: 3 a notice or a name with its version, 2 a name, 1 a shared sentence, 0 a hint.
+WEIGHTS = {0: 0.3, 1: 0.9, 2: 0.8, 3: 1.0}
+#: Stands for a plus sign after a digit at the end of a word, as in ``GPL-2.0+``.
+PLUS = "\ue000"
 
 
 def version(number: str) -> str:
@@ -30,6 +34,11 @@ def version(number: str) -> str:
     return ways + ("(?: 0)?" if rest in ("", "0") else f" {rest}")
 
 
+def plus(number: str) -> str:
+    """A version with a plus sign."""
+    return version(number) + PLUS
+
+
 LATER = "(?: or later| or any later version| or at your option any later version)"
 
 #: The signature rules in order: label, keyword (a word of every match), words as a pattern, priority.
@@ -40,12 +49,14 @@ SIGNATURES = [
     ("mit", "expat", f"expat {LICENSE}", 2),
     ("mit", "mit", f"licensed under (?:the )?mit(?: {LICENSE})?", 3),
     ("mit", "mit", f"{LICENSE} mit", 2),
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 3),
-    ("mit", "noninfringement", "warranties of merchantability fitness for a particular purpose and noninfringement", 3),
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 1),
+    ("mit", "noninfringement", "warranties of merchantability fitness for a particular purpose and noninfringement", 1),
     ("mit-0", "mit", f"mit no attribution(?: {LICENSE})?", 3),
-    ("mit-0", "mit", "mit 0", 3),
+    ("mit-0", "mit", f"(?:identifier|the) mit 0(?: {LICENSE})?", 3),
+    ("mit-0", "mit", f"mit 0 {LICENSE}", 3),
     ("x11", "x11", f"x11 {LICENSE}", 2),
     ("x11", "consortium", f"x consortium {LICENSE}", 2),
+    ("x11", "consortium", "the name of the x consortium shall not be used in advertising", 3),
     # Apache
     ("apache", "apache", f"apache(?: software| public)? {LICENSE}", 2),
     ("apache-1.0", "apache", f"apache(?: software)? {LICENSE}(?: version| v)? 1 0", 3),
@@ -54,7 +65,7 @@ SIGNATURES = [
     ("apache-2.0", "apache", "apache 2(?: 0)?", 3),
     ("apache-2.0", "apache", f"licensed under the apache {LICENSE}{version('2')}", 3),
     ("apache-2.0", "asl", "(?:apache )?asl(?: v2| 2)(?: 0)?", 3),
-    ("apache-2.0", "compliance", "you may not use this file except in compliance with the license", 3),
+    ("apache-2.0", "compliance", "you may not use this file except in compliance with the license", 1),
     # GNU general public license
     ("gpl", "gpl", "(?:gnu )?gpl", 2),
     ("gpl", "general", f"gnu general public {LICENSE}", 2),
@@ -69,7 +80,28 @@ SIGNATURES = [
     ("gpl-2.0-only", "general", f"(?:gnu )?general public {LICENSE}{version('2')}(?: only)?", 3),
     ("gpl-2.0-or-later", "general", f"(?:gnu )?general public {LICENSE}{version('2')}{LATER}", 3),
     ("gpl-2.0-or-later", "option", f"either version 2 of the {LICENSE} or at your option any later version", 3),
-    ("gpl-2.0-only", "classpath", "gpl 2 0 with classpath exception", 3),
+    *(
+        (f"{name}-{v}.0-or-later", keyword, f"(?:gnu )?{words}{plus(v)}", 3)
+        for name, keyword, words, versions in (
+            ("gpl", "gpl", "gpl", "123"), ("gpl", "general", f"general public {LICENSE}", "123"), ("lgpl", "lgpl", "lgpl", "23"), ("agpl", "agpl", "agpl", "3"),
+        )
+        for v in versions
+    ),
+    ("lgpl-2.1-or-later", "lgpl", f"(?:gnu )?lgpl{plus('2.1')}", 3),
+    ("lgpl-2.1-or-later", "lgplv2", f"lgplv2 1{PLUS}", 3),
+    *((f"{name}-{v}.0-or-later", f"{name}v{v}{PLUS}", f"{name}v{v}{PLUS}", 3) for name, v in (("gpl", 2), ("gpl", 3), ("lgpl", 2), ("lgpl", 3), ("agpl", 3))),
+    ("gpl-2.0-or-3.0", "gpl", f"(?:gnu )?gpl{version('2')} or{version('3')}", 3),
+    ("gpl-2.0-or-3.0", "gpl", "(?:gnu )?gpl versions? 2(?: 0)? or 3(?: 0)?", 3),
+    ("gpl-2.0-or-3.0", "general", f"(?:gnu )?general public {LICENSE}{version('2')} or{version('3')}", 3),
+    # Exceptions
+    ("classpath-exception-2.0", "classpath", "classpath exception", 3),
+    ("gcc-exception-3.1", "gcc", "gcc runtime library exception", 3),
+    ("llvm-exception", "llvm", "llvm exceptions?", 3),
+    ("autoconf-exception", "autoconf", "autoconf exception", 3),
+    ("bison-exception-2.2", "bison", "bison exception", 3),
+    ("font-exception-2.0", "font", "font exception", 3),
+    ("linux-syscall-note", "syscall", "linux syscall note", 3),
+    ("linking-exception", "linking", "(?:static |independent modules )?linking exception", 3),
     ("gpl-3.0-only", "gpl", f"(?:gnu )?gpl{version('3')}(?: only)?", 3),
     ("gpl-3.0-or-later", "gpl", f"(?:gnu )?gpl{version('3')}{LATER}", 3),
     ("gpl-3.0-only", "gplv3", "gplv3(?: only)?", 3),
@@ -129,15 +161,15 @@ SIGNATURES = [
     ("bsd-3-clause-clear", "bsd", f"(?:clear bsd|bsd 3 clause clear)(?: {LICENSE})?", 3),
     ("bsd-4-clause", "bsd", f"(?:4 clause bsd|bsd 4 clause|four clause bsd)(?: {LICENSE})?", 3),
     ("bsd-4-clause", "bsd", f"(?:original|old) bsd {LICENSE}", 3),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 3),
-    ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission", 3),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 1),
+    ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission", 1),
     ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledgement", 3),
     ("isc", "isc", f"isc {LICENSE}", 2),
-    ("isc", "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 3),
+    ("isc", "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 1),
     ("ncsa", "ncsa", f"(?:university of illinois )?ncsa(?: open source)? {LICENSE}", 3),
     ("hpnd", "historical", "historical permission notice and disclaimer", 3),
     ("zlib", "zlib", f"zlib {LICENSE}", 2),
-    ("zlib", "altered", "altered source versions must be plainly marked as such", 3),
+    ("zlib", "altered", "altered source versions must be plainly marked as such", 1),
     ("libpng", "libpng", f"libpng {LICENSE}", 2),
     ("zlib", "zlib", f"zlib libpng {LICENSE}", 3),
     ("bsl-1.0", "boost", f"boost software {LICENSE}", 2),
@@ -190,6 +222,7 @@ SIGNATURES = [
     ("cddl-1.0", "cddl", "cddl 1 0", 3),
     ("cddl-1.1", "cddl", "cddl 1 1", 3),
     ("cpal-1.0", "attribution", f"common public attribution {LICENSE}(?: version| v)?(?: 1 0)?", 3),
+    ("cpal-1.0", "cpal", "cpal(?: version| v)?(?: 1 0)?", 3),
     ("ipl-1.0", "ibm", f"ibm public {LICENSE}(?: version| v)?(?: 1 0)?", 3),
     ("spl-1.0", "sun", f"sun public {LICENSE}(?: version| v)?(?: 1 0)?", 3),
     ("sissl", "sun", f"sun industry standards source {LICENSE}", 3),
@@ -270,9 +303,10 @@ SIGNATURES = [
     ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited", 3),
     ("proprietary", "eula", "(?:end user licen[cs]e agreement )?eula", 2),
     ("proprietary", "user", "end user licen[cs]e agreement", 2),
-    ("proprietary", "rights", "all rights reserved", 1),
+    ("proprietary", "rights", "all rights reserved", 0),
     # SPDX tags that no name above covers
     ("mit", "spdx", "spdx license identifier mit", 3),
+    ("mit-0", "spdx", "spdx license identifier mit 0", 3),
     ("isc", "spdx", "spdx license identifier isc", 3),
     ("zlib", "spdx", "spdx license identifier zlib", 3),
     ("curl", "spdx", "spdx license identifier curl", 3),
@@ -317,7 +351,8 @@ def blanks(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """The words of a text with one space before, between and after them; empty without words."""
-    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++", " "))
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])\+(?![0-9A-Za-z+\x{80}-\x{10FFFF}])", PLUS)
+    words = F.trim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++", " "))
     return F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
@@ -346,24 +381,33 @@ def detections(canon: Column, keywords: Column) -> Column:
     table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(whole(p)).alias("p"), F.lit(label).alias("l"), F.lit(prio).alias("prio"), F.lit(w).alias("w")) for label, k, p, prio, w in rules()])
 
     def of(rule: Column) -> Column:
-        return F.transform(places(canon, rule["p"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), (-rule["prio"]).alias("prio"), rule["l"].alias("l"), rule["w"].alias("w")))
+        return F.transform(places(canon, rule["p"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), (-rule["prio"]).alias("prio"), rule["l"].alias("l"), (-rule["w"]).alias("w")))
 
     return F.array_sort(F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(keywords, r["k"])), of)))
 
 
 def kept(found: Column) -> Column:
     """Labels and the largest weight of what no detection of the same or a higher priority
-    contains: one pass with the farthest end so far of each priority."""
-    first = F.struct(F.lit(0).alias("m1"), F.lit(0).alias("m2"), F.lit(0).alias("m3"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("w"))
+    contains: one pass with the farthest end so far of each priority; then the names, or else the shared
+    sentences, or else the hints."""
+    nothing = [c for t in (0, 1, 2) for c in (F.array().cast("array<string>").alias(f"l{t}"), F.lit(0.0).alias(f"w{t}"))]
+    first = F.struct(*[F.lit(0).alias(f"m{p}") for p in WEIGHTS], *nothing)
 
     def step(acc: Column, d: Column) -> Column:
         end, prio = -d["e"], -d["prio"]
-        inside = F.when(prio == 3, acc["m3"]).when(prio == 2, acc["m2"]).otherwise(acc["m1"]) >= end
-        ends = [F.when(prio >= p, F.greatest(acc[f"m{p}"], end)).otherwise(acc[f"m{p}"]).alias(f"m{p}") for p in (1, 2, 3)]
-        labels = F.when(inside, acc["labels"]).otherwise(F.array_union(acc["labels"], F.array(d["l"])))
-        return F.struct(*ends, labels.alias("labels"), F.when(inside, acc["w"]).otherwise(F.greatest(acc["w"], d["w"])).alias("w"))
+        inside = F.element_at(F.array(*[acc[f"m{p}"] for p in WEIGHTS]), prio + 1) >= end
+        ends = [F.when(prio >= p, F.greatest(acc[f"m{p}"], end)).otherwise(acc[f"m{p}"]).alias(f"m{p}") for p in WEIGHTS]
+        out = []
+        for t in (0, 1, 2):
+            new = ~inside & (F.least(prio, F.lit(2)) == t)
+            out += [F.when(new, F.array_union(acc[f"l{t}"], F.array(d["l"]))).otherwise(acc[f"l{t}"]).alias(f"l{t}"), F.when(new, F.greatest(acc[f"w{t}"], -d["w"])).otherwise(acc[f"w{t}"]).alias(f"w{t}")]
+        return F.struct(*ends, *out)
+
+    def best(acc: Column) -> Column:
+        tier = lambda t: F.struct(acc[f"l{t}"].alias("labels"), acc[f"w{t}"].alias("w"))
+        return F.when(F.size(acc["l2"]) > 0, tier(2)).when(F.size(acc["l1"]) > 0, tier(1)).otherwise(tier(0))
 
-    return F.aggregate(found, first, step, lambda acc: F.struct(acc["labels"].alias("labels"), acc["w"].alias("w")))
+    return F.aggregate(found, first, step, best)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -431,7 +475,7 @@ def oracle() -> str:
     base = ", ".join(f"('{label}', '{p}')" for label, p in BASE)
     return f"""
     WITH docs AS (
-        SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+        SELECT doc_id, regexp_extract_all(translate(regexp_replace(COALESCE(text, ''), '([0-9])\\+($|[^0-9A-Za-z+\\x{{80}}-\\x{{10FFFF}}])', '\\1{PLUS}\\2', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
         FROM documents
     ), rules(label, keyword, phrase, prio, w) AS (VALUES {values}),
     base(label, phrase) AS (VALUES {base}),
@@ -443,10 +487,12 @@ def oracle() -> str:
     ), hits AS (
         SELECT DISTINCT doc_id, label, i AS s, i + len(string_split(phrase, ' ')) AS e, prio, w FROM words JOIN rules ON ws[i + 1] = string_split(phrase, ' ')[1]
         AND list_slice(ws, i + 1, i + len(string_split(phrase, ' '))) = string_split(phrase, ' ') AND list_contains(ws, keyword)
-    ), kept AS (
+    ), free AS (
         SELECT * FROM hits d WHERE NOT EXISTS (
             SELECT 1 FROM hits e WHERE e.doc_id = d.doc_id AND e.s <= d.s AND e.e >= d.e AND e.prio >= d.prio
             AND (e.s < d.s OR e.e > d.e OR e.prio > d.prio OR e.label < d.label))
+    ), kept AS (
+        SELECT * FROM free d WHERE least(prio, 2) = (SELECT MAX(least(prio, 2)) FROM free e WHERE e.doc_id = d.doc_id)
     ), b AS (
         SELECT doc_id, COUNT(*) AS n_base, MIN(i) AS first_word, MAX(i) AS last_word FROM base_hits GROUP BY doc_id
     ), labels AS (

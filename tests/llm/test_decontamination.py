@@ -15,7 +15,7 @@ def brute(texts, index, threshold, question, answer):
             for item in range(len(index.ids)):
                 score = sum(x for t in terms for i, x in index.posting(t) if i == item)
                 if score >= threshold - 1e-9:
-                    q, a = dc.overlap(passage, index.words[item])
+                    q, a = dc.overlap(passage, index.item_words(item))
                     if q >= question and a >= answer:
                         out[d, index.ids[item]] = max(out.get((d, index.ids[item]), (0, 0, 0)), (q, a, score))
     return out
@@ -112,3 +112,22 @@ def test_one_long_item_leaves_the_passages_of_short_ones():
     strewn = [w for s in short for w in [s, *(f"x{s}{k}" for k in range(40))]]
     indexes = [dc.Index([(1, " ".join(short))]), dc.Index([(2, " ".join(f"q{i}" for i in range(3000)))])]
     assert [m for index in indexes for m in index.matches([strewn], 0.5, 0.0, 0.0)] == [] and (dc.group(20), dc.group(65), dc.group(3000)) == (0, 1, 3)
+
+
+def test_many_long_items_in_bounded_indexes(spark, monkeypatch):
+    """Items of thousands of words: each index is bounded by words, and what is found does not depend on the bound."""
+    import pickle
+    import random
+
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(2000))) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(i, f"before {items[i * 7][1]} after") for i in range(8)] + [(100, items[3][1][:3000]), (101, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(dc, "INDEX_WORDS", 10_000)
+    passes = [[pickle.loads(data.value) for _, data in shared] for shared in dc.indexes(bench)]
+    sizes = [(len(index.tokens), len(pickle.dumps(index))) for shared in passes for index in shared]
+    assert len(passes) == 2 and sum(n for n, _ in sizes) == 120_000 and max(n for n, _ in sizes) <= 24_000 and max(b for _, b in sizes) < 200 * 24_000
+    got = sorted((r.doc_id, r.item_id) for r in dc.find(docs, bench).collect())
+    monkeypatch.setattr(dc, "INDEX_WORDS", 10_000_000)
+    assert got == [(i, i * 7) for i in range(8)] == sorted((r.doc_id, r.item_id) for r in dc.find(docs, bench).collect())

@@ -12,7 +12,9 @@ index, so that short ones are not sought in the long passages of long ones.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -27,10 +29,10 @@ from vitrina.llm.common import cut, drop_cut, slices
 K1, B = 1.2, 0.75
 #: Items of a block.
 BLOCK_ITEMS = 4
-#: Items of one index, and indexes of one pass over the documents: what a worker holds (about a
-#: kilobyte an item) has a bound.  The statistics are those of all items, so the results do not
-#: depend on either.
-INDEX_ITEMS, INDEXES = 20_000, 10
+#: Items and words of one index, and indexes of one pass over the documents.  A word takes at most some 200 bytes
+#: (its postings, and its place in the vocabulary if it is new), so an index has 20 MB at most, but for a longer single
+#: item.  The statistics are those of all items, so the results do not depend on any of the three.
+INDEX_ITEMS, INDEX_WORDS, INDEXES = 20_000, 100_000, 10
 #: Words of the items of the first index of lengths; each later one has items of up to four times as many.
 LENGTHS = 64
 #: Items of fewer words say nothing; items of fewer than ``WHOLE`` must stand in a text word for word.
@@ -84,18 +86,22 @@ class Index:
         of the benchmark, its document frequencies (of the part's words), its number of items, their
         mean length, and the greatest length in the group."""
         split = sorted(((i, ws) for i, t in items if (ws := words(t))), key=lambda x: (x[0] is None, x[0]))
-        self.ids, self.words = [i for i, _ in split], [ws for _, ws in split]
-        lengths = [len(ws) for ws in self.words]
-        df, number, mean, self.longest = whole or (Counter(w for ws in self.words for w in set(ws)), len(split), sum(lengths) / max(1, len(split)), max(lengths, default=1))
+        self.ids = [i for i, _ in split]
+        lengths = [len(ws) for _, ws in split]
+        df, number, mean, self.longest = whole or (Counter(w for _, ws in split for w in set(ws)), len(split), sum(lengths) / max(1, len(split)), max(lengths, default=1))
         idf = {w: math.log(1 + (number - k + 0.5) / (k + 0.5)) for w, k in df.items()}
         self.vocabulary = {w: k for k, w in enumerate(df)}
-        rows = []
-        for item, ws in enumerate(self.words):
+        # The items' words as numbers on end, and where each item's begin.
+        self.tokens = np.array([self.vocabulary[w] for _, ws in split for w in ws], np.int32)
+        self.token_at, self.names = np.r_[0, np.cumsum(lengths, dtype=np.int64)], list(self.vocabulary)
+        terms, items_, shares = [], [], []
+        for item, (_, ws) in enumerate(split):
             weight = {w: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean)) for w, tf in Counter(ws).items()}
             own = sum(weight.values())
-            rows += [(self.vocabulary[w], item, x / own) for w, x in weight.items()]
-        term, self.items = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-        self.shares = np.array([r[2] for r in rows], np.float64)
+            terms.append(np.array([self.vocabulary[w] for w in weight], np.int32))
+            items_.append(np.full(len(weight), item, np.int32))
+            shares.append(np.array([x / own for x in weight.values()], np.float64))
+        term, self.items, self.shares = (np.concatenate([none, *own]) for none, own in ((np.zeros(0, np.int32), terms), (np.zeros(0, np.int32), items_), (np.zeros(0), shares)))
         order = np.lexsort((self.items, term))
         term, self.items, self.shares = term[order], self.items[order].astype(np.int32), self.shares[order]
         self.at = np.searchsorted(term, np.arange(len(df) + 1))
@@ -109,6 +115,9 @@ class Index:
         self.block_at = np.searchsorted(term[starts], np.arange(len(df) + 1))
         self.most = np.maximum.reduceat(self.block_most, self.block_at[:-1]) if len(df) else np.zeros(0, np.float32)
 
+    def item_words(self, item: int) -> list[str]:
+        return [self.names[t] for t in self.tokens[self.token_at[item] : self.token_at[item + 1]].tolist()]
+
     def posting(self, term: int) -> list[tuple[int, float]]:
         own = slice(self.at[term], self.at[term + 1])
         return list(zip(self.items[own].tolist(), self.shares[own].tolist(), strict=True))
@@ -205,15 +214,16 @@ class Index:
         best: dict[tuple, tuple] = {}
         for d, start, terms in self.passages(split, threshold):
             for item, score in self.search(terms, threshold):
-                q, a = overlap(split[d][start : start + 2 * self.longest], self.words[item])
+                q, a = overlap(split[d][start : start + 2 * self.longest], self.item_words(item))
                 if q >= question and a >= answer:
                     best[d, item] = max(best.get((d, item), (0, 0, 0)), (q, a, score))
         return [(d, self.ids[item], score, q, a) for (d, item), (q, a, score) in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame) -> list[list]:
-    """Broadcast indexes over all items with the statistics of the whole benchmark, by passes over
-    the documents: ``INDEXES`` of ``INDEX_ITEMS`` each a pass, one pass as a rule."""
+def indexes(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """Indexes over all items with the statistics of the whole benchmark, by passes over the documents: ``INDEXES`` a pass, one pass as a
+    rule.  Tasks build them, each from the items of its part and the frequencies of their words; the driver gets
+    those of one pass at a time, as bytes, and broadcasts them as ``(name, bytes)``."""
     spark = benchmark.sparkSession
     split = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -225,21 +235,49 @@ def indexes(benchmark: DataFrame) -> list[list]:
 
     fields = f"item_id {split.schema['item_id'].dataType.simpleString()}, text string, length int, size bigint, words array<string>"
     counted = cut(split.mapInArrow(count, fields).where("size > 0"), "items")
-    number, total = counted.agg(F.count(F.lit(1)), F.sum("size")).first()
-    mean, out = (total or 0) / max(1, number), []
-    frequencies = cut(counted.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "item-words")
-    for row in counted.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("longest")).orderBy("length").collect():  # a row a group of lengths
-        parts = -(-row.n // INDEX_ITEMS)
-        own = counted.where(F.col("length") == row.length).withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
-        for k in range(parts):
-            part = own.where(F.col("part") == k)
-            df = {r.word: r.n for r in part.select(F.explode("words").alias("word")).distinct().join(frequencies, "word").orderBy("word").collect()}
-            rows = [tuple(r) for r in part.select("item_id", "text").collect()]
-            if rows:
-                out.append(spark.sparkContext.broadcast(Index(rows, (df, number, mean, row.longest))))
+    groups = counted.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.max("size").alias("longest")).orderBy("length").collect()  # a row a group of lengths
+    number, total = sum(g.n for g in groups), sum(g.size for g in groups)
+    mean, longest = total / max(1, number), {g.length: g.longest for g in groups}
+    parts = {g.length: max(1, -(-g.n // INDEX_ITEMS), -(-g.size // INDEX_WORDS)) for g in groups}
+    part = F.lit(0)
+    for length, k in parts.items():
+        part = F.when(F.col("length") == length, F.pmod(F.xxhash64("item_id", "text"), F.lit(k))).otherwise(part)
+    own = counted.withColumn("part", part.cast("int"))
+    frequencies = counted.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    of_part = own.select(F.col("length").alias("_length"), F.col("part").alias("_part"), F.explode("words").alias("word")).distinct().join(frequencies, "word")
+
+    def build(items: pa.Table, known: pa.Table) -> pa.Table:
+        rows = list(zip(items.column("item_id").to_pylist(), items.column("text").to_pylist(), strict=True))
+        df = dict(sorted(zip(known.column("word").to_pylist(), known.column("n").to_pylist(), strict=True)))
+        index = Index(rows, (df, number, mean, longest[items.column("length")[0].as_py()]))
+        return pa.table({"length": items.column("length")[:1], "part": items.column("part")[:1], "data": pa.array([pickle.dumps(index)], pa.binary())})
+
+    if groups:
+        both = own.select("length", "part", "item_id", "text").groupBy("length", "part").cogroup(of_part.groupBy("_length", "_part"))
+        built = cut(both.applyInArrow(build, "length int, part int, data binary"), "indexes")
+        keys = [(length, k) for length, n in parts.items() for k in range(n)]
+        for a in range(0, len(keys), INDEXES):
+            wanted = keys[a : a + INDEXES]
+            some = built.where(F.struct("length", "part").isin([F.struct(F.lit(g), F.lit(k)) for g, k in wanted])).orderBy("length", "part").collect()
+            yield [(uuid.uuid4().hex, spark.sparkContext.broadcast(bytes(r.data))) for r in some]
+        drop_cut(built)
+    else:
+        yield []
     drop_cut(counted)
-    drop_cut(frequencies)
-    return [out[k : k + INDEXES] for k in range(0, len(out), INDEXES)] or [[]]
+
+
+_opened: dict[str, Index] = {}
+
+
+def opened(shared: list[tuple]) -> list[Index]:
+    """The indexes of a pass, read from their bytes once in a worker; those of other passes are left."""
+    names = {name for name, _ in shared}
+    for name in [n for n in _opened if n not in names]:
+        del _opened[name]
+    for name, data in shared:
+        if name not in _opened:
+            _opened[name] = pickle.loads(data.value)
+    return [_opened[name] for name, _ in shared]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5) -> DataFrame:
@@ -249,8 +287,9 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question
     Null and empty texts and items match nothing; repeated rows match alike; items of equal
     text are all reported; clashing columns are replaced; empty tables give an empty result.
     Items of fewer than ``LEAST`` words match nothing, those of fewer than ``WHOLE`` only word for word.
-    The documents are read once for each ``INDEXES`` x ``INDEX_ITEMS`` items; the result is the same
-    for any number.
+    The documents are read once for each ``INDEXES`` indexes, of ``INDEX_ITEMS`` items and about ``INDEX_WORDS`` words each; the
+    result is the same for any number.  The driver holds the bytes of the indexes of a pass, a few dozen MB, and a worker
+    the indexes.
     """
     added = ["item_id", "score", "question_overlap", "answer_overlap"]
     docs = docs.drop(*added)
@@ -260,11 +299,12 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question
     for shared in indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own_indexes = opened(shared)
             for batch in batches:
                 texts = batch.column("text").to_pylist()
                 for a, b in slices(texts):
                     split = [words(t) for t in texts[a:b]]
-                    found = [m for index in shared for m in index.value.matches(split, threshold, question, answer)]
+                    found = [m for index in own_indexes for m in index.matches(split, threshold, question, answer)]
                     if found:
                         at = pa.array([a + m[0] for m in found])
                         own = [batch.column(c).take(at) for c in kept]
@@ -282,13 +322,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     for shared in indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            options = {"threshold": 0.5, "question": 0.5, "answer": 0.5} | limits
+            options, own_indexes = {"threshold": 0.5, "question": 0.5, "answer": 0.5} | limits, opened(shared)
             for batch in batches:
                 texts = batch.column("text").to_pylist()
                 keep = np.ones(len(texts), bool)
                 for a, b in slices(texts):
                     split = [words(t) for t in texts[a:b]]
-                    keep[[a + m[0] for index in shared for m in index.value.matches(split, **options)]] = False
+                    keep[[a + m[0] for index in own_indexes for m in index.matches(split, **options)]] = False
                 yield batch.filter(pa.array(keep))
 
         rows = rows.mapInArrow(run, rows.schema)

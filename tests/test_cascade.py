@@ -84,6 +84,28 @@ def test_a_huge_basket_meets_in_parts(spark, monkeypatch):
     assert found == sorted((c, d, a, b, n, m) for c, d, a, n in rows for e, f, b, m in rows if (c, d) == (e, f) and a != b)
 
 
+def test_lookup_of_one_customer_reads_one_bucket(spark, tmp_path, capsys):
+    rng = random.Random(2)
+    rows = [(DAY - dt.timedelta(rng.randrange(25)), c, rng.randrange(40), 1.0, 1) for c in range(300) for _ in range(rng.randint(1, 6))]
+    tx = spark.createDataFrame(rows, "t_dat date, customer_idx int, article_id int, price double, sales_channel_id int")
+    customers = spark.createDataFrame([(c, c % 70 if c % 70 > 15 else None) for c in range(301)], "customer_idx int, age int")
+    tables = wf.serving_tables(tx, customers, support=2)
+    try:
+        wf.save_serving(tables, "served", buckets=16, folder=str(tmp_path))
+        saved = wf.load_serving(spark, "served")
+        bins = {r.customer_idx: r.b for r in customers.select("customer_idx", age_bin_case(customers.age).alias("b")).collect()}
+        for c in (3, 17, 300):
+            want = wf.online(tables, spark.createDataFrame([(c, bins[c])], "customer_idx int, age_bin string"), 10, 1)
+            assert sorted(map(tuple, wf.lookup(saved, c, bins[c], 10, 1).collect())) == sorted(map(tuple, want.collect()))
+        wf.lookup(saved, 3, bins[3]).explain("formatted")
+        plan = capsys.readouterr().out
+        assert plan.count("SelectedBucketsCount: 1 out of 16") >= 1 and "EqualTo(customer_idx,3)" in plan and "In(article_id" in plan or "EqualTo(article_id" in plan
+        assert "SelectedBucketsCount: 16 out of 16" not in plan
+    finally:
+        for name in wf.SERVED_BY:
+            spark.sql(f"DROP TABLE IF EXISTS served_{name}")
+
+
 def test_age_bins_differ_at_the_edges(spark):
     df = spark.createDataFrame([(25,), (35,), (24,), (None,)], "age int")
     got = [tuple(r) for r in df.select(age_bin_cut(df.age), age_bin_case(df.age)).collect()]

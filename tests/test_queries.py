@@ -127,3 +127,38 @@ def test_entry_hides_no_broken_module(tmp_path):
     (tmp_path / "vitrina" / "llm" / "__init__.py").write_text("")
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=False)
     assert done.returncode and b"there_is_no_such_module" in done.stderr
+
+
+def test_kept_tables_follow_their_inputs(spark, data_dir, tmp_path):
+    """A table that is replaced between two calls is read anew by all that is kept, and what was kept of it goes."""
+    where = tmp_path / "tables"
+    shutil.copytree(data_dir, where)
+    names = ("sparsity", "consolidated_pool", "ranker_labels")
+    first = {n: normal(queries.QUERIES[n](spark, str(where)).toPandas()) for n in names}
+    r = tables.Retail(spark, str(where))
+    old, ranker = r.purchases.vitrina_path, r.once("ranker", object)
+    assert r.once("ranker", object) is ranker and first["sparsity"] == normal(queries.QUERIES["sparsity"](spark, str(where)).toPandas())
+    rows = spark.read.parquet(f"{data_dir}/lineitem.parquet")
+    more = rows.unionByName(rows.withColumn("l_partkey", rows.l_partkey % 50 + 1))
+    more.coalesce(1).write.parquet(str(tmp_path / "more"))
+    shutil.copy(next((tmp_path / "more").glob("part-*.parquet")), where / "lineitem.parquet")
+    c = duckdb.connect()
+    for f in os.listdir(where):
+        c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{where}/{f}'")
+    for n in names:
+        again = normal(queries.QUERIES[n](spark, str(where)).toPandas())
+        assert again != first[n] and again == normal(c.execute(oracle.oracle()[n]).df())
+    r = tables.Retail(spark, str(where))
+    assert r.once("ranker", object) is not ranker and r.purchases.vitrina_path != old and not Path(old.removeprefix("file://")).exists()
+
+
+def test_the_application_leaves_no_folder(tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+from vitrina.sources import scratch
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+df = scratch.kept(spark.range(3), "three")
+assert df.count() == 3 and df.vitrina_path.startswith(scratch.app_dir(spark))
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, capture_output=True)
+    assert not list(tmp_path.glob("vitrina-*"))  # Spark makes a folder of its own

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrina.functions.retail import AGE_LABELS, GLOBAL, age_bin_case, item_code, last_days, pow_decay
@@ -179,6 +179,34 @@ def serving_tables(tx: DataFrame, customers: DataFrame, history_days: int = 29,
     }
 
 
+#: The key by which a serving table is asked.
+SERVED_BY = {"bestsellers": "age_bin", "affinity": "article_id", "history": "customer_idx"}
+
+
+def save_serving(tables: dict[str, DataFrame], prefix: str, buckets: int = 64, folder: str | None = None) -> None:
+    """The serving tables as tables ``{prefix}_{name}``, dealt to buckets by the key they are asked by and sorted in each, with Bloom
+    filters of the key: a request reads the bucket of its key and the row groups that may hold it.  ``folder``: where the
+    files are, the warehouse by default."""
+    for name, df in tables.items():
+        key = SERVED_BY[name]
+        n = 1 if name == "bestsellers" else buckets  # at most 72 rows
+        out = df.repartition(n, key).write.mode("overwrite").format("parquet").bucketBy(n, key).sortBy(key).option(f"parquet.bloom.filter.enabled#{key}", "true")
+        (out.option("path", f"{folder}/{prefix}_{name}") if folder else out).saveAsTable(f"{prefix}_{name}")
+
+
+def load_serving(spark: SparkSession, prefix: str) -> dict[str, DataFrame]:
+    return {name: spark.table(f"{prefix}_{name}") for name in SERVED_BY}
+
+
+def lookup(tables: dict[str, DataFrame], customer: int, age_bin: str, top_k: int = TOP_K, offset: int = 0) -> DataFrame:
+    """X2 for one customer: :func:`online` over the rows of the customer's key and of those of the items they have bought (at most
+    ``TOP_K``, which are fetched first), so that no table is read whole."""
+    own = tables["history"].where(F.col("customer_idx") == customer)
+    items = [r.article_id for r in own.select("article_id").collect()]
+    near = {"history": own, "affinity": tables["affinity"].where(F.col("article_id").isin(items)), "bestsellers": tables["bestsellers"].where(F.col("age_bin").isin(age_bin, "ALL"))}
+    return online(near, own.sparkSession.createDataFrame([(customer, age_bin)], "customer_idx int, age_bin string"), top_k, offset)
+
+
 def online(tables: dict[str, DataFrame], requests: DataFrame, top_k: int = TOP_K, offset: int = 0) -> DataFrame:
     """The lists of ``requests(customer_idx, age_bin)`` from the serving tables: own items, all complements by
     (own rank, pair rank), cohort, all; unknown cohorts get the list of ``ALL``.  A page of ``top_k`` from ``offset``."""

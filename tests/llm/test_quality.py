@@ -108,3 +108,10 @@ def test_scores_equal_their_definition():
         ids += [quality.BUCKETS if a == b else mix((word_hash(a) * 31 + word_hash(b)) & mask) >> 46 for a, b in zip(ws, ws[1:])]
         z = 0.25 + sum(float(model.weight[b]) for b in ids) / max(len(ids), 1)
         assert abs(got - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_labels_of_one_class_only_know_nothing(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(20)] + [(20, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 21 and {r.score for r in got} == {0.5} and {r.predicted for r in got} == {1}

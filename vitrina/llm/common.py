@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,26 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrina.sources.scratch import new_path
+
 #: A side is broadcast up to this many bytes of rows, counted before.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set here only if it is unset
-    and the session is a local one."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"file:///tmp/vitrina-checkpoints-{os.getuid()}"
-
-
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back, so that a lost
-    executor costs no recomputation beyond this point.  The path is in ``df.vitrina_path``."""
+    """Write ``df`` as a Parquet table in the application's shared folder (which goes when it ends) and read it back, so that a
+    lost executor costs no recomputation beyond this point.  The path is in ``df.vitrina_path``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.vitrina_path = path

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrina.llm import decontamination, fingerprints, licenses, near_vectors, pii, piece_bpe, quality, resample, sharding, text_join, token_files, url_filter, whitening
-from vitrina.llm.common import shared_dir
+from vitrina.sources.scratch import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +70,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as Re-Pair blocks of word-model ids, written and read back."""
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=2)
     return token_files.read_token_files(spark, path, ids=False)
 

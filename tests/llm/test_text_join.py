@@ -151,3 +151,33 @@ def test_sets_of_any_white_space():
             words = (text or "").encode().lower().split()
             grams = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} - {()}
             assert len(s) == len(grams) and (np.diff(s) > 0).all()
+
+
+def test_texts_of_one_template_are_left_out_at_once():
+    """Five thousand sets at a similarity just below the threshold: no pair is looked at; those that link are all kept."""
+    import time
+
+    rng = np.random.default_rng(3)
+    template = rng.integers(0, 2**63, 180, dtype=np.uint64)
+    sets = [np.unique(np.r_[template, rng.integers(0, 2**63, 20, dtype=np.uint64)]) for _ in range(5000)]
+    groups, side = np.arange(5000), np.zeros(5000, np.int64)
+    assert len(np.intersect1d(sets[0], sets[1])) / len(np.union1d(sets[0], sets[1])) < 0.85
+    began = time.time()
+    assert tj.linking(groups, sets, side, 85, 100) == [] and time.time() - began < 20
+    for k in range(0, 60, 2):  # some near copies among them
+        sets[k + 1] = np.unique(np.r_[sets[k][:-1], rng.integers(0, 2**63, 1, dtype=np.uint64)])
+    assert {tuple(sorted(p)) for p in tj.linking(groups, sets, side, 85, 100)} == {(k, k + 1) for k in range(0, 60, 2)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_promising_rows_hold_all_links(seed):
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[: rng.integers(20, 300)], rng.integers(1, 60))) for _ in range(80)]
+    for k in range(0, 40):
+        base = sets[rng.integers(0, 80)]
+        sets.append(np.unique(np.r_[base[rng.random(len(base)) < 0.93], rng.choice(pool, rng.integers(0, 3))]))
+    sets = [s for s in sets if len(s)]
+    groups = rng.integers(0, 60, len(sets))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if groups[i] != groups[j] and tj.linked(sets[i], sets[j], 80, 100)]
+    assert links and {k for p in links for k in p} <= set(tj.promising(groups, sets, 80, 100).tolist())

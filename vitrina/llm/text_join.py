@@ -16,7 +16,7 @@ the sum of the smaller counts over the groups is no less than what they share.
   a search descends where the summed minima with the upper corner of a box still allow a
   link.  What comes of a meeting is its texts that have a partner left, never the pairs.
 * **Verification.**  Only those texts meet again, all at once that hang together by meetings,
-  with their sets: a second search verifies the pairs that are not connected yet and keeps a
+  with their sets: texts that share no rare n-gram are left out, a second search verifies the pairs that are not connected yet and keeps a
   forest of the links, so no more than ``n - 1`` rows come out of ``n``.  Meetings are dealt to
   tasks by bytes.
 
@@ -41,6 +41,8 @@ from vitrina.llm.common import broadcast_if_small, components, cut, drop_cut, sl
 CLASS_RATIO = 1.6
 #: Dimensions of the points that bound overlaps, texts in an R-tree leaf, children of a node.
 DIMENSIONS, LEAF = 256, 16
+#: Meetings of so few texts are searched at once.
+FEW = 16
 #: Bytes of one meeting that one task compares with as many others at once, bytes of meetings
 #: that are searched in one task at a time, and pairs bounded at a time.
 PART_BYTES, BIN_BYTES, STEP = 2 << 20, 6 << 20, 4096
@@ -231,6 +233,31 @@ def partnered(groups: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: n
     return marked
 
 
+def promising(groups: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Positions of the rows of a meeting that can link at all.  With each set's members in the order of how many sets of the meeting
+    have them, rarest first, one of the first ``n - ceil(2 t / (1 + t) * n) + 1`` of the smaller of two linked sets is among the first
+    ``m - ceil(t * m) + 1`` of the larger: so texts that only have a template in common, whose rare members are their
+    own, are left out together."""
+    size = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((member, times[member], row))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+    group, out = np.unique(groups, return_inverse=True)[1], np.zeros(len(sets), bool)
+    held = []
+    for needed in (-(-num * size // den), -(-2 * num * size // (num + den))):
+        first = order[place < np.repeat(size - needed + 1, size)]
+        x, r = member[first], row[first]
+        least, most = np.full(len(times), len(sets), np.int64), np.full(len(times), -1, np.int64)
+        np.minimum.at(least, x, group[r])
+        np.maximum.at(most, x, group[r])
+        held.append((x, r, least, most))
+    for (x, r, _, _), (_, _, least, most) in (held, held[::-1]):  # a member of one kind that another group has of the other kind
+        other = (most[x] >= 0) & ((least[x] != group[r]) | (most[x] != group[r]))
+        out[r[other]] = True
+    return np.flatnonzero(out)
+
+
 def linking(groups: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """A forest of the links of a meeting: positions of linked pairs that connect all that its
     links connect, ``groups`` being connected already."""
@@ -249,8 +276,12 @@ def linking(groups: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: i
     def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return own(i, j) & (now[j] != now[i])
 
-    points, sizes = np.stack([point(s) for s in sets]), np.array([len(s) for s in sets])
-    for i, j in RTree(points, sizes).search(num, den, wanted):
+    some = promising(groups, sets, num, den) if len(sets) > FEW else np.arange(len(sets))
+    if len(some) < 2:
+        return kept
+    points, sizes = np.stack([point(sets[k]) for k in some.tolist()]), np.array([len(sets[k]) for k in some.tolist()])
+    for i, j in RTree(points, sizes).search(num, den, lambda i, j: wanted(some[i], some[j])):
+        i, j = some[i], some[j]
         links = len(kept)
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             p, q = top(root[a]), top(root[b])

@@ -71,6 +71,32 @@ def drop(*tables: DataFrame) -> None:
         files.delete(path, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file of any file system that Spark reaches; ``None`` if there is none."""
+    files, at = _files(spark, path)
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small text file; readers see the old one or the new one."""
+    files, at = _files(spark, path)
+    _, beside = _files(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = files.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not files.rename(beside, at):  # some file systems don't rename onto a file
+        files.delete(at, False)
+        files.rename(beside, at)
+
+
 def state(spark: SparkSession, paths: list[str]) -> str:
     """A digest of the names, lengths and times of the files of some tables (three levels of folders deep)."""
     listed = []

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from functools import cached_property
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -87,19 +86,20 @@ def content_hash(df: DataFrame) -> DataFrame:
 
 
 def register_manifest(path: str, version: str, entry: dict) -> dict:
-    """Insert or replace a version in a small JSON manifest."""
-    file = Path(path)
-    manifest = json.loads(file.read_text()) if file.exists() else {"submissions": []}
+    """K6: insert or replace a version in a small JSON manifest, on any file system that Spark reaches."""
+    spark = SparkSession.active()
+    manifest = json.loads(scratch.read_text(spark, path) or '{"submissions": []}')
     manifest["submissions"] = sorted([e for e in manifest["submissions"] if e["version"] != version] + [{"version": version, **entry}], key=lambda e: e["version"])
-    file.write_text(json.dumps(manifest, indent=1))
+    scratch.write_text(spark, path, json.dumps(manifest, indent=1))
     return manifest
 
 
 def verify_manifest(path: str, version: str, df: DataFrame) -> bool:
-    """Whether ``df`` has the rows and the fingerprint that the manifest has of a version."""
-    entry = next(e for e in json.loads(Path(path).read_text())["submissions"] if e["version"] == version)
+    """K7: whether ``df`` has the rows and the fingerprint that the manifest has of a version (not one it doesn't know)."""
+    known = json.loads(scratch.read_text(df.sparkSession, path) or '{"submissions": []}')["submissions"]
+    entry = next((e for e in known if e["version"] == version), None)
     found = content_hash(df).first()
-    return (entry["rows"], entry["fingerprint"]) == (found["rows"], found["fingerprint"])
+    return entry is not None and (entry["rows"], entry["fingerprint"]) == (found["rows"], found["fingerprint"])
 
 
 class Retail:

@@ -197,3 +197,15 @@ def test_redaction_covers_overlaps(spark):
     r = pii.redact(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
     left = r.text
     assert not re.search("[0-9]{2}", left) and left.startswith("é [phone]") and left.endswith(" y")
+
+
+def test_keys_in_either_case_have_one_kind(spark):
+    rng = random.Random(21)
+    keys = [f"{rng.getrandbits(160) | 1 << 159:040x}" for _ in range(6)]
+    rows = [(i, f'salt pepper token = "{k}" of stone') for i, k in enumerate(keys)] + [(10, f'river token = "{keys[0].upper()}" of garden'), (11, 'garden token = "AB-12-cd" of salt')]
+    rows += [(20 + i, "salt and pepper of the river garden") for i in range(6)]
+    by = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in (*range(6), 10):
+        start = rows[i if i < 10 else 6][1].index('"') + 1
+        assert by[i].spans == f"secret:{start}:{start + 40}" and by[i].n_found == 1
+    assert by[11].spans.startswith("secret:") and by[20].spans == ""

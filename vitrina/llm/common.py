@@ -20,7 +20,7 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     lost executor costs no recomputation beyond this point.  The path is in ``df.vitrina_path``."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)  # a file a partition
     out = spark.read.schema(df.schema).parquet(path)
     out.vitrina_path = path
     return out

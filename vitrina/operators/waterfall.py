@@ -8,8 +8,11 @@ window, whatever the number of users.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,29 +107,44 @@ def complements(hist: DataFrame, pairs: DataFrame, spec: Cascade) -> DataFrame:
     return top(scored, ["customer_idx"], order, spec.complement_cap, "pos").select("customer_idx", "article_id", "pos")
 
 
+def parts(tx: DataFrame, customers: DataFrame, spec: Cascade, ref_date: str | None = None) -> dict[str, tuple[tuple, Callable[[], object]]]:
+    """What a cascade is made of: by name what tells it from that of other cascades over the same purchases, and how it is made."""
+    days, decay = spec.bestseller_days, spec.bestseller_decay
+    out = {
+        "history": (("history", spec.personal_days), lambda: history(tx, spec.personal_days, ref_date)),
+        "best": (("best", days, decay), lambda: bestsellers(tx, customers, days, decay, ref_date)),
+    }
+    if spec.complement_cap:
+        of = spec.basket_days, spec.support, spec.top_pairs, spec.pair_decay, spec.weighted
+        out["pairs"] = ("pairs", *of), lambda: basket_pairs(tx, *of, ref_date)
+    return out
+
+
+def made_once(tx: DataFrame, customers: DataFrame, specs: list[Cascade], ref_date: str | None = None, parallelism: int = 4) -> dict[tuple, object]:
+    """The parts of several cascades, each written once; some at a time, as their small jobs leave executors idle."""
+    wanted = {key: make for spec in specs for key, make in parts(tx, customers, spec, ref_date).values()}
+
+    def written(item: tuple) -> object:
+        (name, *_), make = item
+        out = make()
+        return tuple(kept(t, name) for t in out) if isinstance(out, tuple) else kept(out, name)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return dict(zip(wanted, pool.map(inheritable_thread_target(written), wanted.items()), strict=True))
+
+
 def cascade_arrays(tx: DataFrame, customers: DataFrame, spec: Cascade, ref_date: str | None = None, top_k: int = TOP_K, made: dict | None = None) -> DataFrame:
     """``(customer_idx, items)`` for every customer: an array of ``(article_id, level)``, level 1 personal, 2 complement, 3
     cohort, 4 global.  Only a customer's own items are rows; the lists of the cohorts are broadcast (a list of ``TOP_K`` for
     each of six cohorts) and fill the array in the customer's row.
-    ``made``: tables of other cascades over the same purchases, which are written once and read again where
-    the parameters agree."""
-
-    def shared(make, *args, **options):
-        if made is None:
-            return make(*args, **options)
-        key = (make.__name__, *[a for a in args if not isinstance(a, DataFrame)], *sorted(options.items()))
-        if key not in made:
-            out = make(*args, **options)
-            made[key] = tuple(kept(t, make.__name__) for t in out) if isinstance(out, tuple) else kept(out, make.__name__)
-        return made[key]
-
-    hist = shared(history, tx, spec.personal_days, ref_date)
+    ``made``: parts that :func:`made_once` has written."""
+    own_parts = {name: made[key] if made is not None else make() for name, (key, make) in parts(tx, customers, spec, ref_date).items()}
+    hist = own_parts["history"]
     level = lambda df, n: df.select("customer_idx", "article_id", F.lit(n).alias("level"), "pos")
     rows = level(hist.where(F.col("pos") <= spec.personal_cap), 1)
-    if spec.complement_cap:
-        pairs = shared(basket_pairs, tx, spec.basket_days, spec.support, spec.top_pairs, spec.pair_decay, spec.weighted, ref_date)
-        rows = rows.unionByName(level(complements(hist, pairs, spec), 2))
-    all_, cohort = shared(bestsellers, tx, customers, spec.bestseller_days, spec.bestseller_decay, ref_date)
+    if "pairs" in own_parts:
+        rows = rows.unionByName(level(complements(hist, own_parts["pairs"], spec), 2))
+    all_, cohort = own_parts["best"]
     in_order = lambda *by: F.array_sort(F.collect_list(F.struct(*by, "article_id")))  # noqa: E731  at most the caps
     own = rows.groupBy("customer_idx").agg(in_order("level", "pos").alias("own"))
     by_cohort = F.broadcast(cohort.where(F.col("age_bin") != GLOBAL).groupBy("age_bin").agg(in_order("rank").alias("cohort")))

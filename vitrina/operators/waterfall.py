@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrina.functions.retail import AGE_LABELS, GLOBAL, age_bin_case, item_code, last_days, pow_decay
-from vitrina.operators.recall import first_wins, top, top_all
+from vitrina.operators.recall import USERS, dealt, first_wins, top, top_all
 from vitrina.sources.scratch import kept
 
 TOP_K = 12
 #: Items of a basket that meet all at once.
 BASKET_ITEMS = 1000
+#: Pairs of baskets that a task makes, or counts.
+BASKET_PAIRS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -59,22 +61,29 @@ def history(tx: DataFrame, days: int, ref_date: str | None = None) -> DataFrame:
     return own.select("customer_idx", "article_id", "days_ago", F.row_number().over(w).alias("pos"))
 
 
-def within_baskets(lines: DataFrame, basket: list[str]) -> DataFrame:
+def within_baskets(lines: DataFrame, basket: list[str], pairs: int = 0) -> DataFrame:
     """Pairs of different items of one basket: ``lines(..., article_id, n)`` with ``other`` and ``m`` beside them.  A basket of more than
-    ``BASKET_ITEMS`` items is dealt to parts of about so many, and every two of its parts meet in a group of their own."""
+    ``BASKET_ITEMS`` items is dealt to parts of about so many, and every two of its parts meet in a group of their own.  ``pairs``: how
+    many there are about; tasks make ``BASKET_PAIRS`` of them each."""
     size = lines.groupBy(*basket).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > BASKET_ITEMS)
     own = lines.join(size, basket, "left").withColumn("_parts", F.coalesce(F.ceil(F.col("_size") / BASKET_ITEMS), F.lit(1)).cast("int"))
     own = own.withColumns({"_a": F.pmod(F.xxhash64("article_id"), F.col("_parts")).cast("int"), "_all": F.sequence(F.lit(0), F.col("_parts") - 1)}).drop("_size", "_parts")
     left = own.withColumn("_b", F.explode("_all")).drop("_all")
     other = own.select(*basket, F.col("article_id").alias("other"), F.col("n").alias("m"), F.col("_a").alias("_b"), F.explode("_all").alias("_a"))
-    return left.join(other, [*basket, "_a", "_b"]).where("article_id != other").drop("_a", "_b")
+    meet = [*basket, "_a", "_b"]
+    left, other = (dealt(side, pairs, BASKET_PAIRS, *meet) for side in (left, other))
+    return left.join(other, meet).where("article_id != other").drop("_a", "_b")
 
 
 def basket_pairs(tx: DataFrame, days: int, support: int, top_pairs: int, decay: float, weighted: bool, ref_date: str | None = None) -> DataFrame:
     """Items bought by one user on one day: ``(article_id, other, weight, r)``.  Rows of one basket and item are
-    counted before the self-join, which keeps repeats as products of counts; huge baskets meet in parts."""
-    lines = last_days(tx, days, ref_date).groupBy("customer_idx", "t_dat", "days_ago", "article_id").agg(F.count(F.lit(1)).alias("n"))
-    both = within_baskets(lines, ["customer_idx", "t_dat"])
+    counted before the self-join, which keeps repeats as products of counts; huge baskets meet in parts.  Tasks are as many as
+    the baskets' pairs ask for."""
+    near = last_days(tx, days, ref_date)
+    sizes = near.groupBy("customer_idx", "t_dat").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    n_pairs = int(sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0)
+    lines = dealt(near.select("customer_idx", "t_dat", "days_ago", "article_id"), n_pairs, BASKET_PAIRS, "customer_idx", "t_dat", "article_id").groupBy("customer_idx", "t_dat", "days_ago", "article_id").agg(F.count(F.lit(1)).alias("n"))
+    both = dealt(within_baskets(lines, ["customer_idx", "t_dat"], n_pairs).select("article_id", "other", "days_ago", "n", "m"), n_pairs, BASKET_PAIRS, "article_id", "other")
     times = F.col("n") * F.col("m")
     weight = F.sum(times * pow_decay(decay, 2 * F.col("days_ago") / 14.0)) if weighted else F.sum(times).cast("double")
     pairs = both.groupBy("article_id", "other").agg(F.round(weight, 12).alias("weight"), F.sum(times).alias("support")).where(F.col("support") >= support)
@@ -182,7 +191,7 @@ def assemble(scored: DataFrame, fallback: DataFrame, users: DataFrame, top_k: in
     known = users.join(F.broadcast(fallback.select(F.col("cohort").alias("age_bin")).distinct()), "age_bin", "left_semi").unionByName(users.join(F.broadcast(fallback.select(F.col("cohort").alias("age_bin")).distinct()), "age_bin", "left_anti").withColumn("age_bin", F.lit(GLOBAL)))
     pad = known.join(F.broadcast(fallback.select(F.col("cohort").alias("age_bin"), "article_id", "rank")), "age_bin")
     rows = best.unionByName(pad.select("customer_idx", "article_id", F.lit(2).alias("level"), F.col("rank").alias("pos")))
-    return first_wins(rows, ["customer_idx"], top_k)
+    return first_wins(dealt(rows, users.count(), USERS, "customer_idx"), ["customer_idx"], top_k)
 
 
 def serving_tables(tx: DataFrame, customers: DataFrame, history_days: int = 29, basket_days: int = 36, bestseller_days: int = 21, support: int = 3) -> dict[str, DataFrame]:
@@ -236,7 +245,7 @@ def online(tables: dict[str, DataFrame], requests: DataFrame, top_k: int = TOP_K
     cohort = requests.join(best, "age_bin").select("customer_idx", "article_id", F.lit(3).alias("level"), "pos")
     rest = requests.select("customer_idx").crossJoin(best.where("age_bin = 'ALL'").drop("age_bin")).select("customer_idx", "article_id", F.lit(4).alias("level"), "pos")
     rows = own.unionByName(found).unionByName(cohort).unionByName(rest)
-    return first_wins(rows, ["customer_idx"], offset + top_k).where(F.col("rank") > offset)
+    return first_wins(dealt(rows, requests.count(), USERS, "customer_idx"), ["customer_idx"], offset + top_k).where(F.col("rank") > offset)
 
 
 def request_pipeline(tables: dict[str, DataFrame], requests: DataFrame, exclude: DataFrame, limit: int = TOP_K, offset: int = 0) -> DataFrame:

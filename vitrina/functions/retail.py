@@ -23,6 +23,12 @@ def age_bin_case(age: Column) -> Column:
     return F.when(age < 25, "<25").when(age <= 34, "25-34").when(age <= 44, "35-44").when(age <= 54, "45-54").when(age.isNotNull(), "55+").otherwise(GLOBAL)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df``, which grows with the tables, as a side of a join.  Spark would broadcast it for the size of its compressed files: an
+    estimate below 10 MB may be millions of rows, hundreds of MB in the driver."""
+    return df.hint("merge")
+
+
 def item_code(article: Column) -> Column:
     """The 10-digit code of an article."""
     return F.lpad(article.cast("string"), 10, "0")

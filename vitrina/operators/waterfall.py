@@ -16,7 +16,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitrina.functions.retail import AGE_LABELS, GLOBAL, age_bin_case, item_code, last_days, pow_decay
+from vitrina.functions.retail import AGE_LABELS, GLOBAL, age_bin_case, by_shuffle, item_code, last_days, pow_decay
 from vitrina.operators.recall import USERS, dealt, first_wins, top, top_all
 from vitrina.sources.scratch import kept
 
@@ -75,18 +75,34 @@ def within_baskets(lines: DataFrame, basket: list[str], pairs: int = 0) -> DataF
     return left.join(other, meet).where("article_id != other").drop("_a", "_b")
 
 
-def basket_pairs(tx: DataFrame, days: int, support: int, top_pairs: int, decay: float, weighted: bool, ref_date: str | None = None) -> DataFrame:
-    """Items bought by one user on one day: ``(article_id, other, weight, r)``.  Rows of one basket and item are
-    counted before the self-join, which keeps repeats as products of counts; huge baskets meet in parts.  Tasks are as many as
-    the baskets' pairs ask for."""
-    near = last_days(tx, days, ref_date)
-    sizes = near.groupBy("customer_idx", "t_dat").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    n_pairs = int(sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0)
-    lines = dealt(near.select("customer_idx", "t_dat", "days_ago", "article_id"), n_pairs, BASKET_PAIRS, "customer_idx", "t_dat", "article_id").groupBy("customer_idx", "t_dat", "days_ago", "article_id").agg(F.count(F.lit(1)).alias("n"))
-    both = dealt(within_baskets(lines, ["customer_idx", "t_dat"], n_pairs).select("article_id", "other", "days_ago", "n", "m"), n_pairs, BASKET_PAIRS, "article_id", "other")
-    times = F.col("n") * F.col("m")
-    weight = F.sum(times * pow_decay(decay, 2 * F.col("days_ago") / 14.0)) if weighted else F.sum(times).cast("double")
-    pairs = both.groupBy("article_id", "other").agg(F.round(weight, 12).alias("weight"), F.sum(times).alias("support")).where(F.col("support") >= support)
+def met_pairs(tx: DataFrame, days: int, support: int, decay: float, ref_date: str | None = None) -> DataFrame:
+    """Items bought by one user on one day, each pair once: ``(article_id, other, decayed, support)`` with ``article_id < other``.  Rows of one
+    basket and item are counted first, which keeps repeats as products of counts.  A basket is dealt to a task and its pairs are made there;
+    those of more than ``BASKET_ITEMS`` rows (at most one for as many rows, so they are broadcast) meet in parts.  Tasks are as many
+    as the baskets' pairs ask for."""
+    basket = ["customer_idx", "days_ago"]
+    near = last_days(tx, days, ref_date).where("customer_idx is not null").select(*basket, "article_id")
+    sizes = near.groupBy(*basket).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    found = sizes.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.count_if(F.col("n") > BASKET_ITEMS).alias("huge")).first()
+    n_pairs = int(found["pairs"] or 0)
+    huge = F.broadcast(kept((sizes.where(F.col("n") > BASKET_ITEMS) if found["huge"] else sizes.limit(0)).select(*basket), "huge"))
+    counted = lambda rows: rows.groupBy(*basket, "article_id").agg(F.count(F.lit(1)).alias("n"))
+    lines = counted(dealt(near.join(huge, basket, "left_anti"), n_pairs, BASKET_PAIRS, *basket))
+    small = lines.groupBy(*basket).agg(F.collect_list(F.struct("article_id", "n")).alias("items"))
+    own = small.select("days_ago", "items", F.inline("items")).select("days_ago", "article_id", "n", F.inline("items").alias("other", "m"))
+    rest = within_baskets(counted(near.join(huge, basket, "left_semi")), basket, n_pairs).select(*own.columns)
+    both = own.unionByName(rest).where("article_id < other").select("article_id", "other", "days_ago", (F.col("n") * F.col("m")).alias("times"))
+    decayed = F.round(F.sum(F.col("times") * pow_decay(decay, 2 * F.col("days_ago") / 14.0)), 12)
+    pairs = dealt(both, n_pairs, BASKET_PAIRS, "article_id", "other").groupBy("article_id", "other")
+    return pairs.agg(decayed.alias("decayed"), F.sum("times").alias("support")).where(F.col("support") >= support)
+
+
+def basket_pairs(tx: DataFrame, days: int, support: int, top_pairs: int, decay: float, weighted: bool, ref_date: str | None = None, met: DataFrame | None = None) -> DataFrame:
+    """The items bought most with an item: ``(article_id, other, weight, r)``.  ``met``: the pairs of :func:`met_pairs`, if they are made."""
+    met = met_pairs(tx, days, support, decay, ref_date) if met is None else met.where(F.col("support") >= support)
+    weight = F.col("decayed") if weighted else F.col("support").cast("double")
+    sides = F.array(F.struct("article_id", "other"), F.struct(F.col("other").alias("article_id"), F.col("article_id").alias("other")))
+    pairs = met.select(weight.alias("weight"), F.inline(sides))
     return top(pairs, ["article_id"], [F.desc("weight"), F.asc("other")], top_pairs, "r").select("article_id", "other", "weight", "r")
 
 
@@ -97,7 +113,7 @@ def bestsellers(tx: DataFrame, customers: DataFrame, days: int, decay: float, re
     order = [F.desc("score"), F.asc("article_id")]
     all_ = top_all(sold.groupBy("article_id").agg(score), order, TOP_K, "rank").select("article_id", "score", "rank")
     bins = customers.select("customer_idx", age_bin_case(F.col("age")).alias("age_bin"))
-    cohort = top(sold.join(bins, "customer_idx").groupBy("age_bin", "article_id").agg(score), ["age_bin"], order, TOP_K, "rank")
+    cohort = top(sold.join(by_shuffle(bins), "customer_idx").groupBy("age_bin", "article_id").agg(score), ["age_bin"], order, TOP_K, "rank")
     return all_, cohort.select("age_bin", "article_id", "score", "rank")
 
 
@@ -106,8 +122,8 @@ def complements(hist: DataFrame, pairs: DataFrame, spec: Cascade) -> DataFrame:
     no complements; the cap is taken before the slots are filled."""
     kept = hist.where(F.col("pos") <= spec.personal_cap).select("customer_idx", "article_id")
     base = hist.where(F.col("pos") <= spec.base_items) if spec.weighted else hist
-    found = base.join(pairs, "article_id").select("customer_idx", F.col("other").alias("article_id"), "pos", "r", "days_ago", "weight")
-    found = found.join(kept, ["customer_idx", "article_id"], "left_anti")
+    found = base.join(by_shuffle(pairs), "article_id").select("customer_idx", F.col("other").alias("article_id"), "pos", "r", "days_ago", "weight")
+    found = found.join(by_shuffle(kept), ["customer_idx", "article_id"], "left_anti")
     if spec.weighted:
         score = F.round(F.sum(pow_decay(spec.base_decay, F.col("days_ago") / 7.0) * F.col("weight")), 12)
         scored, order = found.groupBy("customer_idx", "article_id").agg(score.alias("score")), [F.desc("score"), F.asc("article_id")]
@@ -116,8 +132,9 @@ def complements(hist: DataFrame, pairs: DataFrame, spec: Cascade) -> DataFrame:
     return top(scored, ["customer_idx"], order, spec.complement_cap, "pos").select("customer_idx", "article_id", "pos")
 
 
-def parts(tx: DataFrame, customers: DataFrame, spec: Cascade, ref_date: str | None = None) -> dict[str, tuple[tuple, Callable[[], object]]]:
-    """What a cascade is made of: by name what tells it from that of other cascades over the same purchases, and how it is made."""
+def parts(tx: DataFrame, customers: DataFrame, spec: Cascade, ref_date: str | None = None, met: dict[tuple, DataFrame] | None = None) -> dict[str, tuple[tuple, Callable[[], object]]]:
+    """What a cascade is made of: by name what tells it from that of other cascades over the same purchases, and how it is made.
+    ``met``: tables of :func:`met_pairs` by days and decay."""
     days, decay = spec.bestseller_days, spec.bestseller_decay
     out = {
         "history": (("history", spec.personal_days), lambda: history(tx, spec.personal_days, ref_date)),
@@ -125,13 +142,20 @@ def parts(tx: DataFrame, customers: DataFrame, spec: Cascade, ref_date: str | No
     }
     if spec.complement_cap:
         of = spec.basket_days, spec.support, spec.top_pairs, spec.pair_decay, spec.weighted
-        out["pairs"] = ("pairs", *of), lambda: basket_pairs(tx, *of, ref_date)
+        out["pairs"] = ("pairs", *of), lambda: basket_pairs(tx, *of, ref_date, (met or {}).get((spec.basket_days, spec.pair_decay)))
     return out
 
 
 def made_once(tx: DataFrame, customers: DataFrame, specs: list[Cascade], ref_date: str | None = None, parallelism: int = 4) -> dict[tuple, object]:
-    """The parts of several cascades, each written once; some at a time, as their small jobs leave executors idle."""
-    wanted = {key: make for spec in specs for key, make in parts(tx, customers, spec, ref_date).values()}
+    """The parts of several cascades, each written once; some at a time, as their small jobs leave executors idle.  The pairs of baskets,
+    which are most of the work and of the disk, meet once for all cascades of the same days and decay."""
+    supports: dict[tuple, int] = {}
+    for spec in specs:
+        if spec.complement_cap:
+            of = spec.basket_days, spec.pair_decay
+            supports[of] = min(spec.support, supports.get(of, spec.support))
+    met = {(days, decay): kept(met_pairs(tx, days, least, decay, ref_date), "met") for (days, decay), least in supports.items()}
+    wanted = {key: make for spec in specs for key, make in parts(tx, customers, spec, ref_date, met).values()}
 
     def written(item: tuple) -> object:
         (name, *_), make = item
@@ -158,7 +182,7 @@ def cascade_arrays(tx: DataFrame, customers: DataFrame, spec: Cascade, ref_date:
     own = rows.groupBy("customer_idx").agg(in_order("level", "pos").alias("own"))
     by_cohort = F.broadcast(cohort.where(F.col("age_bin") != GLOBAL).groupBy("age_bin").agg(in_order("rank").alias("cohort")))
     everyones = F.broadcast(all_.agg(in_order("rank").alias("rest")))
-    users = customers.select("customer_idx", age_bin_case(F.col("age")).alias("age_bin")).join(by_cohort, "age_bin", "left").crossJoin(everyones).join(own, "customer_idx", "left")
+    users = customers.select("customer_idx", age_bin_case(F.col("age")).alias("age_bin")).join(by_cohort, "age_bin", "left").crossJoin(everyones).join(by_shuffle(own), "customer_idx", "left")
     ids = lambda c: F.coalesce(F.transform(c, lambda x: x["article_id"]), F.array().cast("array<int>"))
     more = users.select("customer_idx", F.coalesce(F.transform("own", lambda x: F.struct(x["article_id"], x["level"])), F.array().cast("array<struct<article_id:int,level:int>>")).alias("own"), ids("own").alias("has"), ids("cohort").alias("cohort"), ids("rest").alias("rest"))
     at_level = lambda c, n: F.transform(c, lambda x: F.struct(x.alias("article_id"), F.lit(n).alias("level")))
@@ -237,7 +261,7 @@ def lookup(tables: dict[str, DataFrame], customer: int, age_bin: str, top_k: int
 def online(tables: dict[str, DataFrame], requests: DataFrame, top_k: int = TOP_K, offset: int = 0) -> DataFrame:
     """The lists of ``requests(customer_idx, age_bin)`` from the serving tables: own items, all complements by
     (own rank, pair rank), cohort, all; unknown cohorts get the list of ``ALL``.  A page of ``top_k`` from ``offset``."""
-    hist = tables["history"].join(requests.select("customer_idx").distinct(), "customer_idx", "left_semi")
+    hist = tables["history"].join(by_shuffle(requests.select("customer_idx").distinct()), "customer_idx", "left_semi")
     own = hist.select("customer_idx", "article_id", F.lit(1).alias("level"), F.col("purchase_rank").alias("pos"))
     pairs = tables["affinity"].select("article_id", "other", "r")
     found = hist.join(pairs, "article_id").select("customer_idx", F.col("other").alias("article_id"), F.lit(2).alias("level"), (F.col("purchase_rank") * 100 + F.col("r")).alias("pos"))

@@ -1,11 +1,12 @@
 """What the driver and the disk hold does not follow the size of the tables' files, the number of lists or that of tasks."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from vitrina.operators import recall, waterfall
+from vitrina.operators import features, recall, waterfall
 from vitrina.plans import queries
 from vitrina.sources.tables import Retail
 
@@ -45,3 +46,24 @@ def test_pairs_of_huge_and_small_baskets_and_of_no_customer(spark, monkeypatch):
     found = waterfall.met_pairs(tx, 100, 1, 0.5).collect()
     assert {(x.article_id, x.other): x.support for x in found} == {p: n for p, (n, _) in want.items()}
     assert all(abs(x.decayed - want[x.article_id, x.other][1]) < 1e-9 for x in found)
+
+
+def test_tables_that_grow_are_not_broadcast_for_their_small_files(r, spark):
+    """Spark goes by the size of compressed files; 12 kB is between those of customers and items and those of purchases."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12k")
+    try:
+        train = queries.parts(r).train
+        plans = {
+            "pool": recall.candidates(train, queries.binned(r), r.articles, min_support=2),
+            "padding": recall.fallback_cohorts(train, r.customers),
+            "profiles": features.profiles(train, r.articles),
+            "facts": features.item_facts(train, r.articles, features.article_features(train, r.articles)),
+            "best": waterfall.bestsellers(r.tx, r.customers, 364, 0.12)[1],
+            "requests": waterfall.online(queries.serving(r), queries.requests(r)),
+        }
+        for name, df in plans.items():
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            assert not re.search(r"BroadcastHashJoin \[(customer_idx|article_id)#\d+\],", plan), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrina.functions.quantiles import quantiles
-from vitrina.functions.retail import age_bin_case, last_days
+from vitrina.functions.retail import age_bin_case, by_shuffle, last_days
 
 # The points of the lag distribution.
 LAG_DAYS = [1, 2, 3, 5, 7, 10, 14, 21, 28, 35, 60, 90]
@@ -90,13 +90,13 @@ def age_histogram(customers: DataFrame, bins: int = 40, low: int = 15, high: int
 
 def channel_mix(tx: DataFrame, customers: DataFrame) -> DataFrame:
     """Share of online purchases by cohort."""
-    rows = tx.join(customers.select("customer_idx", age_bin_case(F.col("age")).alias("age_bin")), "customer_idx")
+    rows = tx.join(by_shuffle(customers.select("customer_idx", age_bin_case(F.col("age")).alias("age_bin"))), "customer_idx")
     return rows.groupBy("age_bin").agg(F.count(F.lit(1)).alias("n"), (100 * F.avg((F.col("sales_channel_id") == 2).cast("double"))).alias("online_pct"))
 
 
 def dept_revenue(tx: DataFrame, articles: DataFrame, k: int = 15) -> DataFrame:
     """The departments of highest revenue."""
-    found = tx.join(articles.select("article_id", "department_no"), "article_id").groupBy("department_no").agg(F.round(F.sum("price"), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+    found = tx.join(by_shuffle(articles.select("article_id", "department_no")), "article_id").groupBy("department_no").agg(F.round(F.sum("price"), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
     return found.orderBy(F.desc("revenue"), F.asc("department_no")).limit(k)
 
 
@@ -109,14 +109,14 @@ def text_length(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def basket_matrix(tx: DataFrame, articles: DataFrame, category: str = "garment_group_name") -> DataFrame:
     """P(B|A) of categories in one basket (user and day), the diagonal included."""
-    lines = tx.join(articles.select("article_id", F.col(category).alias("a")), "article_id").select("customer_idx", "t_dat", "a").distinct()
+    lines = tx.join(by_shuffle(articles.select("article_id", F.col(category).alias("a"))), "article_id").select("customer_idx", "t_dat", "a").distinct()
     both = lines.join(lines.select("customer_idx", "t_dat", F.col("a").alias("b")), ["customer_idx", "t_dat"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return both.join(lines.groupBy("a").agg(F.count(F.lit(1)).alias("n_a")), "a").select("a", "b", "n", (F.col("n") / F.col("n_a")).alias("p_b_given_a"))
 
 
 def price_tiers(tx: DataFrame, customers: DataFrame, low: float = 0.02, high: float = 0.035) -> DataFrame:
     """Price tiers, mean and (interpolated) quartiles by cohort."""
-    rows = tx.join(customers.select("customer_idx", age_bin_case(F.col("age")).alias("age_bin")), "customer_idx")
+    rows = tx.join(by_shuffle(customers.select("customer_idx", age_bin_case(F.col("age")).alias("age_bin"))), "customer_idx")
     share = lambda c: F.avg(c.cast("double"))
     p = F.col("price")
     tiers = rows.groupBy("age_bin").agg(

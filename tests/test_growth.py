@@ -6,8 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from vitrina.operators import features, recall, waterfall
+from vitrina.operators import ablation, features, recall, waterfall
 from vitrina.plans import queries
+from vitrina.sources import scratch
 from vitrina.sources.tables import Retail
 
 
@@ -67,3 +68,15 @@ def test_tables_that_grow_are_not_broadcast_for_their_small_files(r, spark):
             assert not re.search(r"BroadcastHashJoin \[(customer_idx|article_id)#\d+\],", plan), name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_lists_of_a_window_are_written_before_the_next(r, monkeypatch):
+    made = []
+
+    def kept(df, name):
+        made.append({x.variant for x in df.select("variant").distinct().collect()})
+        return scratch.kept(df, name)
+
+    monkeypatch.setattr(ablation, "kept", kept)
+    found = ablation.by_window(r.tx, queries.binned(r), r.articles, (13, 26), 28, min_support=2).collect()
+    assert made == [{"A1_13w"}, {"A1_26w"}] and {x.variant for x in found} == {"A1_13w", "A1_26w"}

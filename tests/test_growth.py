@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from vitrina.operators import ablation, features, recall, waterfall
+from vitrina.operators import ablation, features, ranking, recall, waterfall
 from vitrina.plans import queries
 from vitrina.sources import scratch
 from vitrina.sources.tables import Retail
@@ -80,3 +80,22 @@ def test_lists_of_a_window_are_written_before_the_next(r, monkeypatch):
     monkeypatch.setattr(ablation, "kept", kept)
     found = ablation.by_window(r.tx, queries.binned(r), r.articles, (13, 26), 28, min_support=2).collect()
     assert made == [{"A1_13w"}, {"A1_26w"}] and {x.variant for x in found} == {"A1_13w", "A1_26w"}
+
+
+def test_the_ranker_has_a_task_for_each_block(spark, monkeypatch):
+    """The driver merges a histogram for each of a few tasks, whatever the session's partitions."""
+    rng = random.Random(5)
+    rows = [(u, a, int(rng.random() < 0.3), rng.random()) for u in range(60) for a in range(10)]
+    df = spark.createDataFrame(rows, "customer_idx int, article_id int, target int, x double")
+    ranker = ranking.LambdaRanker(["x"], rounds=1)
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", 100)
+    packed = ranker._packed(df, ranker.edges(df))
+    assert packed.select(F.input_file_name()).distinct().count() == 6
+    n = spark.sparkContext.parallelize(range(32), 32)
+    group = "histograms"
+    spark.sparkContext.setJobGroup(group, group)
+    assert ranking._merged(n.map(lambda x: (x,))) == (496,)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert min(s.numTasks for s in stages if s) <= 10
